@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import split
+from lodestrata.llm import bpe, leakage, split
 from lodestrata.plans.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -15,3 +15,27 @@ registry = Registry()
 def p2_found(spark, d):
     items = split.chunk_items(table(spark, d, "chunks"), table(spark, d, "split_limits"))
     return split.split_oversized(items).select(F.col("item").alias("id"), "piece_no", "start_line", "end_line")
+
+
+@registry.query("p6_ids")
+def p6_ids(spark, d):
+    return bpe.encode(table(spark, d, "documents"), bpe.vocabulary_path())
+
+
+@registry.query(
+    "p7_found",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+    dg AS (SELECT DISTINCT doc_id, array_to_string(w[n:n+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS n FROM d WHERE len(w) >= 12)),
+    ig AS (SELECT DISTINCT item_id, array_to_string(w[n:n+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS n FROM i WHERE len(w) >= 12))
+    SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+    """,
+)
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@registry.query("p7_clean")
+def p7_clean(spark, d):
+    return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
