@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, leakage, split
+from lodestrata.llm import bpe, leakage, neighbours, split
 from lodestrata.plans.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -39,3 +39,8 @@ def p7_found(spark, d):
 @registry.query("p7_clean")
 def p7_clean(spark, d):
     return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@registry.query("p4_found")
+def p4_found(spark, d):
+    return neighbours.pairs(neighbours.nearest(table(spark, d, "vector_rows")))
