@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, leakage, neighbours, split
+from lodestrata.llm import bpe, language, leakage, neighbours, split
 from lodestrata.plans.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -44,3 +44,22 @@ def p7_clean(spark, d):
 @registry.query("p4_found")
 def p4_found(spark, d):
     return neighbours.pairs(neighbours.nearest(table(spark, d, "vector_rows")))
+
+
+def _language_model(spark, d):
+    return language.fit(table(spark, d, "lang_samples"), table(spark, d, "documents"))
+
+
+@registry.query("p8_found")
+def p8_found(spark, d):
+    return language.mislabelled(table(spark, d, "documents"), _language_model(spark, d))
+
+
+@registry.query("p8_labels")
+def p8_labels(spark, d):
+    return language.label_documents(table(spark, d, "documents"), _language_model(spark, d))
+
+
+@registry.query("p8_segments")
+def p8_segments(spark, d):
+    return language.segments(table(spark, d, "documents"), _language_model(spark, d))
