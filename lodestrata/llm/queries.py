@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, language, leakage, neighbours, split
+from lodestrata.llm import bpe, language, leakage, neighbours, provenance, split
 from lodestrata.plans.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -63,3 +63,13 @@ def p8_labels(spark, d):
 @registry.query("p8_segments")
 def p8_segments(spark, d):
     return language.segments(table(spark, d, "documents"), _language_model(spark, d))
+
+
+@registry.query("p3_found")
+def p3_found(spark, d):
+    return provenance.not_handwritten(table(spark, d, "scanned_files"))
+
+
+@registry.query("p3_labels")
+def p3_labels(spark, d):
+    return provenance.label_files(table(spark, d, "scanned_files")).select("file_id", "label", F.round("p", 6).alias("p"))
