@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, language, leakage, neighbours, provenance, split
+from lodestrata.llm import bpe, language, leakage, neighbours, provenance, secrets, split
 from lodestrata.plans.registry import Registry
 from lodestrata.sources.tables import table
 
@@ -73,3 +73,17 @@ def p3_found(spark, d):
 @registry.query("p3_labels")
 def p3_labels(spark, d):
     return provenance.label_files(table(spark, d, "scanned_files")).select("file_id", "label", F.round("p", 6).alias("p"))
+
+
+def _sources(spark, d):
+    return secrets.sources(table(spark, d, "scanned_files"), table(spark, d, "chunks"))
+
+
+@registry.query("p5_found")
+def p5_found(spark, d):
+    return secrets.places(_sources(spark, d))
+
+
+@registry.query("p5_redacted")
+def p5_redacted(spark, d):
+    return secrets.redacted(_sources(spark, d)).distinct()
