@@ -86,4 +86,4 @@ def p5_found(spark, d):
 
 @registry.query("p5_redacted")
 def p5_redacted(spark, d):
-    return secrets.redacted(_sources(spark, d)).distinct()
+    return secrets.redacted(_sources(spark, d))
