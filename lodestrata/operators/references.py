@@ -74,8 +74,8 @@ def orphans(references: DataFrame, parents: DataFrame, *, key: str, time: str, p
     pairs = rows.select(F.col(join_key).alias("k"), F.col(time).cast("timestamp_ntz").alias("t")).distinct()
     # one aggregate decides what is hot: at most HOT_FRACTION keys can hold 1 / HOT_FRACTION of the pairs each
     counts = pairs.groupBy("k").agg(F.count("*").alias("n"))
-    total = counts.agg((F.sum("n") / HOT_FRACTION).alias("limit"))
-    hot = counts.join(F.broadcast(total), F.col("n") > F.greatest(F.col("limit"), F.lit(1000.0))).select("k", F.lit(True).alias("hot"))
+    limit = counts.agg(F.greatest(F.sum("n") / HOT_FRACTION, F.lit(1000.0))).scalar()
+    hot = counts.where(F.col("n") > limit).select("k", F.lit(True).alias("hot"))
     lives = merged_lives(parents, parent_key, parent_start, parent_end)
     left = pairs.join(F.broadcast(hot), "k", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
     right = lives.join(F.broadcast(hot), "k", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
