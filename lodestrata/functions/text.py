@@ -90,7 +90,8 @@ ENTITIES = {
 BLOCK_TAGS = "p div h1 h2 h3 h4 h5 h6 li tr br hr blockquote pre table thead tbody tfoot".split()
 
 PATH = r"[\w./-]+/[\w.-]+\.\w+"
-IDENTIFIER = r"\b([A-Z][a-zA-Z0-9]*(?:[A-Z][a-z0-9]*)*|[a-z][a-zA-Z0-9]*(?:[A-Z][a-z0-9]*)+)\b"
+# word boundaries are those of ASCII words, which Java's \b is not
+IDENTIFIER = r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z0-9]*(?:[A-Z][a-z0-9]*)*|[a-z][a-zA-Z0-9]*(?:[A-Z][a-z0-9]*)+)(?![A-Za-z0-9_])"
 
 
 def _map(values: dict) -> Column:
@@ -317,12 +318,14 @@ PY_FORMS = [("from", r"from\s+([\w.]+)\s+import\s+([^(\n]+)", 2, 1, False, False
 
 def _forms(text: Column, forms: list[tuple]) -> Column:
     """``ARRAY<STRUCT<kind, source, names, is_default, is_dynamic>>`` in the order of the forms."""
-    parts = []
-    for kind, pattern, names_at, source_at, default, dynamic in forms:
+    clean = lambda r: F.filter(F.transform(F.split(F.replace(r, F.lit("{"), F.lit("")), ","), lambda x: F.trim(F.split(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+as\s+")[0])), lambda x: x != "")
+
+    def part(kind: str, pattern: str, names_at: int, source_at: int, default: bool, dynamic: bool) -> Column:
         sources = _all(text, pattern, source_at)
         raw = _all(text, pattern, names_at) if names_at else F.transform(sources, lambda _: F.lit(""))
-        clean = lambda s: F.filter(F.transform(F.split(F.replace(s, F.lit("{"), F.lit("")), ","), lambda x: F.trim(F.split(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+as\s+")[0])), lambda x: x != "")
-        parts.append(F.zip_with(sources, raw, lambda s, r, kind=kind, default=default, dynamic=dynamic, clean=clean: F.struct(F.lit(kind).alias("kind"), s.alias("source"), clean(r).alias("names"), F.lit(default).alias("is_default"), F.lit(dynamic).alias("is_dynamic"))))
+        return F.zip_with(sources, raw, lambda s, r: F.struct(F.lit(kind).alias("kind"), s.alias("source"), clean(r).alias("names"), F.lit(default).alias("is_default"), F.lit(dynamic).alias("is_dynamic")))
+
+    parts = [part(*form) for form in forms]
     return F.concat(*parts)
 
 

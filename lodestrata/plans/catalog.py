@@ -7,7 +7,7 @@ from importlib import import_module
 
 from lodestrata.plans.registry import Registry
 
-MODULES = ("references", "search")
+MODULES = ("references", "search", "text")
 
 
 @cache
