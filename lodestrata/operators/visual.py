@@ -80,4 +80,4 @@ def layout(weights: DataFrame, epochs: int = 200, negatives: int = 5, seed: int
                 np.add.at(x, i, np.clip(2 * d / ((0.001 + s) * (1 + s)), -4, 4) * rate)
         return pd.DataFrame({"id": ids, "x": x[:, 0], "y": x[:, 1]})
 
-    return weights.groupBy(F.lit(1)).applyInPandas(run, f"id {kind}, x double, y double")
+    return weights.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, f"id {kind}, x double, y double")

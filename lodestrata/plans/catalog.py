@@ -7,7 +7,7 @@ from importlib import import_module
 
 from lodestrata.plans.registry import Registry
 
-MODULES = ("references", "search", "text", "analytics", "graph", "evaluate", "content")
+MODULES = ("references", "search", "text", "analytics", "graph", "evaluate", "content", "streams")
 
 
 @cache
