@@ -19,11 +19,17 @@ from lodestrata.functions import text as T
 K1, B = 1.2, 0.75
 #: fixed values: weights of the fields
 BOOSTS = {"content": 1.0, "summary": 2.0, "name": 1.5, "path": 0.5}
+BROADCAST_TERMS = 200_000
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 
 
 def build_postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """Postings of the columns ``fields`` (field name -> column)."""
+    """Postings of the columns ``fields`` (field name -> column).
+
+    Documents are spread by id before their terms are listed, which moves each text
+    once and lets terms, and later scores, be summed without another shuffle.
+    """
+    docs = docs.select(id_col, *dict.fromkeys(fields.values())).repartition(id_col)
     parts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), T.terms(F.col(c)).alias("terms")) for f, c in fields.items())))
     rows = docs.select(F.col(id_col).alias("doc_id"), parts.alias("p")).select("doc_id", "p.field", F.size("p.terms").alias("dl"), F.explode("p.terms").alias("term"))
     return rows.groupBy("doc_id", "field", "term", "dl").agg(F.count("*").alias("tf"))
@@ -77,7 +83,12 @@ def expand_fuzzy(asked: DataFrame, postings: DataFrame, weight: float = FUZZY_WE
 
 
 def score(asked: DataFrame, postings: DataFrame, boosts: dict[str, float] = BOOSTS) -> DataFrame:
-    """``query_id, doc_id, score`` of every document that has an asked term."""
+    """``query_id, doc_id, score`` of every document that has an asked term.
+
+    Up to ``BROADCAST_TERMS`` asked terms (they are counted) go to the postings, which
+    then stay where they are; more terms meet the postings by a shuffle on the term.
+    """
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     # the statistics have one row per field: their size is the number of boosts
     stats = field_stats(postings)
@@ -85,6 +96,7 @@ def score(asked: DataFrame, postings: DataFrame, boosts: dict[str, float] = BOOS
     hits = asked.join(df, "term").join(F.broadcast(stats), "field")
     weighted = hits.select("query_id", "field", "term", (F.col("weight") * F.coalesce(F.try_element_at(boost, F.col("field")), F.lit(1.0)) * F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"), "avg_dl")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    weighted = F.broadcast(weighted) if few else weighted.hint("shuffle_merge")
     found = postings.join(weighted, ["field", "term"]).select("query_id", "doc_id", (F.col("w") * tf).alias("s"))
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
 

@@ -8,6 +8,7 @@ from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
 from lodestrata.operators import fusion, lexical
 from lodestrata.plans.registry import Registry
+from lodestrata.session import cut
 from lodestrata.sources.tables import table
 
 registry = Registry()
@@ -31,7 +32,8 @@ _ALL = "SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= {k}"
 
 
 def _postings(spark, d):
-    return lexical.build_postings(table(spark, d, "documents"), "doc_id", FIELDS)
+    """The index, written once per query as a store would hold it."""
+    return cut(lexical.build_postings(table(spark, d, "documents"), "doc_id", FIELDS))
 
 
 def _queries(spark, d):
