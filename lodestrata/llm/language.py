@@ -34,6 +34,7 @@ FIT_ROWS = 4000
 INSIDE, BETWEEN = 14.0, 5.0
 FLOOR = 6.0  # what one word can say at most, in nats
 MIN_SENTENCE_WORDS = 3
+KEPT = 1 << 17  # words and runs whose reading a worker keeps
 
 #: fixed values: codes and names of the languages
 NAMES = {
@@ -51,7 +52,6 @@ SCRIPTS = {"ru": r"\p{Cyrillic}", "ja": r"[\p{Hiragana}\p{Katakana}\p{Han}ー]"}
 
 _fence = regex.compile(r"^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*$|\Z)", regex.S | regex.M)
 _inline = regex.compile(r"`[^`\n]*`|<[^<>\n]*>|\b[a-z][a-z0-9+.-]*://\S+|\S+@\S+")
-_chunk = regex.compile(r"\S+")
 _identifier = regex.compile(r"[\d_/\\=<>{}\[\]#@$%^*+|~]|\p{Ll}\p{Lu}|\p{L}\.\p{L}|\(\)")
 _word = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
 _cjk = regex.compile(SCRIPTS["ja"] + "+")
@@ -74,27 +74,44 @@ def prose(text: str | None) -> str:
     return _inline.sub(" ", _fence.sub("\n\n", unicodedata.normalize("NFC", text).replace("\r\n", "\n").replace("\r", "\n")))
 
 
+_chunks: dict[str, tuple[tuple[str, ...], bool]] = {}
+
+
+def read_chunk(chunk: str) -> tuple[tuple[str, ...], bool]:
+    """Prose words of a run without blanks, and whether it closes a sentence; kept per worker, as runs repeat."""
+    found = _chunks.get(chunk)
+    if found is None:
+        if _cjk.search(chunk):
+            words = _cjk.findall(chunk)
+        elif _identifier.search(chunk):
+            words = []
+        else:
+            words = [w.lower() for w in _word.findall(chunk)]
+        found = tuple(words), bool(_stop.search(chunk))
+        if len(_chunks) < KEPT and len(chunk) <= 64:
+            _chunks[chunk] = found
+    return found
+
+
+_block = regex.compile(r"\n[ \t]*\n|\n(?=[ \t>]*(?:[-*+]|\d+[.)]|#{1,6})[ \t])")
+_ideographic = regex.compile(r"(?<=[。！？])")
+
+
 def sentences(text: str | None) -> list[tuple[list[str], bool]]:
     """Prose as ``(words, ended)``; ``ended`` says whether a mark closes the sentence."""
     out: list[tuple[list[str], bool]] = []
-    for block in regex.split(r"\n[ \t]*\n", prose(text)):
-        for part in regex.split(r"\n(?=[ \t>]*(?:[-*+]|\d+[.)]|#{1,6})[ \t])", block):
-            words: list[str] = []
-            for raw in _chunk.findall(_item.sub("", part)):
-                pieces = regex.split(r"(?<=[。！？])", raw) if _cjk.search(raw) else [raw]
-                for chunk in pieces:
-                    if not chunk:
-                        continue
-                    if _cjk.search(chunk):
-                        words += _cjk.findall(chunk)
-                    elif not _identifier.search(chunk):
-                        words += [w.lower() for w in _word.findall(chunk)]
-                    if _stop.search(chunk):
-                        if words:
-                            out.append((words, True))
-                        words = []
-            if words:
-                out.append((words, False))
+    for part in _block.split(prose(text)):
+        words: list[str] = []
+        for raw in _item.sub("", part).split():
+            for chunk in _ideographic.split(raw) if "。" in raw or "！" in raw or "？" in raw else (raw,):
+                found, ends = read_chunk(chunk)
+                words += found
+                if ends:
+                    if words:
+                        out.append((words, True))
+                    words = []
+        if words:
+            out.append((words, False))
     return out
 
 
@@ -111,8 +128,8 @@ class Model:
     grams: dict[str, Counter] = field(default_factory=lambda: defaultdict(Counter))
     contexts: dict[str, Counter] = field(default_factory=lambda: defaultdict(Counter))
 
-    def add(self, lang: str, words: list[str], weight: float = 1.0) -> None:
-        for word in words:
+    def add(self, lang: str, words: Counter) -> None:
+        for word, weight in words.items():
             for form in {word, bare(word)}:
                 share = weight if form == word else weight / 2
                 self.words[lang][form] += share
@@ -133,14 +150,22 @@ class Frozen:
     words: dict
     grams: dict
     contexts: dict
-    kept: dict = field(default_factory=dict)
 
     def __post_init__(self):
         self.totals = {lang: sum(self.words.get(lang, {}).values()) + 1 for lang in self.langs}
         self.latin = np.array([lang not in SCRIPTS for lang in self.langs])
+        self._forget()
+
+    def _forget(self):
+        self.rows: dict[str, int] = {}
+        self.table = np.empty((1024, len(self.langs)))
 
     def __getstate__(self):
-        return {**self.__dict__, "kept": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("rows", "table")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
     def _letters(self, lang: str, word: str) -> float:
         grams, contexts = self.grams.get(lang, {}), self.contexts.get(lang, {})
@@ -157,9 +182,6 @@ class Frozen:
 
     def score(self, word: str) -> np.ndarray:
         """Log score by language, 0 for the best and at least ``-FLOOR``; other scripts are out of the question."""
-        found = self.kept.get(word)
-        if found is not None:
-            return found
         script = "ja" if _cjk.match(word) else "ru" if _cyrillic.match(word) else None
         s = np.full(len(self.langs), -np.inf)
         for i, lang in enumerate(self.langs):
@@ -169,17 +191,29 @@ class Frozen:
             elif lang == script:
                 s[i] = 0.0
         s = np.maximum(s - s.max(), -FLOOR) if np.isfinite(s.max()) else np.zeros(len(s))
-        if script:
-            s[s < 0] = -4 * FLOOR
-        else:
-            s[~self.latin] = -4 * FLOOR
-        if len(self.kept) < 1 << 17:
-            self.kept[word] = s
+        s[s < 0 if script else ~self.latin] = -4 * FLOOR
         return s
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Rows of ``score``, from a table that a worker fills."""
+        rows = self.rows
+        if len(rows) + len(words) > KEPT:
+            self._forget()
+            rows = self.rows
+        at = []
+        for word in words:
+            i = rows.get(word)
+            if i is None:
+                i = rows[word] = len(rows)
+                if i >= len(self.table):
+                    self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                self.table[i] = self.score(word)
+            at.append(i)
+        return self.table[at]
+
     def label(self, text: str | None) -> list[tuple[int, int, bool, float]]:
         """Spans of sentences or parts: ``(language, words, whole sentence, margin)`` in order."""
-        parts = [(np.array([self.score(w) for w in words]), words, ended) for words, ended in sentences(text)]
+        parts = [(self.scores(words), words, ended) for words, ended in sentences(text)]
         if not parts:
             return []
         n = len(self.langs)
@@ -223,22 +257,28 @@ def fit(samples: DataFrame, labelled: DataFrame | None = None, *, lang: str = "l
     """Model of the samples (a fixed table), extended by at most ``rows`` labelled documents."""
     clean = [tuple(r) for r in samples.select(lang, text).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).distinct().toLocalIterator()]
     model = Model(sorted({code for code, _ in clean}))
-    for code, body in sorted(clean):
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for code, body in clean:
         for words, _ in sentences(body):
-            model.add(code, words, 3.0)
+            for word in words:
+                counts[code][word] += 3
+    for code in sorted(counts):
+        model.add(code, counts[code])
     first = model.freeze()
     if labelled is None or not rows:
         return first
+    counts = defaultdict(Counter)
     named = labelled.select(language_of_label(F.col(lang)).alias("code"), F.col(text).alias("text"), F.col(id_col).alias("id")).where("code is not null and text is not null")
     for code, body in named.orderBy(F.xxhash64("id"), "id").limit(rows).select("code", "text").toLocalIterator():
         if code not in model.langs:
             continue
         at = model.langs.index(code)
         for words, _ in sentences(body):
-            total = sum(first.score(w) for w in words)
-            rest = np.delete(total, at)
-            if total[at] > rest.max():
-                model.add(code, words)
+            total = first.scores(words).sum(axis=0)
+            if total[at] > np.delete(total, at).max():
+                counts[code].update(words)
+    for code in sorted(counts):
+        model.add(code, counts[code])
     return model.freeze()
 
 
