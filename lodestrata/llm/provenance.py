@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from lodestrata.session import cut
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
-#: share of a label that a child keeps from its directory, the rest spread evenly
-FILE_TIE, DIR_TIE = 0.50, 0.55
+#: how surely a file, and a directory, has the label of its parent, by that label; the rest spreads evenly.
+#: Vendor directories hold hardly anything else, other directories are mixed.
+FILE_TIE = (0.5, 0.5, 0.5, 0.95, 0.5)
+DIR_TIE = (0.55, 0.55, 0.55, 0.9, 0.55)
 MAX_DEPTH = 64
 
 CODE = frozenset("ts tsx js jsx mjs cjs py go java c h cc cpp hpp cs rb rs php kt swift scala css scss sh sql".split())
@@ -105,7 +107,7 @@ def serial_share(text: str) -> float:
 def evidence(path: str | None, content: str | None) -> list[float]:
     """Log likelihood of each label, by content and file name."""
     score = dict.fromkeys(LABELS, 0.0)
-    score["handwritten"] += 1.5
+    score["handwritten"] += 1.0
     name = (path or "").rsplit("/", 1)[-1].lower()
     ext = name.rsplit(".", 1)[-1] if "." in name else ""
     code = ext in CODE
@@ -118,13 +120,13 @@ def evidence(path: str | None, content: str | None) -> list[float]:
     text = content.lstrip("﻿").replace("\r\n", "\n")
     lead = _lead.match(text)
     head, rest = (lead.group(), text[lead.end() :]) if lead else ("", text)
-    score["handwritten"] += 2.5
+    score["handwritten"] += 2.0
     if head:
         house = bool(_house.search(head))
         if any(_tool.search(line) and not _by_hand.search(line) for line in head.split("\n")):
-            score["generated"] += 9.0
+            score["generated"] += 12.0
         if _foreign.search(head) and not (house and not re.search(r"authors|contributors|working group", head, re.I)):
-            score["vendored"] += 9.0
+            score["vendored"] += 12.0
     if not code:
         return [score[x] for x in LABELS]
     n = max(1, len(rest))
@@ -134,14 +136,14 @@ def evidence(path: str | None, content: str | None) -> list[float]:
     blanks = sum(map(rest.count, " \t\n")) / n
     longest = max(map(len, rest.split("\n")))
     lines = rest.count("\n") + 1
-    if ext in ("js", "ts", "css", "mjs", "cjs", "jsx", "tsx") and n > 200:
+    if share < 0.5 and ext in ("js", "ts", "css", "mjs", "cjs", "jsx", "tsx") and n > 200:
         if blanks < 0.08 and (longest > 300 or n / lines > 150):
-            score["minified"] += 9.0
+            score["minified"] += 12.0
         elif blanks < 0.05:
             score["minified"] += 3.0
-    serial = 0.0 if ext in ("css", "scss") else serial_share(rest)
+    serial = 0.0 if share >= 0.5 or ext in ("css", "scss") else serial_share(rest)
     if serial > 0.25:
-        score["generated"] += 2.0 + 7.0 * min(1.0, (serial - 0.25) / 0.35)
+        score["generated"] += 4.0 + 8.0 * min(1.0, (serial - 0.25) / 0.35)
     return [score[x] for x in LABELS]
 
 
@@ -161,14 +163,24 @@ def _name_evidence(path: Column) -> list[Column]:
     return [F.when(name.isin(DIR_NAMES[x].split()), F.lit(DIR_WEIGHT[x])).otherwise(F.lit(0.0)) if x in DIR_NAMES else F.lit(0.5 if x == "handwritten" else 0.0) for x in LABELS]
 
 
-def _through(beliefs: list[Column], keep: float) -> list[Column]:
-    """Message over an edge that keeps the label with ``keep`` plus an even share, normalised to a maximum of 0."""
+def _shift(beliefs: list[Column]) -> list[Column]:
     top = F.greatest(*beliefs)
-    shifted = [F.exp(b - top) for b in beliefs]
-    total = shifted[0]
-    for s in shifted[1:]:
-        total = total + s
-    return [F.log(F.lit(keep) * s + F.lit((1 - keep) / len(LABELS)) * total) for s in shifted]
+    return [F.exp(b - top) for b in beliefs]
+
+
+def _upward(beliefs: list[Column], keep: tuple[float, ...]) -> list[Column]:
+    """What a child with these beliefs tells its parent, by the parent's label."""
+    s = _shift(beliefs)
+    total = sum(s[1:], s[0])
+    return [F.log(F.lit(k) * x + F.lit((1 - k) / len(LABELS)) * total) for x, k in zip(s, keep)]
+
+
+def _downward(beliefs: list[Column], keep: tuple[float, ...]) -> list[Column]:
+    """What a parent with these beliefs tells a child, by the child's label."""
+    s = _shift(beliefs)
+    spread = [F.lit((1 - k) / len(LABELS)) * x for x, k in zip(s, keep)]
+    base = sum(spread[1:], spread[0])
+    return [F.log(F.lit(k) * x + base) for x, k in zip(s, keep)]
 
 
 def _cols(prefix: str) -> list[Column]:
@@ -183,7 +195,7 @@ def propagate(files: DataFrame) -> DataFrame:
     """Beliefs of files after both passes: ``file_id, path, e0.. -> file_id, path, b0..``; paths split at ``/``."""
     k = range(len(LABELS))
     parent = lambda p: F.when(F.instr(p, "/") > 0, F.regexp_replace(p, r"/[^/]*$", "")).otherwise(F.lit(""))
-    up = files.where(F.col("path").isNotNull()).select("file_id", "path", parent(F.col("path")).alias("dir"), *[f"e{i}" for i in k], *_named(_through(_cols("e"), FILE_TIE), "m"))
+    up = files.where(F.col("path").isNotNull()).select("file_id", "path", parent(F.col("path")).alias("dir"), *[f"e{i}" for i in k], *_named(_upward(_cols("e"), FILE_TIE), "m"))
     up = cut(up)
     # messages of files summed per directory; directories then send theirs, deepest first
     own = cut(up.groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"s{i}") for i in k]).where("dir <> ''").withColumn("depth", F.size(F.split("dir", "/"))))
@@ -196,7 +208,7 @@ def propagate(files: DataFrame) -> DataFrame:
             sent = below.select(parent(F.col("dir")).alias("dir"), *_named(_cols("m"), "s"))
             here = here.unionByName(sent).groupBy("dir").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in k])
         with_names = here.select("dir", *_named([a + b for a, b in zip(_cols("s"), _name_evidence(F.col("dir")))], "b"))
-        below = cut(with_names.select("dir", *[f"b{i}" for i in k], *_named(_through(_cols("b"), DIR_TIE), "m")))
+        below = cut(with_names.select("dir", *[f"b{i}" for i in k], *_named(_upward(_cols("b"), DIR_TIE), "m")))
         levels[depth] = below
     # downward: what a directory hears from its parent is the parent's belief without its own message
     heard: DataFrame | None = None
@@ -208,7 +220,7 @@ def propagate(files: DataFrame) -> DataFrame:
             top = heard.select(F.col("dir").alias("up"), *_named(_cols("b"), "p"))
             joined = here.join(top, parent(F.col("dir")) == F.col("up"), "left")
             cavity = [F.coalesce(p, F.lit(0.0)) - m for p, m in zip(_cols("p"), _cols("m"))]
-            full = joined.select("dir", *_named([b + c for b, c in zip(_cols("b"), _through(cavity, DIR_TIE))], "b"))
+            full = joined.select("dir", *_named([b + c for b, c in zip(_cols("b"), _downward(cavity, DIR_TIE))], "b"))
         heard = full.select("dir", *[f"b{i}" for i in k])
         levels[depth] = heard
     every = None
@@ -219,7 +231,7 @@ def propagate(files: DataFrame) -> DataFrame:
     dirs = every.select("dir", *_named(_cols("b"), "d"))
     joined = up.join(dirs, "dir", "left")
     cavity = [F.coalesce(d, F.lit(0.0)) - F.when(F.col("d0").isNull(), F.lit(0.0)).otherwise(m) for d, m in zip(_cols("d"), _cols("m"))]
-    done = joined.select("file_id", "path", *_named([e + c for e, c in zip(_cols("e"), _through(cavity, FILE_TIE))], "b"))
+    done = joined.select("file_id", "path", *_named([e + c for e, c in zip(_cols("e"), _downward(cavity, FILE_TIE))], "b"))
     return done.unionByName(files.where(F.col("path").isNull()).select("file_id", "path", *_named(_cols("e"), "b")))
 
 

@@ -61,7 +61,7 @@ _auth_object = re.compile(r"[\"']?\bauth[\"']?\s*[:=]\s*\{[^{}]*?[\"']?(?:value|
 _key_value = re.compile(r"[\"']?\s*[:=]?\s*")
 
 _type = r"(?:\s*\??\s*:\s*(?:const\s+)?(?:string|String|str|char|text|SecretStr|bytes)(?:\s*\|\s*\w+)*(?=\s*=))?"
-_assign = re.compile(r"[\"'`]?\s*\]?" + _type + r"\s*(?:=>|:=|\?\?=|\|\|=|=(?!=)|:)\s*")
+_assign = re.compile(r"[\"'`]?\s*\]?" + _type + r"\s*(?:=>|:=|=(?!=)|:)\s*|[\"'`]?\s*[\])]*\s*(?:\?\?=?|\|\|=?|\bor\b)\s*")
 _wrap = re.compile(
     r"(?:await\s+|new\s+|return\s+|&|(?:[A-Za-z_][\w.]*\s*\(\s*)?(?:os\.environ\.get|os\.getenv|getenv|env|System\.getenv)\(\s*[\"'][^\"']*[\"']\s*,\s*|[A-Za-z_$][\w$.]*(?:\[[^\]\n]*\])?(?:\([^()\n]*\))?\s*(?:\?\?|\|\||\bor\b)\s*"
     r"|(?:Buffer\.from|atob|base64\.(?:b64decode|urlsafe_b64decode)|b64decode|bytes\.fromhex|String|str|bytes|Secret|SecretStr|List\.of|Arrays\.asList|Base64\.getDecoder\(\)\.decode|base64\.StdEncoding\.DecodeString)\(\s*|[\(\[\{]\s*)"
@@ -172,7 +172,7 @@ class Scanner:
             m = _wrap.match(self.text, at)
             if not m or m.end() == at:
                 break
-            self.in_list |= self.text[m.start() : m.end()].rstrip().endswith(("[", "(", "{"))
+            self.in_list |= m.group().strip() in ("[", "(", "{", "List.of(", "Arrays.asList(")
             at = m.end()
         spans = self.literal(at)
         if spans and self.in_list and re.compile(r"[\"'`]+[ \t]*,[ \t]*[bBrRuUfF]?[\"'`]").match(self.text, spans[-1][1]):
