@@ -43,7 +43,7 @@ PLACEHOLDERS = frozenset(
 )
 
 _hint = re.compile(
-    r"pass(?!age|ed|es|ing|ive|ion)|pwd|secret|credential|api[_.\- ]?key|access[_.\- ]?key|(?:private|signing|auth|encryption|master|secret)[_.\- ]?key|(?:auth|access|webhook|api|refresh|bearer)[_.\- ]?token|bearer|tok|[_.\"'-]pw\b|adminpw|rootpw|auth(?!or)|://|akia|gh[opusr]_|xox|sk_live|npm_|aiza|eyj|login|curl|basic "
+    r"pass(?!age|ed|es|ing|ive|ion)|pwd|secret|credential|api[_.\- ]?key|access[_.\- ]?key|(?:private|signing|auth|encryption|master|secret)[_.\- ]?key|(?:auth|access|webhook|api|refresh|bearer)[_.\- ]?token|bearer|tok|[ _.\"'-]pw\b|adminpw|rootpw|auth(?!or)|://|akia|gh[opusr]_|xox|sk_live|npm_|aiza|eyj|login|curl|basic "
 )
 _name = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_][\w]*)*")
 _camel = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -158,10 +158,8 @@ class Scanner:
             spans.append(m.span("v"))
             more = _more.match(self.text, m.end())
             glue = self.text[m.end() : more.end()] if more else ""
-            if not more or not (more.end() > m.end()) or (("," in glue or not glue.strip()) and "\n" not in glue):
-                return spans
-            # a comma only continues a list of pieces, one per line
-            if "," in glue and not self.in_list:
+            # operators join pieces anywhere; a comma or nothing does so between the lines of a list or brackets
+            if not glue or (glue.strip() in ("", ",") and not (self.in_list and "\n" in glue)):
                 return spans
             at = more.end()
 
