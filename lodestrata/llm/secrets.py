@@ -287,7 +287,9 @@ class Scanner:
                 self.logins(hint.start())
             if word == "login" and (m := _old_login.match(text, hint.start())) and (self.ext in ("md", "txt") or self.is_comment(hint.start())) and not placeholder(m.group("v")):
                 self.add(m.span("v"))
-            start = self.word_start(hint.start())
+            if " " in word.strip() and self.phrase(hint.start(), hint.end()):
+                continue
+            start = self.word_start(hint.end() - 1)
             name = _name.match(text, start)
             if not name or name.end() <= done:
                 continue
@@ -302,10 +304,6 @@ class Scanner:
             elif credential_name(full.split("-")[-1]) and "--" not in full:
                 done = end
                 self.named(start, end)
-            elif " " in word or (m := re.compile(r"[A-Za-z]+ (?:key|token)\b").match(text, start)):
-                stop = hint.end()
-                self.phrase(hint.start(), stop)
-        # a finding inside a key block belongs to the block
         return self.groups
 
     def scheme(self, at: int) -> int:

@@ -44,6 +44,7 @@ def test_pieces_begin_at_the_first():
     assert S.redact(text, groups) == 'const authToken = [\n  "REDACTED",\n  "",\n].join("");\nnext("x");'
     assert lines('def f():\n    pwd = "Harbor.Ember6514"\n    """Doc string."""\n') == [2]
     assert lines("The staging admin pw is harbor71318!, ask first.", "a.md") == [1]
+    assert lines("The staging auth token is qlv_s2LOxXrHuxbPqObGmM5lqd, ask first.", "a.md") == [1]
     assert lines("- name: API_KEY\n  value: ghp_x1x2x3x4x5x6\n", "a.yaml") == [2]
 
 
