@@ -20,7 +20,7 @@ def _events(spark, d):
 
 @registry.query(
     "debounce_sessions",
-    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items FROM s GROUP BY user_id, s.n""",
 )
@@ -35,7 +35,7 @@ def events_daily(spark, d):
 
 @registry.query(
     "events_sliding",
-    "SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(k AS INT)) AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events, (SELECT unnest(range(0, 7)) AS k) GROUP BY 1, 2",
+    "SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(k AS INT)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest(range(0, 7)) AS k) GROUP BY 1, 2",
 )
 def events_sliding(spark, d):
     return windows.sliding(_events(spark, d), ["event_type"], "value")

@@ -98,8 +98,8 @@ def pdf_text(data: bytes) -> str | None:
         return None
     body, out = data.decode("latin-1"), []
     for block in re.findall(r"BT(.*?)ET", body, re.S):
-        shown = [m.group(1) or m.group(2) for m in re.finditer(r"\(((?:\\.|[^()\\])*)\)\s*Tj|\[((?:[^\]\\]|\\.)*)\]\s*TJ", block)]
-        words = ["".join(re.findall(r"\(((?:\\.|[^()\\])*)\)", s)) if "(" in s else s for s in shown]
+        shown = re.finditer(r"\(((?:\\.|[^()\\])*)\)\s*Tj|\[((?:[^\]\\]|\\.)*)\]\s*TJ", block)
+        words = [m.group(1) if m.group(1) is not None else "".join(re.findall(r"\(((?:\\.|[^()\\])*)\)", m.group(2))) for m in shown]
         out.append("".join(re.sub(r"\\(.)", r"\1", w) for w in words))
     return "\n".join(x for x in out if x)
 

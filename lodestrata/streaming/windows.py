@@ -2,7 +2,7 @@
 
 Defined edge cases: null times are in no window; late events beyond the watermark
 are dropped by streams and kept by batches; empty inputs give no windows; with a
-session gap of g, events exactly g apart are in two sessions.
+session gap of g, events exactly g apart are in one session.
 """
 
 from __future__ import annotations
@@ -36,4 +36,4 @@ def tumbling(events: DataFrame, by: list[str], value: str, time: str = "ts", siz
 def sliding(events: DataFrame, by: list[str], value: str, time: str = "ts", size: str = "7 days", slide: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """As ``tumbling``, with windows of ``size`` that start every ``slide``."""
     grouped = timed(events, time, delay).groupBy(F.window("at", size, slide).alias("w"), *by)
-    return grouped.agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), *by, "n", "mean")
+    return grouped.agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), *by, "n", "total")
