@@ -56,7 +56,7 @@ def limit(events: DataFrame, key: str, time: str, order: str, capacity: int = 60
 
 
 def limit_stream(events: DataFrame, key: str, time: str, order: str, capacity: int = 60, window: int = 60) -> DataFrame:
-    """The same for a stream: one bucket of state per key, idle keys dropped after the time a bucket takes to fill."""
+    """The same for a stream: one bucket of state per key, dropped when event time has passed the instant at which it is full again."""
     kinds = dict(events.dtypes)
 
     def run(group, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -68,8 +68,9 @@ def limit_stream(events: DataFrame, key: str, time: str, order: str, capacity: i
         pdf = pd.concat(list(frames)).sort_values(["us", order])
         taken = [bucket.take(us / 1e6) for us in pdf.us]
         state.update((bucket.level, bucket.at))
-        state.setTimeoutDuration(window * 1000)
+        state.setTimeoutTimestamp(max(int((bucket.at + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({order: pdf[order], key: pdf[key], "allowed": [t[0] for t in taken], "retry_after": [round(t[1], 6) for t in taken]})
 
-    rows = events.where(F.col(time).isNotNull()).select(order, key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    return rows.groupBy(key).applyInPandasWithState(run, f"`{order}` {kinds[order]}, `{key}` {kinds[key]}, allowed boolean, retry_after double", "level double, at double", "append", "ProcessingTimeTimeout")
+    timed = events.where(F.col(time).isNotNull()).withColumn("at", F.col(time).cast("timestamp")).withWatermark("at", f"{window} seconds")
+    rows = timed.select(order, key, "at", F.unix_micros("at").alias("us"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{order}` {kinds[order]}, `{key}` {kinds[key]}, allowed boolean, retry_after double", "level double, at double", "append", "EventTimeTimeout")
