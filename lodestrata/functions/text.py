@@ -267,6 +267,15 @@ def parse_score(reply: Column) -> Column:
     return F.when(F.coalesce(digits, F.lit("")) == "", 50).otherwise(F.least(F.lit(100), F.when(digits != "", digits).cast("int"))).cast("int")
 
 
+def fnv1a(value: Column) -> Column:
+    """32-bit FNV-1a hash of the UTF-8 bytes, as a bigint; ids made of it may collide."""
+    size = F.octet_length(value)
+    digits = F.hex(F.encode(value, "UTF-8"))
+    octets = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.conv(F.substr(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))
+    start = F.lit(2166136261).cast("bigint")
+    return F.when(size == 0, start).otherwise(F.aggregate(octets, start, lambda h, b: (h.bitwiseXOR(b) * 16777619) % 4294967296))
+
+
 def valid_id(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^[A-Za-z0-9_\-:.]+\z") & F.length(value).between(1, 256), F.lit(False))
 

@@ -275,14 +275,41 @@ def template_queries(spark, d):
     return counted.withColumn("t", forms).select(text.alias("query"), "expected", level.alias("difficulty"))
 
 
+def _csn_lines(spark, d):
+    """Documents as lines of a code search corpus, each with a line that does not parse."""
+    part = F.when(c("doc_id") % 2 == 0, "test").otherwise("train")
+    line = F.to_json(F.struct(c("repo_name").alias("repo"), c("doc_path").alias("path"), c("source").alias("func_name"), c("text").alias("docstring"), F.lower("lang").alias("language"), part.alias("partition")))
+    return table(spark, d, "documents").select(F.explode(F.array(line, F.lit('{"repo": '))).alias("value"))
+
+
+@registry.query("csn_load", "SELECT CASE WHEN doc_id % 2 = 0 THEN 'test' ELSE 'train' END AS partition, lower(lang) AS language, count(*) AS n FROM documents WHERE lang IS NOT NULL AND repo_name IS NOT NULL AND doc_path IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2")
+def csn_load(spark, d):
+    from lodestrata.sources.benchmarks import csn_entries
+
+    return csn_entries(_csn_lines(spark, d), least_tokens=0).groupBy("partition", "language").agg(F.count("*").alias("n"))
+
+
+@registry.query(
+    "repobench_load",
+    "SELECT metadata.repo_name || ':' || file_path AS task_id, CAST(i - 1 AS INT) AS pos, names[i] AS code, i = 1 AS is_gold FROM (SELECT DISTINCT id, metadata, file_path, list_distinct(metadata.declarations) AS ld, metadata.declarations AS names, unnest(range(1, len(metadata.declarations) + 1)) AS i FROM chunks WHERE len(list_distinct(metadata.declarations)) = len(metadata.declarations)) WHERE metadata.repo_name IS NOT NULL AND file_path IS NOT NULL",
+)
+def repobench_load(spark, d):
+    """Chunks as lines of a repository benchmark: declarations are the snippets, the first is the one wanted."""
+    from lodestrata.sources.benchmarks import repobench_entries
+
+    names = c("metadata.declarations")
+    snippets = F.transform(names, lambda x: F.struct(c("file_path").alias("file_path"), x.alias("code")))
+    rows = table(spark, d, "chunks").where((F.size(F.array_distinct(names)) == F.size(names)) & c("metadata.repo_name").isNotNull() & c("file_path").isNotNull()).distinct()
+    line = F.to_json(F.struct(c("metadata.repo_name").alias("repo_name"), "file_path", F.lit("x").alias("context"), F.lit("y").alias("import_statement"), F.get(names, F.lit(0)).alias("gold_snippet_code"), snippets.alias("cross_file_context")))
+    return repobench_entries(rows.select(line.alias("value"))).select("task_id", "pos", "code", "is_gold")
+
+
 @registry.query("csn_dataset", r"SELECT lower(lang) || ':' || repo_name || ':' || doc_path || ':' || source AS entry_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS tokens FROM documents WHERE lang IS NOT NULL AND repo_name IS NOT NULL AND doc_path IS NOT NULL AND source IS NOT NULL AND doc_id % 2 = 0 AND len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) >= 3")
 def csn_dataset(spark, d):
     """Rows written as benchmark lines in JSON, read back with their schema, the partition ``test`` kept."""
     from lodestrata.sources.benchmarks import csn_entries
 
-    part = F.when(c("doc_id") % 2 == 0, "test").otherwise("train")
-    line = F.to_json(F.struct(c("repo_name").alias("repo"), c("doc_path").alias("path"), c("source").alias("func_name"), c("text").alias("docstring"), F.lower("lang").alias("language"), part.alias("partition")))
-    return csn_entries(table(spark, d, "documents").select(line.alias("value")), "test").select("entry_id", F.size("tokens").alias("tokens"))
+    return csn_entries(_csn_lines(spark, d), "test").select("entry_id", F.size("tokens").alias("tokens"))
 
 
 @registry.query("repobench_tasks", "SELECT repo_name || ':' || file_path || ':' || id AS task_id, CAST(i - 1 AS INT) AS pos, names[i] AS snippet FROM (SELECT DISTINCT metadata.repo_name AS repo_name, file_path, id, metadata.declarations AS names, unnest(range(1, len(metadata.declarations) + 1)) AS i FROM chunks) WHERE repo_name IS NOT NULL AND file_path IS NOT NULL")

@@ -91,3 +91,37 @@ def umap_fuzzy_graph(spark, d):
 @registry.query("umap_layout")
 def umap_layout(spark, d):
     return visual.minmax(visual.layout(_graph(spark, d), epochs=50), ["x", "y"]).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_PAGE_TEXT = "repo_name || ' (' || source || ')' || chr(10) || 'no ' || doc_id"
+
+
+@registry.query("pdf_text", f"SELECT 'd/' || doc_id || '.pdf' AS path, {_PAGE_TEXT} AS text FROM documents WHERE repo_name IS NOT NULL AND source IS NOT NULL")
+def pdf_text(spark, d):
+    """Documents' headings written as uncompressed PDF text blocks, and read."""
+    rows = table(spark, d, "documents").where("repo_name is not null and source is not null")
+    body = F.concat(F.lit("%PDF-1.4\nBT ("), "repo_name", F.lit(" \\("), "source", F.lit("\\)) Tj ET\nBT [(no ) -3 ("), c("doc_id").cast("string"), F.lit(")] TJ ET\n"))
+    return S.office_text(rows.select(F.concat(F.lit("d/"), c("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode(body, "UTF-8").alias("content")))
+
+
+@registry.query("docx_text", "SELECT 'd/' || doc_id || '.docx' AS path, repo_name || ' & ' || source || chr(10) || doc_path AS text FROM documents WHERE repo_name IS NOT NULL AND source IS NOT NULL AND doc_path IS NOT NULL")
+def docx_text(spark, d):
+    """Documents' headings written as word-processor files, and read."""
+    rows = table(spark, d, "documents").where("repo_name is not null and source is not null and doc_path is not null")
+    xml = F.concat(F.lit("<w:p><w:t>"), "repo_name", F.lit(" &amp; "), "source", F.lit("</w:t></w:p><w:p><w:t>"), "doc_path", F.lit("</w:t></w:p>"))
+    packed = rows.select(F.concat(F.lit("d/"), c("doc_id").cast("string"), F.lit(".docx")).alias("path"), xml.alias("xml")).mapInPandas(_zip, "path string, content binary")
+    return S.office_text(packed)
+
+
+def _zip(batches):
+    import io
+    import zipfile
+
+    for pdf in batches:
+        out = []
+        for xml in pdf.xml:
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                z.writestr("word/document.xml", xml)
+            out.append(buffer.getvalue())
+        yield pdf[["path"]].assign(content=out)

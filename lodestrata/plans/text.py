@@ -324,3 +324,11 @@ def docstring_quality(spark, d):
     tokens = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     rows = table(spark, d, "documents").where((c("source") == "docstring") & (F.regexp_replace("text", r"\s+", "") != ""))
     return rows.select("doc_id", tokens.alias("tokens")).where("tokens >= 3")
+
+
+@registry.query(
+    "fnv1a_id",
+    "SELECT DISTINCT id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(id) + 1), lambda i: ord(id[i])::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS point FROM chunks WHERE id IS NOT NULL",
+)
+def fnv1a_id(spark, d):
+    return table(spark, d, "chunks").where("id is not null").select("id").distinct().select("id", T.fnv1a(c("id")).alias("point"))
