@@ -234,8 +234,8 @@ def html_to_text(html: Column) -> Column:
         number = F.when(dec != "", dec.cast("int")).otherwise(F.conv(hexa, 16, 10).cast("int"))
         return F.when(p.contains("\u0003"), F.concat(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), F.regexp_extract(p, "(?s)\u0003(.*)$", 1))).otherwise(p)
     t = F.array_join(F.transform(pieces, code), "")
-    lines = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")), "\n")
-    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    lines = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")), "\n")
+    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -243,7 +243,7 @@ def _entity_sql(expr: str) -> str:
 _HTML_SQL = rf"regexp_replace(regexp_replace(h, '<ac:structured-macro[^>]*ac:name=\"(toc|anchor|excerpt-include|include)\"[^>]*>.*?</ac:structured-macro>', '', 'gis'), '</?({'|'.join(T.BLOCK_TAGS)})[^>]*>', chr(10), 'gi')"
 _HTML_SQL = _entity_sql(f"regexp_replace({_HTML_SQL}, '<[^>]+>', '', 'g')")
 _HTML_SQL = f"replace(replace({_HTML_SQL}, '&#65;', 'A'), '&#x42;', 'B')"
-_HTML_SQL = rf"array_to_string(list_transform(string_split({_HTML_SQL}, chr(10)), lambda x: regexp_replace(x, '^[\s ]+|[\s ]+$', '', 'g')), chr(10))"
+_HTML_SQL = rf"array_to_string(list_transform(string_split({_HTML_SQL}, chr(10)), lambda x: regexp_replace(x, '^[\s\x{{a0}}\x{{feff}}]+|[\s\x{{a0}}\x{{feff}}]+$', '', 'g')), chr(10))"
 _HTML_SQL = rf"regexp_replace(regexp_replace({_HTML_SQL}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
