@@ -27,13 +27,14 @@ Defined edge cases
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: fixed value: the pre-splitting pattern of the vocabulary
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -147,11 +148,17 @@ class Automaton:
 _loaded: dict[str, tuple[Automaton, dict[str, list[int]]]] = {}
 
 
-def load(path: str) -> tuple[Automaton, dict[str, list[int]]]:
-    """The compiled automaton and this worker's kept words, one per vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = Automaton(read_ranks(path)), {}
-    return _loaded[path]
+def send(spark: SparkSession, path: str):
+    """The vocabulary as a broadcast, whose size the file fixes, and its digest; executors need no file."""
+    tokens = read_ranks(path)
+    return hashlib.sha256(b"\0".join(tokens)).hexdigest(), spark.sparkContext.broadcast(tokens)
+
+
+def load(digest: str, shared) -> tuple[Automaton, dict[str, list[int]]]:
+    """The automaton, compiled once per worker and vocabulary, and the worker's kept words."""
+    if digest not in _loaded:
+        _loaded[digest] = Automaton(shared.value), {}
+    return _loaded[digest]
 
 
 _split = regex.compile(PATTERN)
@@ -172,11 +179,12 @@ def encode_text(text: str | None, automaton: Automaton, kept: dict[str, list[int
 
 def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids ARRAY<INT>`` of every row, null and empty texts included."""
+    sent = send(documents.sparkSession, path)
     schema = documents.select(id_col, text_col).schema
     out = pa.schema([(id_col, pa.int64() if schema[0].dataType.typeName() == "long" else pa.string()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, kept = load(path)
+        automaton, kept = load(*sent)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             ids = pa.array([encode_text(t, automaton, kept) for t in texts], pa.list_(pa.int32()))
@@ -188,9 +196,10 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``text``, the labels of its ids; bytes that are no UTF-8 become U+FFFD."""
+    sent = send(encoded.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, _ = load(path)
+        automaton, _ = load(*sent)
         for pdf in batches:
             yield pdf.assign(text=[automaton.decode(list(x)).decode("utf-8", "replace") for x in pdf[ids_col]])
 
