@@ -33,7 +33,7 @@ def test_null_empty_and_clashing_columns(spark):
     rows = [(1, None, 7, "x"), (2, "", 8, "y"), (3, "hello hello", 9, "z"), (3, "hello hello", 9, "z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int, value string")
     got = sorted((r.doc_id, r.ids) for r in bpe.encode(df, bpe.vocabulary_path()).collect())
-    assert got[:2] == [(1, []), (2, [])] and got[2] == got[3] and len(got[2][1]) == 2 or len(got[2][1]) >= 1
+    assert got[:2] == [(1, []), (2, [])] and got[2] == got[3] and len(got[2][1]) == 2
     back = bpe.decode(bpe.encode(df, bpe.vocabulary_path()), bpe.vocabulary_path()).collect()
     assert sorted(r.text for r in back) == ["", "", "hello hello", "hello hello"]
     assert bpe.encode(df.limit(0), bpe.vocabulary_path()).count() == 0
