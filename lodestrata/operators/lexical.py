@@ -101,6 +101,15 @@ def score(asked: DataFrame, postings: DataFrame, boosts: dict[str, float] = BOOS
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
+def overlap(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """``query_id, doc_id, score``: occurrences of a query's terms in a document over the number of its terms."""
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
+    sized = asked.join(sizes, "query_id").select("query_id", "term", "n")
+    found = postings.join(F.broadcast(sized) if few else sized.hint("shuffle_merge"), "term")
+    return found.groupBy("query_id", "doc_id").agg(F.round(F.sum("tf") / F.max("n"), 6).alias("score"))
+
+
 def top(scored: DataFrame, k: int, score_col: str = "score", id_col: str = "doc_id") -> DataFrame:
     """The ``k`` best documents of each query with their ``rank`` from 1; ``k`` below 1: none."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score_col), id_col)

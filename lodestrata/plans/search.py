@@ -192,11 +192,8 @@ def parse_score(spark, d):
 )
 def token_overlap_search(spark, d):
     """Occurrences of a query's terms in a document, over the number of its terms; an equi-join on terms."""
-    asked = _queries(spark, d).select("query_id", F.array_distinct(F.filter(T.terms(F.col("text")), lambda w: F.length(w) > 1)).alias("t"))
-    asked = asked.select("query_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    corpus = table(spark, d, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    scored = asked.join(corpus, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("tf") / F.max("n"), 6).alias("score"))
-    return lexical.top(scored, 10)
+    asked = lexical.query_terms(_queries(spark, d), "query_id", "text").where(F.length("term") > 1)
+    return lexical.top(lexical.overlap(asked, lexical.build_postings(table(spark, d, "documents"), "doc_id", {"content": "text"})), 10)
 
 
 @registry.query(
