@@ -29,9 +29,11 @@ def build_postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> Data
     Documents are spread by id before their terms are listed, which moves each text
     once and lets terms, and later scores, be summed without another shuffle.
     """
-    docs = docs.select(id_col, *dict.fromkeys(fields.values())).repartition(id_col)
-    parts = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), T.terms(F.col(c)).alias("terms")) for f, c in fields.items())))
-    rows = docs.select(F.col(id_col).alias("doc_id"), parts.alias("p")).select("doc_id", "p.field", F.size("p.terms").alias("dl"), F.explode("p.terms").alias("term"))
+    # by number, as texts grow when listed and adaptive coalescing only sees their size before
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(id_col, *dict.fromkeys(fields.values())).repartition(parts, id_col)
+    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), T.terms(F.col(c)).alias("terms")) for f, c in fields.items())))
+    rows = docs.select(F.col(id_col).alias("doc_id"), listed.alias("p")).select("doc_id", "p.field", F.size("p.terms").alias("dl"), F.explode("p.terms").alias("term"))
     return rows.groupBy("doc_id", "field", "term", "dl").agg(F.count("*").alias("tf"))
 
 
