@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.shipping import ship
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,7 +24,13 @@ class Registry:
         def add(fn: QueryFn) -> QueryFn:
             if name in self.fns:
                 raise ValueError(f"query {name} is registered twice")
-            self.fns[name] = fn
+
+            @wraps(fn)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return fn(spark, sf_dir)
+
+            self.fns[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return fn
