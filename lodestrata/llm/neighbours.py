@@ -222,7 +222,7 @@ def top_of_block(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndar
 def _rerank(k: int):
     def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or base.empty:
-            return pd.DataFrame({"cid": [], "near": []})
+            return pd.DataFrame()
         base = base.sort_values("id", ignore_index=True)
         q, b, s = top_of_block(_units(queries.v), _units(base.v), k)
         ids, cids = base.id.to_numpy(), queries.cid.to_numpy()

@@ -56,3 +56,10 @@ def test_partitions_are_balanced():
     label = N.balanced_partition(N.knn_graph(x, 8), 3, np.random.default_rng(0))
     sizes = np.bincount(label, minlength=8)
     assert sizes.max() - sizes.min() <= 3
+
+
+def test_blocks_with_one_side_empty(spark):
+    rows = clustered(80, 8)
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    got = {r.id: [x.id for x in r.near] for r in N.nearest(df, 5, 8, tile=3).collect()}
+    assert got == brute(rows, 5)
