@@ -35,9 +35,8 @@ def _similarity(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 def _block(k: int, metric: str, exclude_self: bool):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         if queries.empty or rows.empty:
-            return empty
+            return pd.DataFrame()
         rows = rows.sort_values("doc_id", ignore_index=True)
         x = np.stack(rows.v.to_numpy()).astype(np.float64)
         ids, qids = rows.doc_id.to_numpy(), queries.query_id.to_numpy()
@@ -54,7 +53,7 @@ def _block(k: int, metric: str, exclude_self: bool):
             keep = np.arange(len(a)) - np.searchsorted(a, a, side="left") < n
             a, b = a[keep], b[keep]
             out.append(pd.DataFrame({"query_id": qids[lo + a], "doc_id": ids[b], "score": s[a, b]}))
-        return pd.concat(out) if out else empty
+        return pd.concat(out)
 
     return run
 

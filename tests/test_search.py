@@ -56,7 +56,8 @@ def test_vector_topk_edges(spark):
     assert (1, 1) in top(k=1, exclude_self=True) and top(k=1, exclude_self=True)[1, 1] == (2, 1.0)
     l2 = {(r.query_id, r["rank"]): r.doc_id for r in fusion.vector_topk(q, rows, 4, "l2").collect()}
     assert l2[1, 1] == 1 and l2[9, 1] == 4
-    assert fusion.vector_topk(q, rows.limit(0), 3).count() == 0
+    assert fusion.vector_topk(q, rows.limit(0), 3).count() == 0 and fusion.vector_topk(q.limit(0), rows, 3).count() == 0
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in fusion.vector_topk(q, rows, 3, tiles=40).collect()} == got
 
 
 def test_topk_grows_with_k_and_keeps_order(spark):
