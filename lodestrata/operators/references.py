@@ -13,9 +13,8 @@ Defined edge cases
     * an empty parent table makes every reference an orphan.
 
 Skew: distinct pairs are formed with map-side combine before any join; keys that
-hold more than ``1 / HOT_FRACTION`` of the distinct pairs (so at most that many
-keys, a proven bound for the broadcast) are spread over ``SALTS`` partitions, to
-which only those keys' merged lives are copied.
+hold a large share of the distinct pairs are spread over salts, to which only
+those keys' merged lives are copied (``operators/skew.py``).
 """
 
 from __future__ import annotations
@@ -23,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_FRACTION = 200
-SALTS = 32
+from lodestrata.operators.skew import salted
 
 
 def clean_path(path: Column) -> Column:
@@ -72,13 +70,7 @@ def orphans(references: DataFrame, parents: DataFrame, *, key: str, time: str, p
     join_key = on or key
     rows = references.where(not_blank(F.col(key)) & F.col(join_key).isNotNull())
     pairs = rows.select(F.col(join_key).alias("k"), F.col(time).cast("timestamp_ntz").alias("t")).distinct()
-    # one aggregate decides what is hot: at most HOT_FRACTION keys can hold 1 / HOT_FRACTION of the pairs each
-    counts = pairs.groupBy("k").agg(F.count("*").alias("n"))
-    limit = counts.agg(F.greatest(F.sum("n") / HOT_FRACTION, F.lit(1000.0))).scalar()
-    hot = counts.where(F.col("n") > limit).select("k", F.lit(True).alias("hot"))
-    lives = merged_lives(parents, parent_key, parent_start, parent_end)
-    left = pairs.join(F.broadcast(hot), "k", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
-    right = lives.join(F.broadcast(hot), "k", "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    left, right = salted(pairs, merged_lives(parents, parent_key, parent_start, parent_end), "k", "t")
     alive = (F.col("p.k") == F.col("c.k")) & (F.col("p.salt") == F.col("c.salt")) & (F.col("c.t").isNull() | ((F.col("p.lo") <= F.col("c.t")) & (F.col("p.hi").isNull() | (F.col("c.t") < F.col("p.hi")))))
     missing = left.alias("c").join(right.alias("p"), alive, "left_anti").select(F.col("k").alias("__k"), F.col("t").alias("__t"))
     back = (F.col(join_key) == F.col("__k")) & F.col(time).cast("timestamp_ntz").eqNullSafe(F.col("__t"))
