@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.skew import salted
 from lodestrata.session import cut
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
@@ -229,7 +230,8 @@ def propagate(files: DataFrame) -> DataFrame:
     if every is None:
         return files.select("file_id", "path", *_named(_cols("e"), "b"))
     dirs = every.select("dir", *_named(_cols("b"), "d"))
-    joined = up.join(dirs, "dir", "left")
+    files_of, beliefs_of = salted(up, dirs, "dir", "file_id")
+    joined = files_of.join(beliefs_of, ["dir", "salt"], "left")
     cavity = [F.coalesce(d, F.lit(0.0)) - F.when(F.col("d0").isNull(), F.lit(0.0)).otherwise(m) for d, m in zip(_cols("d"), _cols("m"))]
     done = joined.select("file_id", "path", *_named([e + c for e, c in zip(_cols("e"), _downward(cavity, FILE_TIE))], "b"))
     return done.unionByName(files.where(F.col("path").isNull()).select("file_id", "path", *_named(_cols("e"), "b")))
@@ -265,7 +267,10 @@ def label_files(files: DataFrame, *, file_id: str = "file_id", path: str = "file
         .where("repos > 1 and foreign = 1")
         .select("copy", F.lit(5.0).alias("bonus"))
     )
-    scored = seen.join(copies, "copy", "left").withColumn(f"e{vendored}", F.col(f"e{vendored}") + F.coalesce("bonus", F.lit(0.0)))
+    # rows without a body get keys of their own, as nulls would meet in one task
+    keyed = seen.withColumn("copy", F.coalesce("copy", F.concat(F.lit("~"), F.col("file_id").cast("string"))))
+    left, right = salted(keyed, copies, "copy", "file_id")
+    scored = left.join(right, ["copy", "salt"], "left").withColumn(f"e{vendored}", F.col(f"e{vendored}") + F.coalesce("bonus", F.lit(0.0)))
     beliefs = propagate(scored.select("file_id", "path", *[f"e{i}" for i in k]))
     best = F.greatest(*_cols("b"))
     label = F.lit(LABELS[-1])
