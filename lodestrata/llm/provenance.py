@@ -222,7 +222,7 @@ def propagate(files: DataFrame) -> DataFrame:
             joined = here.join(top, parent(F.col("dir")) == F.col("up"), "left")
             cavity = [F.coalesce(p, F.lit(0.0)) - m for p, m in zip(_cols("p"), _cols("m"))]
             full = joined.select("dir", *_named([b + c for b, c in zip(_cols("b"), _downward(cavity, DIR_TIE))], "b"))
-        heard = full.select("dir", *[f"b{i}" for i in k])
+        heard = cut(full.select("dir", *[f"b{i}" for i in k]))
         levels[depth] = heard
     every = None
     for found in levels.values():
