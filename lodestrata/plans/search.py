@@ -73,6 +73,25 @@ def bm25_fuzzy(spark, d):
     return lexical.bm25(_path_queries(spark, d), _postings(spark, d), 10, fuzzy=True)
 
 
+# DuckDB's levenshtein counts bytes: letters beyond ASCII of the asked term (at most 26 distinct ones) become capitals, which no term has, and all others ~
+_CAPITALS = "translate({0}, e.odd, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_FUZZY_WHOLE = rf""" asked AS (SELECT query_id, term, max(weight) AS weight FROM (SELECT * FROM exact UNION ALL SELECT query_id, v.term, 0.45 FROM (SELECT *, array_to_string(list_distinct(regexp_extract_all(term, '[^\x00-\x7F]')), '') AS odd FROM exact) e
+  JOIN (SELECT DISTINCT term FROM post) v ON v.term <> e.term AND length(v.term) >= 2 AND abs(length(v.term) - length(e.term)) <= round(length(e.term) * 0.2)
+  AND levenshtein(regexp_replace({_CAPITALS.format("v.term")}, '[^\x00-\x7F]', '~', 'g'), {_CAPITALS.format("e.term")}) <= round(length(e.term) * 0.2)) GROUP BY 1, 2),"""
+
+
+@registry.query("bm25_prefix_text", _HEAD + _PREFIX + _SCORE + _ALL.format(k=10))
+def bm25_prefix_text(spark, d):
+    """Every term of the asked texts expanded."""
+    return lexical.bm25(_queries(spark, d), _postings(spark, d), 10, prefix=True)
+
+
+@registry.query("bm25_fuzzy_text", _HEAD + _FUZZY_WHOLE + _SCORE + _ALL.format(k=10))
+def bm25_fuzzy_text(spark, d):
+    """Every term of the asked texts expanded."""
+    return lexical.bm25(_queries(spark, d), _postings(spark, d), 10, fuzzy=True)
+
+
 @registry.query(
     "bm25_incremental",
     f"""WITH docs AS (SELECT doc_id, text FROM documents WHERE source <> 'commit'),

@@ -31,6 +31,45 @@ def test_prefix_and_fuzzy(spark, docs):
     assert run(spark, docs, "alpha", prefix=True)[0][0] == 1  # the exact term weighs more
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def rounded(x):
+    return int(x + 0.5)
+
+
+@pytest.mark.parametrize("kind", ["prefix", "fuzzy"])
+def test_whole_texts_are_expanded(spark, tmp_path, kind):
+    """The registered queries against brute force: terms of a text that its path lacks are expanded too."""
+    from lodestrata.plans import catalog
+    from lodestrata.plans.search import FIELDS
+
+    texts = {0: "index the token walker", 1: "tokens are indexed", 2: "indes tokan", 3: "walkers walked", 50: "Token walk indexe", 51: None}
+    rows = [(i, t, f"repo/x{i}.md", "wiki", "r", "en") for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, doc_path string, source string, repo_name string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    post = lexical.build_postings(docs, "doc_id", FIELDS)
+    vocabulary = {r.term for r in post.select("term").distinct().collect()}
+    near = (lambda q, v: len(q) >= 3 and v.startswith(q)) if kind == "prefix" else (lambda q, v: len(v) >= 2 and edits(q, v) <= rounded(len(q) * 0.2))
+    weight = {"prefix": 0.375, "fuzzy": 0.45}[kind]
+    asked = {}
+    for i in (0, 50):
+        for q in texts[i].lower().split():
+            asked[i, q] = 1.0
+            for v in vocabulary - {q}:
+                if near(q, v):
+                    asked[i, v] = max(asked.get((i, v), 0), weight)
+    want = lexical.top(lexical.score(spark.createDataFrame([(i, t, w) for (i, t), w in asked.items()], "query_id bigint, term string, weight double"), post), 10)
+    got = catalog.registry().fns[f"bm25_{kind}_text"](spark, str(tmp_path))
+    assert len(asked) > 7 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_boosts_and_update(spark):
     rows = spark.createDataFrame([(1, "x", "rare"), (2, "rare", "x")], "id int, body string, title string")
     post = lexical.build_postings(rows, "id", {"content": "body", "summary": "title"})
