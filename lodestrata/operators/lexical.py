@@ -11,6 +11,8 @@ count once; queries without terms have no results; ties go to the smaller id.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,28 +61,49 @@ def expand_prefix(asked: DataFrame, postings: DataFrame, weight: float = PREFIX_
 
 
 def expand_fuzzy(asked: DataFrame, postings: DataFrame, weight: float = FUZZY_WEIGHT, share: float = 0.2) -> DataFrame:
-    """Query terms and the vocabulary's terms within ``round(share * length)`` edits, at most 2 (so terms of 3 letters and more).
+    """Query terms and the vocabulary's terms within ``d = round(share * length)`` edits (so terms of 3 letters and more); ``share`` at most a half.
 
-    Two terms within d edits share one of d + 1 consecutive pieces of the shorter
-    cuts, which here are met by joining on deletions: every term is listed under all
-    results of deleting up to two letters, an equi-join whose matches are checked exactly.
+    For d of 1 and 2 terms meet by joining on deletions: every term is listed under all
+    results of deleting up to two letters. For more, the query term is cut into d + 1
+    consecutive pieces, one of which d edits must leave whole and shift by d at most: an
+    equi-join with the vocabulary's substrings of the pieces' lengths. Matches of both are
+    checked exactly.
     """
-    d = lambda c: F.least(F.lit(2), F.round(F.length(c) * share).cast("int"))
-    vocabulary = postings.select("term").distinct()
+    if not 0 < share <= 0.5:
+        raise ValueError("share must be above 0 and at most 0.5")
+    d = lambda c: F.round(F.length(c) * share).cast("int")
+    # the shortest terms that allow 2 and 3 edits
+    two_from, three_from = (math.ceil(x / share) for x in (1.5, 2.5))
+    vocabulary = postings.select(F.col("term").alias("found")).distinct().where(F.length("found") >= 2)
+    terms = asked.select("term").distinct()
 
     def deletions(col: str):
         c = F.col(col)
         once = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
         one = once(c)
-        # two deletions only where two edits may be allowed: from 8 letters (a neighbour may be two letters shorter or longer)
-        two = F.when(F.length(c) >= 6, F.flatten(F.transform(one, once))).otherwise(F.array().cast("array<string>"))
+        # two deletions only where two edits may be allowed (a neighbour may be two letters shorter or longer)
+        two = F.when(F.length(c) >= two_from - 2, F.flatten(F.transform(one, once))).otherwise(F.array().cast("array<string>"))
         return F.array_distinct(F.concat(F.array(c), one, two))
 
-    left = asked.select("query_id", "term", "weight").where(d("term") >= 1).withColumn("key", F.explode(deletions("term")))
-    right = vocabulary.select(F.col("term").alias("found")).where(F.length("found") >= 2).withColumn("key", F.explode(deletions("found")))
-    near = left.join(right, "key").select("query_id", "term", "found", "weight").distinct()
-    close = near.where((F.col("term") != F.col("found")) & (F.levenshtein("term", "found") <= d("term")))
-    more = close.select("query_id", F.col("found").alias("term"), (F.col("weight") * weight).alias("weight"))
+    left = terms.where((d("term") >= 1) & (d("term") <= 2)).withColumn("key", F.explode(deletions("term")))
+    right = vocabulary.where(F.length("found") < three_from + 2).withColumn("key", F.explode(deletions("found")))
+    near = left.join(right, "key").select("term", "found").distinct()
+
+    # piece i of d + 1 begins after floor(i * length / (d + 1)) letters
+    start = lambda i: F.floor(i * F.length("term") / (d("term") + 1)).cast("int")
+    piece = lambda i: F.struct((start(i) + 1).alias("at"), F.substr("term", start(i) + 1, start(i + 1) - start(i)).alias("key"))
+    # d edits leave at least length - d letters, and the pieces' lengths lie between these for every length
+    least = next(n for n in range(three_from, 2 * three_from) if math.floor(n * share + 0.5) >= 3)
+    shortest, longest = max(1, int(least / (least * share + 1.5))), math.ceil(1 / share)
+    grams = lambda n: F.when(F.length("found") >= n, F.transform(F.sequence(F.lit(1), F.length("found") - n + 1), lambda i: F.struct(i.alias("stands"), F.substr("found", i, F.lit(n)).alias("key")))).otherwise(F.array().cast("array<struct<stands:int,key:string>>"))
+    pieces = terms.where(d("term") >= 3).select("term", F.inline(F.transform(F.sequence(F.lit(0), d("term")), piece)))
+    parts = vocabulary.where(F.length("found") >= three_from - math.floor(three_from * share + 0.5)).select("found", F.inline(F.concat(*(grams(n) for n in range(shortest, longest + 1)))))
+    within = (F.abs(F.col("at") - F.col("stands")) <= d("term")) & (F.abs(F.length("term") - F.length("found")) <= d("term"))
+    far = pieces.join(parts, "key").where(within).select("term", "found").distinct()
+
+    # levenshtein with a limit takes a number, not a column
+    close = near.unionByName(far).where((F.col("term") != F.col("found")) & (F.levenshtein("term", "found") <= d("term")))
+    more = asked.join(close, "term").select("query_id", F.col("found").alias("term"), (F.col("weight") * weight).alias("weight"))
     return asked.unionByName(more).groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
 
 

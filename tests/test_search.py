@@ -1,6 +1,7 @@
 """Lexical and vector search: edge cases, properties, plans."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import fusion, lexical
@@ -70,6 +71,31 @@ def test_whole_texts_are_expanded(spark, tmp_path, kind):
     assert len(asked) > 7 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_fuzzy_allows_the_whole_share_of_long_terms(spark):
+    """Every term against brute force, with 1 to 7 edits allowed."""
+    import random
+
+    rng = random.Random(5)
+    words = set()
+    for n in (2, 3, 7, 8, 12, 13, 14, 17, 18, 22, 23, 35):
+        for _ in range(3):
+            base = "".join(rng.choice("abc") for _ in range(n))
+            words.add(base)
+            for e in range(1, 9):
+                w = base
+                for _ in range(e):
+                    i = rng.randrange(len(w) + 1)
+                    w = rng.choice((w[:i] + w[i + 1 :], w[:i] + rng.choice("abc") + w[i:], w[:i] + rng.choice("abc") + w[i + 1 :]))
+                words.add(w)
+    words = sorted(w for w in words if w)
+    post = spark.createDataFrame([(w,) for w in words], "term string")
+    asked = spark.createDataFrame([(1, w, 1.0) for w in words], "query_id int, term string, weight double")
+    asked = asked.withColumn("query_id", F.dense_rank().over(Window.orderBy("term")) - 1)
+    got = {(words[r.query_id], r.term) for r in lexical.expand_fuzzy(asked, post).collect()}
+    want = {(q, v) for q in words for v in words if q == v or len(v) >= 2 and edits(q, v) <= rounded(len(q) * 0.2)}
+    assert any(edits(q, v) >= 5 for q, v in want) and got == want
+
+
 def test_boosts_and_update(spark):
     rows = spark.createDataFrame([(1, "x", "rare"), (2, "rare", "x")], "id int, body string, title string")
     post = lexical.build_postings(rows, "id", {"content": "body", "summary": "title"})
