@@ -263,6 +263,48 @@ def generate_queries(spark, d):
     return names.unionByName(told).unionByName(calls).dropDuplicates(["query_type", "query"])
 
 
+_ASKED = ("function", "method", "class", "interface", "type_alias", "module")
+
+
+@registry.query(
+    "benchmark_queries",
+    rf"""WITH en AS (SELECT DISTINCT id, metadata.name AS name, coalesce(metadata.chunk_type, 'function') AS kind, nl_summary, file_path FROM chunks WHERE id IS NOT NULL),
+    nm AS (SELECT * FROM en WHERE name <> ''), ky AS (SELECT id, name, kind, unnest([id, file_path || '#' || name, file_path]) AS node FROM nm),
+    ts AS (SELECT regexp_replace(file_path, '(?s)^(.*?)\.(test|spec)\.', '\1.') AS file_path, id AS other FROM en WHERE regexp_matches(file_path, '\.(test|spec)\.[^.]+\z')),
+    rl AS (SELECT 'callers' AS query_type, 'callers of ' || name AS query, id AS source_id, e.source AS expected_id FROM ky JOIN graph_edges e ON e.target = node WHERE e.type IN ('calls', 'references', 'imports') AND e.source IS NOT NULL
+     UNION SELECT 'imports', 'imports of ' || name, id, e.target FROM ky JOIN graph_edges e ON e.source = node WHERE e.type = 'imports' AND e.target IS NOT NULL AND kind IN {_ASKED}
+     UNION SELECT 'tests', 'tests for ' || name, id, other FROM nm JOIN ts USING (file_path) WHERE kind IN {_ASKED})
+    SELECT * FROM rl UNION SELECT query_type, query, source_id, source_id FROM rl
+    UNION SELECT 'name', name || ' ' || CASE kind WHEN 'type_alias' THEN 'type' ELSE kind END, id, id FROM nm WHERE kind IN {_ASKED}
+    UNION SELECT 'summary', nl_summary, id, id FROM en WHERE length(nl_summary) > 20 AND kind IN {_ASKED}""",
+)
+def benchmark_queries(spark, d):
+    """All five kinds, with a row for each expected id: those related and the entity itself.
+
+    An entity has the edges of its id, of ``file#name`` and of its file; ids at their other ends stay as they are.
+    """
+    en = _entities(spark, d).where("id is not null").withColumn("kind", F.coalesce("kind", F.lit("function")))
+    named, asked = en.where("name <> ''"), c("kind").isin(*_ASKED)
+    keyed = named.select("id", "name", "kind", F.explode(F.array("id", F.concat("file_path", F.lit("#"), "name"), "file_path")).alias("node"))
+    edges = table(spark, d, "graph_edges").select("source", "target", "type").where("source is not null and target is not null").distinct()
+    tests = en.where(c("file_path").rlike(r"\.(test|spec)\.[^.]+\z")).select(F.regexp_replace("file_path", r"(?s)^(.*?)\.(test|spec)\.", "$1.").alias("file_path"), c("id").alias("other"))
+
+    def of(kind, text, rows, expected):
+        return rows.select(F.lit(kind).alias("query_type"), text.alias("query"), c("id").alias("source_id"), c(expected).alias("expected_id"))
+
+    called = keyed.join(edges.where(c("type").isin("calls", "references", "imports")).withColumnRenamed("target", "node"), "node")
+    imported = keyed.where(asked).join(edges.where("type = 'imports'").withColumnRenamed("source", "node"), "node")
+    related = (
+        of("callers", F.concat(F.lit("callers of "), "name"), called, "source")
+        .unionByName(of("imports", F.concat(F.lit("imports of "), "name"), imported, "target"))
+        .unionByName(of("tests", F.concat(F.lit("tests for "), "name"), named.where(asked).join(tests, "file_path"), "other"))
+    )
+    label = F.when(c("kind") == "type_alias", "type").otherwise(c("kind"))
+    alone = of("name", F.concat_ws(" ", "name", label), named.where(asked), "id").unionByName(of("summary", c("nl_summary"), en.where(asked & (F.length("nl_summary") > 20)), "id"))
+    expected = F.explode(F.array("source_id", "expected_id"))
+    return related.select("query_type", "query", "source_id", expected.alias("expected_id")).unionByName(alone).distinct()
+
+
 @registry.query(
     "template_queries",
     f"WITH {_ENT}, b AS (SELECT name, kind, count(DISTINCT id) AS n FROM en WHERE name IS NOT NULL GROUP BY 1, 2) SELECT replace(replace(t, 'NAME', name), 'KIND', coalesce(kind, 'code')) AS query, n AS expected, CASE WHEN n = 1 THEN 'easy' WHEN n <= 3 THEN 'medium' ELSE 'hard' END AS difficulty FROM b, (VALUES ('find the KIND NAME'), ('how does NAME work'), ('usage of NAME')) v(t)",
