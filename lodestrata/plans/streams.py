@@ -90,7 +90,7 @@ def umap_fuzzy_graph(spark, d):
 
 @registry.query("umap_layout")
 def umap_layout(spark, d):
-    return visual.minmax(visual.layout(_graph(spark, d), epochs=50), ["x", "y"]).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return visual.minmax(visual.layout(_graph(spark, d)), ["x", "y"]).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 _PAGE_TEXT = "repo_name || ' (' || source || ')' || chr(10) || 'no ' || doc_id"

@@ -211,3 +211,21 @@ def test_connectors(spark, tmp_path):
     got = connectors.pages(raw).collect()
     assert [(p.path, p.text, p.version) for p in got] == [("confluence/S/A/T", "new", 2)]
     assert connectors.pages(raw, since="2026-01-01").count() == 0
+
+
+def test_registered_layout_takes_all_epochs(spark, monkeypatch):
+    import inspect
+
+    from lodestrata.plans import streams
+
+    layout, seen = visual.layout, []
+
+    def spy(*args, **kw):
+        bound = inspect.signature(layout).bind(*args, **kw)
+        bound.apply_defaults()
+        seen.append(bound.arguments["epochs"])
+        return layout(*args, **kw)
+
+    monkeypatch.setattr(visual, "layout", spy)
+    streams.umap_layout(spark, "/root/testdata/sf0.001")
+    assert seen == [200]
