@@ -220,7 +220,8 @@ class Frozen:
         units: list[tuple[np.ndarray, int, int]] = []  # (scores, words, sentence)
         for k, (scores, words, _) in enumerate(parts):
             whole = scores.sum(axis=0)
-            if scores.max(axis=1).sum() - whole.max() <= INSIDE:
+            # a change inside may spare the changes to both neighbours
+            if scores.max(axis=1).sum() - whole.max() <= INSIDE - BETWEEN * ((k > 0) + (k < len(parts) - 1)):
                 units.append((whole, len(words), k))  # no change inside can pay
             else:
                 units += [(row, 1, k) for row in scores]

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,37 @@ def test_prose_leaves_code_out():
     assert L.sentences(None) == [] and L.sentences(" \n ") == [] and L.sentences("12 0xff a1b2") == []
 
 
+def test_spans_are_those_of_viterbi_over_words():
+    """A change inside a sentence that replaces the changes to its neighbours; random scores against all words as units."""
+    rng = np.random.default_rng(3)
+    model = L.Frozen(["de", "en", "it"], {}, {}, {})
+    vocabulary = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    score = {w: -np.round(rng.uniform(0, 4, 3), 3) for w in vocabulary}
+    score |= {"aa": np.array([0.0, -3.0, -9.0]), "bb": np.array([-3.0, 0.0, -9.0])}
+    model.scores = lambda words: np.array([score[w] for w in words])
+
+    def total(path, sentence, words):
+        changes = sum(0 if a == b else L.INSIDE if s == t else L.BETWEEN for a, b, s, t in zip(path, path[1:], sentence, sentence[1:]))
+        return sum(score[w][i] for w, i in zip(words, path)) - changes
+
+    def best(sentence, words):
+        at = score[words[0]].copy()
+        for i in range(1, len(words)):
+            at = np.maximum(at, at.max() - (L.INSIDE if sentence[i] == sentence[i - 1] else L.BETWEEN)) + score[words[i]]
+        return at.max()
+
+    texts = ["aa aa aa aa aa aa. aa aa aa aa bb bb bb bb. bb bb bb bb bb bb."]
+    for _ in range(300):
+        texts.append(" ".join(" ".join(rng.choice(vocabulary, rng.integers(2, 9))) + "." for _ in range(rng.integers(1, 6))))
+    for text in texts:
+        parts = L.sentences(text)
+        words = [w for ws, _ in parts for w in ws]
+        sentence = [k for k, (ws, _) in enumerate(parts) for _ in ws]
+        path = [lang for lang, n, _, _ in model.label(text) for _ in range(n)]
+        assert len(path) == len(words) and abs(total(path, sentence, words) - best(sentence, words)) < 1e-6
+    assert [(lang, n) for lang, n, _, _ in model.label(texts[0])] == [(0, 6), (0, 4), (1, 4), (1, 6)]
+
+
 @needs_data
 def test_held_out_samples_and_mixtures(spark):
     samples = spark.read.parquet(f"{DATA}/lang_samples.parquet")
