@@ -37,7 +37,6 @@ LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 #: Vendor directories hold hardly anything else, other directories are mixed.
 FILE_TIE = (0.5, 0.5, 0.5, 0.95, 0.5)
 DIR_TIE = (0.55, 0.55, 0.55, 0.9, 0.55)
-MAX_DEPTH = 64
 
 CODE = frozenset("ts tsx js jsx mjs cjs py go java c h cc cpp hpp cs rb rs php kt swift scala css scss sh sql".split())
 
@@ -200,7 +199,7 @@ def propagate(files: DataFrame) -> DataFrame:
     up = cut(up)
     # messages of files summed per directory; directories then send theirs, deepest first
     own = cut(up.groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"s{i}") for i in k]).where("dir <> ''").withColumn("depth", F.size(F.split("dir", "/"))))
-    deepest = min(MAX_DEPTH, own.agg(F.max("depth")).first()[0] or 0)
+    deepest = own.agg(F.max("depth")).first()[0] or 0
     levels: dict[int, DataFrame] = {}
     below: DataFrame | None = None
     for depth in range(deepest, 0, -1):

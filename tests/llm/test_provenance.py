@@ -70,3 +70,11 @@ def test_operator_edges(spark):
     assert got[7] == "vendored"  # a copy of what stands in a vendor directory elsewhere
     assert len(P.label_files(df).collect()) == 7
     assert P.not_handwritten(df.limit(0)).count() == 0
+
+
+def test_deep_directories_are_heard(spark):
+    path = "r/" + "d/" * 64 + P.DIR_NAMES["generated"].split()[0] + "/x.js"
+    df = spark.createDataFrame([(1, path, *[0.0] * len(P.LABELS))], "file_id bigint, path string, " + ", ".join(f"e{i} double" for i in range(len(P.LABELS))))
+    row = P.propagate(df).first()
+    beliefs = [row[f"b{i}"] for i in range(len(P.LABELS))]
+    assert P.LABELS[beliefs.index(max(beliefs))] == "generated"
