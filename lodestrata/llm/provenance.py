@@ -259,11 +259,12 @@ def label_files(files: DataFrame, *, file_id: str = "file_id", path: str = "file
     seen = cut(rows.mapInPandas(_evidence, f"file_id {kind}, path string, {fields}, copy string").distinct())
     vendored = LABELS.index("vendored")
     in_vendor = F.exists(F.split(F.lower("path"), "/"), lambda x: x.isin(DIR_NAMES["vendored"].split()))
+    repo = F.substring_index("path", "/", 1)
     copies = (
         seen.where(F.col("copy").isNotNull())
         .groupBy("copy")
-        .agg(F.approx_count_distinct(F.substring_index("path", "/", 1)).alias("repos"), F.max((in_vendor | (F.col(f"e{vendored}") > 5)).cast("int")).alias("foreign"))
-        .where("repos > 1 and foreign = 1")
+        .agg(F.min(repo).alias("first"), F.max(repo).alias("last"), F.max((in_vendor | (F.col(f"e{vendored}") > 5)).cast("int")).alias("foreign"))
+        .where("first <> last and foreign = 1")
         .select("copy", F.lit(5.0).alias("bonus"))
     )
     # rows without a body get keys of their own, as nulls would meet in one task

@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from lodestrata.llm import provenance as P
 
 HAND = "import os\n\ndef load(path):\n    with open(path) as f:\n        return [line.strip() for line in f if line]\n\n\ndef main():\n    for row in load('x'):\n        print(row.upper())\n"
@@ -78,3 +80,13 @@ def test_deep_directories_are_heard(spark):
     row = P.propagate(df).first()
     beliefs = [row[f"b{i}"] for i in range(len(P.LABELS))]
     assert P.LABELS[beliefs.index(max(beliefs))] == "generated"
+
+
+def test_copies_in_any_two_repositories(spark):
+    """Also in two whose names an estimate of distinct values takes for one."""
+    pairs = spark.range(8000).selectExpr("id", "explode(array('a', 'b')) as side").selectExpr("id", "concat('r', id, side) as repo")
+    pair = pairs.groupBy("id").agg(F.approx_count_distinct("repo").alias("n")).where("n = 1").orderBy("id").first().id
+    content = (HAND * 2).replace("load", "q")
+    rows = [(1, f"r{pair}a/node_modules/p/b.js", content), (2, f"r{pair}b/lib/p/c.js", content)]
+    df = spark.createDataFrame(rows, "file_id bigint, file_path string, content string")
+    assert {r.file_id: r.label for r in P.label_files(df).collect()} == {1: "vendored", 2: "vendored"}
