@@ -1,28 +1,40 @@
 """Credentials in source code: their places, and contents with them redacted.
 
-Texts are read lexically: names (with their words), string literals with their
-delimiters and escapes, bare values of configuration files, comments and
-commands. A literal is a credential if it is assigned or passed to a
-credential-named identifier, stands in a place that only takes credentials
-(user and password of an address, authorization headers, login calls), or has
-the public form of a key; and if its content is no placeholder, reference or id.
-Only the content of the literal is replaced: delimiters, escapes and line feeds
-around and inside it stay, so the code still parses.
+One pass cuts a text into tokens: names, string literals (prefix, delimiters,
+escapes, templates within templates), comments, operators, brackets with their
+partners, line ends. Contents of literals and comments are cut the same way
+again, as they hold commands, settings and prose. Decisions are taken on the
+tokens. A literal is a credential if it is assigned or passed to a
+credential-named identifier (an assignment, key, attribute, default, setter or
+constructor), stands in a place that only takes credentials (user and password
+of an address, authorization headers, login calls), or has the public form of a
+key; and if its content is no placeholder, reference, prose or id. Bare values
+count in configuration, commands, comments and the insides of strings. Only the
+content of the literal is replaced: delimiters, escapes and line feeds around
+and inside it stay, so the code still parses.
+
+Every character is read once per level of nesting, and every rule looks at
+tokens beside the name, so time grows in proportion to the text also where all
+of it is one line.
 
 Defined edge cases
     null and empty contents have no findings and come out unchanged; lines are
     counted from 1 at line feeds; repeated rows count once; a literal found by
     several rules is one finding; a literal in pieces (concatenated, or a list that
-    is joined) begins at its first piece and is redacted in every piece. Very long texts
-    are read whole.
+    is joined) begins at its first piece and is redacted in every piece; of a list
+    under a plural name every literal is one finding. A literal that is never
+    closed ends with its line, a template or comment with the text. Very long texts
+    are read whole. How long a value must be follows from its characters
+    (``BITS``): five of mixed case and digits are enough, three small letters are not.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import math
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,55 +42,168 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "REDACTED"
+#: what a value must hold, in bits: its length times the logarithm of the number of characters of the kinds that it uses
+BITS = 28.0
 
 # fixed values: endings of credential names (words joined, lower case), and the last words that make a name one only as a whole word
-ENDINGS = (
+ENDINGS = tuple(
     "password passwd passphrase pwd secret credential credentials apikey accesskey secretkey privatekey signingkey authkey encryptionkey masterkey authtoken accesstoken webhooktoken "
-    "apitoken refreshtoken bearertoken bearer smtppass dbpass userpass mailpass adminpass adminpw rootpw dbpw userpw"
-).split()
+    "apitoken refreshtoken bearertoken bearer smtppass dbpass userpass mailpass adminpass adminpw rootpw dbpw userpw".split()
+)
 WORDS = frozenset("pass pw tok auth passcode".split())
 PLACEHOLDERS = frozenset(
     "password passwd secret changeme change_me changeit replace_me replaceme todo fixme tbd none null nil undefined true false yes no example dummy placeholder redacted removed hidden "
     "default string str text required optional empty unset test user token key value pass".split()
 )
-
-_hint = re.compile(
-    r"pass(?!age|ed|es|ing|ive|ion)|pwd|secret|credential|api[_.\- ]?key|access[_.\- ]?key|(?:private|signing|auth|encryption|master|secret)[_.\- ]?key|(?:auth|access|webhook|api|refresh|bearer)[_.\- ]?token|bearer|tok|[ _.\"'-]pw\b|adminpw|rootpw|auth(?!or)|://|akia|gh[opusr]_|xox|sk_live|npm_|aiza|eyj|login|curl|basic "
+#: fixed values: first words of functions that read, check or make a credential rather than take one
+READERS = frozenset(
+    "get read load fetch find lookup resolve retrieve require hash check verify validate is has encrypt decrypt compare match reset generate gen make create derive prompt ask input enter forget "
+    "forgot test mask redact hide show print log parse decode encode format sanitize strip scan delete remove drop rotate revoke expire label on handle render describe".split()
 )
-_name = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_][\w]*)*")
+#: fixed values: words that literals with blanks have if they are prose
+PROSE = frozenset("a an the your you my is are was be must may can please enter type of to for in on at and or not no with from by it this that should must at least characters".split())
+
+#: what any finding needs, in lower case: plain roots, and forms around commoner words
+ROOTS = "pwd secret credential bearer :// akia ghp_ gho_ ghu_ ghs_ ghr_ xox sk_live npm_ aiza eyj login curl basic identified rootpw adminpw".split()
+_forms = re.compile(r"(?<!com)pass(?!age|ed|es|ing|ive|ion)|pw(?![a-z])|tok(?!en)|tokens?(?=[\"'`]?[ \t\])]*(?:[:=]|\?|\|\||or\b))")
+_keys = re.compile(r"(?:api|access|private|signing|auth|encryption|master|secret)[_.\- ]?key")
+_tokens = re.compile(r"(?:auth|access|webhook|api|refresh|bearer)[_.\- ]?token|auth(?!or)|log in")
+
+
+def hinted(low: str) -> bool:
+    """Whether a text in lower case holds anything that a finding needs."""
+    return any(root in low for root in ROOTS) or _forms.search(low) is not None or ("key" in low and _keys.search(low) is not None) or (("auth" in low or "oken" in low or "log in" in low) and _tokens.search(low) is not None)
+
+
 _camel = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
-_string = re.compile(r"(?P<p>[bBrRuUfF]{0,2})(?P<q>\"\"\"|'''|\"|'|`)(?P<v>(?:\\.|(?!(?P=q))[^\\])*?)(?P=q)", re.S)
 _public = re.compile(
-    r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{30,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{30,}|AIza[\w-]{30,}|(?<![\w-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})(?![A-Za-z0-9])"
 )
-_url = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@'\"`<>]+:(?P<v>[^\s/@'\"`<>]+)@[\w.-]")
+_url = re.compile(r"://[^\s/:@'\"`<>]+:(?P<v>[^\s/@'\"`<>]+)@[\w.-]")
 _bearer = re.compile(r"\b(?P<k>Bearer|Basic|Token)\s+(?P<v>[A-Za-z0-9+/=_.~\-]{12,})")
 _pem = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
-_pair = re.compile(r"\b(?:auth\s*=\s*\(|(?:[sS]et)?[bB]asic_?[aA]uth\w*\s*\(|\w*[lL]og_?[iI]n\s*\(|\w*[cC]redentials?\s*\(|\w*[aA]uthenticate\s*\(|HTTPBasicAuth\s*\()\s*(?=[\"'`])")
 _old_login = re.compile(r"\blog_?in\s+[\w.@-]+\s*[/:]\s*(?P<v>[^\s\"'`]+)", re.I)
-_user_flag = re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)[ =]+[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
-_auth_object = re.compile(r"[\"']?\bauth[\"']?\s*[:=]\s*\{[^{}]*?[\"']?(?:value|pass|password|key|token)[\"']?\s*[:=]\s*(?=[\"'])", re.I)
-_key_value = re.compile(r"[\"']?\s*[:=]?\s*")
-
-_type = r"(?:\s*\??\s*:\s*(?:const\s+)?(?:string|String|str|char|text|SecretStr|bytes)(?:\s*\|\s*\w+)*(?=\s*=))?"
-_assign = re.compile(r"[\"'`]?\s*\]?" + _type + r"\s*(?:=>|:=|=(?!=)|:)\s*|[\"'`]?\s*[\])]*\s*(?:\?\?=?|\|\|=?|\bor\b)\s*")
-_wrap = re.compile(
-    r"(?:await\s+|new\s+|return\s+|&|(?:[A-Za-z_][\w.]*\s*\(\s*)?(?:os\.environ\.get|os\.getenv|getenv|env|System\.getenv)\(\s*[\"'][^\"']*[\"']\s*,\s*|[A-Za-z_$][\w$.]*(?:\[[^\]\n]*\])?(?:\([^()\n]*\))?\s*(?:\?\?|\|\||\bor\b)\s*"
-    r"|(?:Buffer\.from|atob|base64\.(?:b64decode|urlsafe_b64decode)|b64decode|bytes\.fromhex|String|str|bytes|Secret|SecretStr|List\.of|Arrays\.asList|Base64\.getDecoder\(\)\.decode|base64\.StdEncoding\.DecodeString)\(\s*|[\(\[\{]\s*)"
-)
-_passed = re.compile(r"[\"'`]\s*,\s*")
-_attribute = re.compile(r"[\"']\s+(?:value|val|content|default)\s*=\s*(?=[\"'])", re.I)
+_user_flag = re.compile(r"(?:-u|--user)[ =]+[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
+_login_call = re.compile(r"(?:^|.*\.)(?:(?:set)?basic_?auth\w*|\w*log_?in|\w*credentials?|\w*authenticate)$", re.I)
+
+_type = re.compile(r"\s*\??\s*:\s*(?:const\s+)?(?:string|String|str|char|text|SecretStr|bytes)(?:\s*\|\s*\w+)*(?=\s*=)")
+_assign = re.compile(r"\s*(?:=>|:=|=(?!=)|:(?!:))\s*")
+_default = re.compile(r"\s*[\])]*\s*(?:\?\?=?|\|\|=?|\bor\b)\s*")
+_passed = re.compile(r"\s*,\s*")
+_attribute = re.compile(r"\s+(?:value|val|content|default)\s*=\s*(?=[\"'])", re.I)
 _element = re.compile(r">\s*(?P<v>[^<>\s]+)\s*</")
 _told = re.compile(r"[\"'`]?\s+(?:is|was|to|are|=|:)\s+|\s+(?=`)")
-_flag_value = re.compile(r"(?:[ =]\s*)(?=[\"'\S])")
+_said = re.compile(r"\s+(?:is|was|=|:)\s+|:\s+|\s+(?=`)")
+_flag_value = re.compile(r"[ =]\s*(?=\S)")
 _next_value = re.compile(r"[\"']?[ \t\r]*\n[ \t]*value\s*:\s*")
 _bare = re.compile(r"[^\s\"'`,;<>{}()\[\]]+")
-_more = re.compile(r"\s*(?:,|\+|\.|\\|&)?\s*(?=[\"'`])")
 _expression = re.compile(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+\(?|^[A-Za-z_$][\w$.]*\(|^\w+::")
-_comment = re.compile(r"^\s*(?://|#|\*|/\*|--|<!--|;)|\s(?://|#)\s")
+_key_runs = re.compile(r"[A-Za-z0-9+/=]{8,}")
+_space = re.compile(r"\s+")
+_digits = re.compile(r"\d+")
+_setting = re.compile(r"(?:export|ENV|ARG)?[A-Z][A-Z0-9_]*")
+
+DECODERS = frozenset("Buffer.from atob base64.b64decode base64.urlsafe_b64decode b64decode bytes.fromhex String str bytes Secret SecretStr base64.StdEncoding.DecodeString".split())
+LISTS = frozenset("List.of Arrays.asList Set.of".split())
+LOOKUPS = frozenset("os.environ.get os.getenv getenv env System.getenv".split())
+
+SLASH = frozenset("ts tsx js jsx mjs cjs go java css scss c cc h cpp hpp cs rs php kt swift scala json jsonc".split())
+CODE = frozenset("ts tsx js jsx mjs cjs py go java sql css c cpp rs rb php kt cs swift scala".split())
+PROSE_FILES = frozenset(("md", "txt"))
+
+# ---- the lexer ----------------------------------------------------------------------------
+
+_quoted = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+_triple = r"(?P<t>[bBrRuUfF]{0,2}(?P<q>\"\"\"|''')(?P<tv>(?:[^\\\"']|\\.|(?!(?P=q))[\"'])*)(?:(?P=q)|\Z))"
+_rest = r"|(?P<w>[^\W\d][\w$]*(?:[.\-][^\W\d]\w*)*|\$[\w$]*(?:[.\-][^\W\d]\w*)*)|(?P<n>\n)|(?P<b>[^\S\n]+|\d+|[^\x00-\x7f]|\\.|\Z)|(?P<o>=>|:=|===?|!==?|\?\?=?|\|\|=?|&&|->|::|.)"
+
+
+def _lexer(comment: str, raw: str = "", quoted: str = _quoted) -> re.Pattern:
+    return re.compile(rf"(?P<c>{comment})|{_triple}{raw}|(?P<s>[bBrRuUfF]{{0,2}}(?:{quoted}))" + _rest, re.S)
+
+
+_raw = r"|(?P<r>r(?P<h>#+)\"(?P<rv>.*?)(?:\"(?P=h)|\Z))|(?P<a>\$?@\"(?P<av>(?:[^\"]|\"\")*)\")"
+_line_hash = r"(?<!\S)#[^\n]*"
+LEXERS = {
+    "slash": _lexer(r"//[^\n]*|/\*.*?(?:\*/|\Z)", _raw + r"|(?P<k>`)"),
+    "py": _lexer(r"#[^\n]*"),
+    "sql": _lexer(r"--[^\n]*|/\*.*?(?:\*/|\Z)"),
+    "hash": _lexer(_line_hash + r"|(?m:^)[ \t]*;[^\n]*", quoted=_quoted + r"|`[^`\n]*`"),
+}
+# prose and insides: an apostrophe inside a word is none that opens; escaped delimiters delimit too
+_inner = (r"|(?P<e>\\(?P<eq>[\"'])(?P<ev>[^\\\"'\n]*)\\(?P=eq))", r"\"(?:\\.|[^\"\\\n])*\"|(?<!\w)'(?:\\.|[^'\\\n])*'|`[^`\n]+`")
+LEXERS["text"] = _lexer(r"(?m:^)[ \t]*(?://|#|\*|--|;)[^\n]*|(?<=\s)(?://|\#)\s[^\n]*|<!--.*?(?:-->|\Z)|/\*.*?(?:\*/|\Z)", *_inner)
+LEXERS["comment"] = _lexer(r"(?!)", *_inner)  # a comment holds no other
+_regex = re.compile(r"/(?:\\.|[^/\\\n])+/")
+_template = re.compile(r"\\.|`|\$\{|\{|\}", re.S)
+
+
+def template_end(text: str, at: int, hi: int) -> int:
+    """End of the content of the template that begins at ``at``; templates inside its ``${}`` belong to it."""
+    inside: list[str] = []  # open braces of substitutions, and templates inside them
+    for m in _template.finditer(text, at, hi):
+        mark = m.group()
+        if mark == "`":
+            if not inside:
+                return m.start()
+            if inside[-1] == "`":
+                inside.pop()
+            else:
+                inside.append("`")
+        elif mark == "${":
+            if not inside or inside[-1] == "`":
+                inside.append("{")
+        elif mark == "{":
+            if inside and inside[-1] == "{":
+                inside.append("{")
+        elif mark == "}" and inside and inside[-1] == "{":
+            inside.pop()
+    return hi
+
+
+class Tokens:
+    """Tokens of ``text[lo:hi]``: kinds (``w`` name, ``s`` literal, ``c`` comment, ``n`` line end, ``o`` operator), places, contents, partners of brackets."""
+
+    def __init__(self, text: str, lo: int, hi: int, mode: str):
+        kinds, starts, ends, inner, pair = [], [], [], [], {}
+        open_: list[int] = []
+        match, at = LEXERS[mode].match, lo
+        while at < hi:
+            m = match(text, at, hi)
+            kind, end = m.lastgroup, m.end()
+            if kind == "b":
+                at = end
+                continue
+            span = None
+            if kind == "k":
+                close = template_end(text, at + 1, hi)
+                kind, span, end = "s", (at + 1, close), min(hi, close + 1)
+            elif kind == "s":
+                a = at
+                while text[a] not in "\"'`":
+                    a += 1
+                span = (a + 1, end - 1)
+            elif kind in "trae":
+                span = m.span({"t": "tv", "r": "rv", "a": "av", "e": "ev"}[kind])
+                kind = "s"
+            elif kind == "o":
+                c = text[at]
+                if c == "/" and mode == "slash" and (not kinds or kinds[-1] in "no" and text[starts[-1]] not in ")]}") and (m := _regex.match(text, at, hi)):
+                    at = m.end()
+                    continue
+                if c in "([{":
+                    open_.append(len(kinds))
+                elif c in ")]}" and open_:
+                    pair[open_.pop()] = len(kinds)
+            kinds.append(kind)
+            starts.append(at)
+            ends.append(end)
+            inner.append(span)
+            at = end
+        self.kinds, self.starts, self.ends, self.inner, self.pair = kinds, starts, ends, inner, pair
+
 
-CONFIG = frozenset("env properties yaml yml toml json xml ini cfg conf sh bash zsh md txt npmrc netrc".split())
-CODE = frozenset("ts tsx js jsx mjs cjs py go java sql css c cc cpp rs rb php kt cs swift scala".split())
+# ---- names and values -------------------------------------------------------------------------
 
 
 def words_of(name: str) -> list[str]:
@@ -95,15 +220,57 @@ def credential_name(name: str) -> bool:
     joined = "".join(words[-3:])
     if joined.endswith("compass") or "public" in words:
         return False
-    return words[-1] in WORDS or any(joined.endswith(e) for e in ENDINGS) or (len(words) == 1 and name.isupper() and bool(re.search(r"(?:SMTP|DB|USER|ADMIN|ROOT|MAIL)(?:PASS|PW)$|[A-Z]{4,}TOK$", name)))
-
-
-def placeholder(value: str) -> bool:
+    return words[-1] in WORDS or joined.endswith(ENDINGS) or (len(words) == 1 and name.isupper() and bool(re.search(r"(?:SMTP|DB|USER|ADMIN|ROOT|MAIL)(?:PASS|PW)$|[A-Z]{4,}TOK$", name)))
+
+
+NONE, STRICT, WEAK, PLURAL = range(4)
+SPECIAL = 4  # added for names that a rule of their own reads
+SPECIAL_NAMES = frozenset("login log key token identified auth curl u user value pass password".split())
+_kept: dict[str, int] = {}
+
+
+def kind_of_name(name: str) -> int:
+    """Whether a name is a credential's, the plural of one, or a token's, which need not be secret; kept per worker, as names repeat."""
+    kind = _kept.get(name)
+    if kind is None:
+        if len(_digits.findall(name)) > 2:
+            kind = NONE  # encoded data rather than a name
+        elif credential_name(name) or credential_name(name.rsplit("-", 1)[-1]):
+            kind = STRICT
+        elif (last := words_of(name)[-1:]) == ["token"]:
+            kind = WEAK
+        elif last and last[0].endswith("s") and (credential_name(name[:-1]) or last[0] == "tokens"):
+            kind = PLURAL
+        else:
+            kind = NONE
+        if name.lower() in SPECIAL_NAMES or _login_call.match(name):
+            kind += SPECIAL
+        if len(_kept) >= 1 << 17:
+            _kept.clear()
+        _kept[name] = kind
+    return kind
+
+
+def bits(value: str) -> float:
+    kinds = ((str.islower, 26), (str.isupper, 26), (str.isdigit, 10))
+    size = sum(n for test, n in kinds if any(map(test, value))) + (32 if any(not c.isalnum() for c in value) else 0)
+    return len(value) * math.log2(size or 32)
+
+
+def phrase_value(value: str) -> bool:
+    """Whether a literal with blanks is a value of several words rather than prose: digits in it, and no word of prose."""
+    parts = value.lower().split()
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not PROSE.intersection(p.strip(".,:;!?") for p in parts) and not value.rstrip().endswith((":", "?", "...")) and all(re.search(r"\d", p) or p.isalpha() for p in parts) and sum(bool(re.search(r"\d", p)) for p in parts) * 2 >= len(parts)
+
+
+def placeholder(value: str, blanks: bool = False) -> bool:
     """Whether a literal's content is a placeholder, a reference or prose rather than a value."""
     v = value.strip()
     low = v.lower()
-    if len(v) < 6 or low in PLACEHOLDERS or any(c.isspace() for c in v):
+    if bits(v) < BITS or low in PLACEHOLDERS or re.fullmatch(r"[A-Za-z][A-Za-z ]*[:?]", v):
         return True
+    if any(c.isspace() for c in v):
+        return not (blanks and phrase_value(v))
     if re.fullmatch(r"[*xX#.?_\-0]+|\$\w+|%\w+%|<[^<>]*>|\[[^\[\]]*\]|\{+.*\}+|\$\{.*|\$\(.*|@\w+@|__\w+__", v):
         return True
     if "${" in v or "{{" in v or "<your" in low or low.startswith(("your_", "your-", "my_", "my-", "./", "../", "/run/", "/etc/", "/var/", "vault:", "vault/", "!vault", "env:", "file:", "ref:", "secret/", "ssm:", "arn:", "op://", "data:", "sha256", "sha384", "sha512")):
@@ -113,7 +280,7 @@ def placeholder(value: str) -> bool:
     if re.fullmatch(r"\d+(?:\.\d+)?(?:ms|s|m|h|d)?", v) or re.fullmatch(r"[a-zA-Z][a-zA-Z0-9+.-]*://\S*", v):
         return True
     # the name of a setting rather than its value
-    return bool(re.fullmatch(r"[A-Z][A-Z0-9_]*|[A-Za-z_]\w*(?:[_.\-]\w+)*", v)) and not re.search(r"\d", v) and credential_name(v)
+    return not re.search(r"\d", v) and bool(re.fullmatch(r"[A-Za-z_]\w*(?:[_.\-]\w+)*", v)) and credential_name(v)
 
 
 def strong(value: str) -> bool:
@@ -128,216 +295,331 @@ def decoded(value: str) -> str | None:
         return None
 
 
+# ---- decisions on the tokens ------------------------------------------------------------------------
+
+
 class Scanner:
     """Findings of one text: groups of (start, end) spans, the first of which is where the value begins."""
 
     def __init__(self, text: str, ext: str):
         self.text, self.ext = text, ext
+        self.low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         self.groups: list[list[tuple[int, int]]] = []
-        self.taken: set[int] = set()
+        self.spans: list[tuple[int, int]] = []  # of all groups, sorted; they do not overlap
 
     def add(self, *spans: tuple[int, int]) -> bool:
-        if any(s in self.taken for s, _ in spans):
-            return True
-        if any(a <= spans[0][0] < b for g in self.groups for a, b in g):
-            return True
+        for a, _ in spans[:1]:
+            i = bisect_right(self.spans, (a, len(self.text) + 1)) - 1
+            if i >= 0 and (self.spans[i][0] == a or a < self.spans[i][1]):
+                return True
         self.groups.append(list(spans))
-        self.taken.update(s for s, _ in spans)
+        for s in spans:
+            insort(self.spans, s)
         return True
 
-    def line_start(self, at: int) -> int:
-        return self.text.rfind("\n", 0, at) + 1
+    def run(self) -> list[list[tuple[int, int]]]:
+        text = self.text
+        for m in _pem.finditer(text):
+            body = re.sub(r"\\[nrt]|[\s\"'+,|>#*/]", "", m.group("v"))
+            if len(re.sub(r"[^A-Za-z0-9=]", "", body)) >= 40:
+                runs = [x.span() for x in _key_runs.finditer(text, *m.span("v"))]
+                escaped = [(a + 1, b) if text[a - 1 : a] == "\\" and text[a] in "nrt" else (a, b) for a, b in runs]
+                self.groups.append([(m.start(), m.start()), *escaped])
+                for s in escaped:
+                    insort(self.spans, s)
+        for m in _url.finditer(text):
+            if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "+.-"):
+                if not placeholder(m.group("v").replace("%", "")) and not re.fullmatch(r"[A-Z_]+", m.group("v")):
+                    self.add(m.span("v"))
+        for m in _bearer.finditer(text):
+            if not placeholder(m.group("v")):
+                inner = decoded(m.group("v")) if m.group("k") == "Basic" else None
+                if m.group("k") == "Bearer" or (inner and ":" in inner and not placeholder(inner.split(":", 1)[1])):
+                    self.add(m.span("v"))
+        for m in _public.finditer(text):
+            self.add(m.span())
+        ext = self.ext
+        mode = "slash" if ext in SLASH else ext if ext in ("py", "sql") else "text" if ext in PROSE_FILES or ext in ("xml", "html", "") else "hash"
+        # what is still to be read: place, lexer, whether bare values count, whether it is a comment
+        self.todo = [(0, len(text), mode, ext not in CODE, False)]
+        while self.todo:
+            self.read(*self.todo.pop())
+        return self.groups
+
+    # ---- one range ----
+
+    def read(self, lo: int, hi: int, mode: str, bare: bool, comment: bool) -> None:
+        text, t = self.text, Tokens(self.text, lo, hi, mode)
+        self.t, self.bare, self.comment, self.hi = t, bare, comment, hi
+        self.known: dict[int, tuple[int, bool]] = {}  # where a value's wrapping ends, by token
+        self.at_token = {a: i for i, a in enumerate(t.starts)}
+        self.bare_end = lo
+        prose = comment or self.ext in PROSE_FILES
+        curl = code = False  # of this line: a curl command, words of code
+        auth = False  # inside the braces of an auth object
+        kinds, starts, ends = t.kinds, t.starts, t.ends
+        for i, kind in enumerate(kinds):
+            if kind == "n":
+                curl = code = False
+            elif kind == "w":
+                name = text[starts[i] : ends[i]]
+                if self.ext == "md":
+                    code = code or name.split(".")[0] in ("const", "let", "var", "self", "this", "func", "def", "return")
+                    self.bare = bare and (comment or not code or lo > 0) or bool(_setting.fullmatch(name))
+                if not kind_of_name(name):
+                    continue
+                if name == "curl":
+                    curl = True
+                elif curl and name in ("u", "user") and text[starts[i] - 1 : starts[i]] == "-":
+                    m = _user_flag.match(text, starts[i] - (2 if name == "user" else 1), hi)
+                    if m and not placeholder(m.group("v")):
+                        self.add(m.span("v"))
+                self.name(i, name, prose, quoted=None)
+                auth = self.auth_object(i, name, auth)
+            elif kind == "s":
+                a, b = t.inner[i]
+                if b - a <= 128 and (m := _whole_name.fullmatch(text, a, b)) and kind_of_name(m.group()):
+                    self.name(i, m.group(), prose, quoted=(a, b))
+                    auth = self.auth_object(i, m.group(), auth)
+                if self.bare_matters(a, b):
+                    self.todo.append((a, b, "comment" if comment else "text", True, comment))
+            elif kind == "c":
+                if self.bare_matters(starts[i], ends[i]):
+                    a = starts[i]
+                    while a < ends[i] and (text[a].isspace() or text[a] in "/#*-;<!"):
+                        a += 1
+                    self.todo.append((a, ends[i], "comment", True, True))
+            elif text[starts[i]] in "{}" and text[starts[i]] == "}":
+                auth = False
+            elif text[starts[i]] in ";{":
+                code = True
+
+    def bare_matters(self, a: int, b: int) -> bool:
+        return b - a > 3 and hinted(self.low[a:b])
+
+    def follows(self, i: int, what: str) -> bool:
+        return i < len(self.t.kinds) and self.text.startswith(what, self.t.starts[i]) and self.t.kinds[i] == "o"
+
+    def auth_object(self, i: int, name: str, auth: bool) -> bool:
+        """``auth: {user: ..., value: "..."}``: state of the object, and its literal."""
+        low = name.lower()
+        if low == "auth" and i + 2 < len(self.t.kinds) and self.text[self.t.starts[i + 1]] in ":=" and self.follows(i + 2, "{"):
+            return True
+        if auth and low in ("value", "pass", "password", "key", "token") and i + 2 < len(self.t.kinds) and self.text[self.t.starts[i + 1]] in ":=" and self.t.kinds[i + 2] == "s":
+            a, b = self.t.inner[i + 2]
+            if not placeholder(self.text[a:b]):
+                self.add((a, b))
+        return auth
+
+    def name(self, i: int, name: str, prose: bool, quoted: tuple[int, int] | None) -> None:
+        text, t = self.text, self.t
+        start, end = quoted or (t.starts[i], t.ends[i])
+        low = name.lower()
+        if low in ("login", "log") and prose and (m := _old_login.match(text, start, self.hi)) and not placeholder(m.group("v")):
+            self.add(m.span("v"))
+        if low in ("key", "token") and prose and i and t.kinds[i - 1] == "w" and t.ends[i - 1] == t.starts[i] - 1:
+            before = text[t.starts[i - 1] : t.ends[i - 1]].lower()
+            if before in ("api", "access", "auth") or before in (("private", "signing", "encryption", "master", "secret") if low == "key" else ("webhook", "refresh", "bearer")):
+                m = _said.match(text, end, self.hi)
+                self.in_reference = False
+                if m and self.value(m.end(), True):
+                    return
+        if not quoted:
+            self.call(i, name)
+        if low == "identified" and (m := re.compile(r"\s+BY\s+(?=['\"])", re.I).match(text, end, self.hi)):
+            self.in_reference = False
+            self.value(m.end(), False)
+        kind = kind_of_name(name) % SPECIAL
+        if kind:
+            self.named(i, name, start, end, kind, prose, quoted is not None)
+
+    def call(self, i: int, name: str) -> None:
+        """Logins with user and password; setters and constructors of credentials."""
+        t, n = self.t, len(self.t.kinds)
+        auth = name.lower() == "auth" and self.follows(i + 1, "=") and self.follows(i + 2, "(")
+        at = i + 2 if auth else i + 1
+        if not self.follows(at, "(") or at + 1 >= n or t.kinds[at + 1] != "s":
+            return
+        second = at + 3 if self.follows(at + 2, ",") else None
+        if auth or _login_call.match(name):
+            if second is not None and second < n and t.kinds[second] == "s" and not placeholder(self.text[slice(*t.inner[second])]):
+                self.add(t.inner[second])
+            return
+        last = name.rsplit(".", 1)[-1]
+        if kind_of_name(last) % SPECIAL != STRICT or words_of(last)[0] in READERS or name in DECODERS or words_of(last)[-1] in ("auth", "tok"):
+            return
+        if at in t.pair and (t.pair[at] == at + 2 or second is not None and second < n):
+            spans = self.literal(at + 1, False)
+            joined = "".join(self.text[a:b] for a, b in spans)
+            if t.pair[at] == at + 2 and not placeholder(joined) and "-----BEGIN" not in joined and not joined.startswith(("/", "#", ".")):
+                self.add(*spans)
 
-    def literal(self, at: int) -> list[tuple[int, int]]:
-        """Content spans of the string literal at ``at``, with the pieces that continue it."""
+    def literal(self, i: int, in_list: bool) -> list[tuple[int, int]]:
+        """Content spans of the string literal at token ``i``, with the pieces that continue it."""
+        t, text = self.t, self.text
         spans = []
-        while True:
-            m = _string.match(self.text, at)
-            if not m:
-                return spans
-            spans.append(m.span("v"))
-            more = _more.match(self.text, m.end())
-            glue = self.text[m.end() : more.end()] if more else ""
+        while i < len(t.kinds) and t.kinds[i] == "s":
+            spans.append(t.inner[i])
+            j, line, glue = i + 1, False, ""
+            while j < len(t.kinds) and (t.kinds[j] == "n" or (not glue and t.kinds[j] == "o" and text[t.starts[j]] in ",+.&" and t.ends[j] - t.starts[j] == 1)):
+                line |= t.kinds[j] == "n"
+                glue += text[t.starts[j]] if t.kinds[j] == "o" else ""
+                j += 1
+            if not glue and j < len(t.kinds) and "\\" in text[t.ends[j - 1] - 1 : t.starts[j]]:
+                glue = "\\"
             # operators join pieces anywhere; a comma or nothing does so between the lines of a list or brackets
-            if not glue or (glue.strip() in ("", ",") and not (self.in_list and "\n" in glue)):
-                return spans
-            at = more.end()
+            if glue in ("", ",") and not (in_list and line):
+                break
+            i = j
+        return spans
+
+    def unwrap(self, i: int) -> tuple[int, bool]:
+        """Token behind calls, brackets and defaults that wrap a value at ``i``, and whether a list was opened."""
+        t, text, n = self.t, self.text, len(self.t.kinds)
+        in_list, way = False, []
+        while i < n:
+            if i in self.known:
+                end, more = self.known[i]
+                i, in_list = end, in_list or more
+                break
+            way.append((i, in_list))
+            kind = t.kinds[i]
+            if kind == "n":
+                i += 1
+            elif kind == "o":
+                if text[t.starts[i]] in "([{":
+                    in_list = True
+                elif text[t.starts[i] : t.ends[i]] != "&":
+                    break
+                i += 1
+            elif kind == "w":
+                name = text[t.starts[i] : t.ends[i]]
+                if name in ("await", "new", "return"):
+                    i += 1
+                    continue
+                if name in LOOKUPS and self.follows(i + 1, "(") and i + 3 < n and t.kinds[i + 2] == "s" and self.follows(i + 3, ","):
+                    i += 4
+                    continue
+                j = i + 1
+                while self.follows(j, "[") and j in t.pair:
+                    j = t.pair[j] + 1
+                if self.follows(j, "(") and j in t.pair and name not in LISTS and name not in DECODERS:
+                    j = t.pair[j] + 1
+                if j < n and (self.follows(j, "??") or self.follows(j, "||") or (t.kinds[j] == "w" and text[t.starts[j] : t.ends[j]] == "or")):
+                    i = j + 1
+                    continue
+                if name in DECODERS and self.follows(i + 1, "("):
+                    i += 2
+                elif name in LISTS and self.follows(i + 1, "("):
+                    i, in_list = i + 2, True
+                elif name == "Base64.getDecoder" and self.follows(i + 1, "(") and text.startswith(").decode(", t.starts[min(i + 2, n - 1)]):
+                    i += 6
+                elif self.follows(i + 1, "(") and i + 4 < n and t.kinds[i + 2] == "w" and text[t.starts[i + 2] : t.ends[i + 2]] in LOOKUPS:
+                    i += 2
+                else:
+                    break
+            else:
+                break
+        for j, before in way:
+            self.known.setdefault(j, (i, in_list and not before))
+        return i, in_list
 
-    def value(self, at: int, bare: bool, weak: bool = False) -> bool:
+    def value(self, at: int, bare: bool, kind: int = STRICT) -> bool:
         """Whether a credential's value stands at ``at``, behind calls, brackets and defaults; it is added then."""
-        self.in_list = False
-        for _ in range(6):
-            m = _wrap.match(self.text, at)
-            if not m or m.end() == at:
-                break
-            self.in_list |= m.group().strip() in ("[", "(", "{", "List.of(", "Arrays.asList(")
-            at = m.end()
-        spans = self.literal(at)
-        if spans and self.in_list and re.compile(r"[\"'`]+[ \t]*,[ \t]*[bBrRuUfF]?[\"'`]").match(self.text, spans[-1][1]):
-            return False  # a tuple of user and password is the logins' rule
-        if spans:
-            joined = "".join(self.text[a:b] for a, b in spans)
+        t, text = self.t, self.text
+        first = self.at_token.get(at)
+        i, in_list = self.unwrap(first) if first is not None else (None, False)
+        if i is not None and i < len(t.kinds) and t.kinds[i] == "s":
+            if kind == PLURAL:
+                return in_list and self.members(i)
+            spans = self.literal(i, in_list)
+            j = i + 2 * len(spans) - 1
+            if in_list and len(spans) == 1 and self.follows(i + 1, ",") and i + 2 < len(t.kinds) and t.kinds[i + 2] == "s":
+                return False  # a tuple of user and password is the logins' rule
+            joined = "".join(text[a:b] for a, b in spans)
             if "-----BEGIN" in joined:
                 return False  # the rule of key blocks decides
             if joined.startswith(("Bearer ", "Basic ", "Token ")):
                 return False
-            if placeholder(joined) or (weak and not strong(joined)):
+            if placeholder(joined, blanks=j > 0 and not self.comment and self.ext != "md") or (kind == WEAK and not strong(joined)):
                 return False
             return self.add(*spans)
-        if not bare:
+        if not bare or kind == PLURAL:
             return False
+        if i is not None and i != first and i < len(t.kinds):
+            at = t.starts[i]
         if self.in_reference:  # ${NAME:-default} of a shell, ${NAME:?message}
-            if self.text[at : at + 1] == "?":
+            if text[at : at + 1] == "?":
                 return False
-            at += self.text[at : at + 1] in ("-", "=")
-        m = _bare.match(self.text, at)
+            at += text[at : at + 1] in ("-", "=")
+        if at < self.bare_end:
+            return False  # inside a value that was read
+        m = _bare.match(text, at, self.hi)
         if not m:
             return False
-        v = m.group().rstrip(".:") if self.ext == "md" or self.is_comment(at) else m.group()
+        self.bare_end = m.end()
+        v = m.group().rstrip(".:") if self.ext == "md" or self.comment else m.group()
         if _expression.match(v) and not re.search(r"\d", v):
             return False
-        if placeholder(v) or (v.isalpha() and len(v) < 8) or (weak and not strong(v)):
+        if placeholder(v) or (v.isalpha() and len(v) < 8) or (kind == WEAK and not strong(v)):
             return False
         return self.add((m.start(), m.start() + len(v)))
 
-    def is_comment(self, at: int) -> bool:
-        return bool(_comment.search(self.text[self.line_start(at) : at]))
-
-    def bare_allowed(self, start: int) -> bool:
-        """Unquoted values count in configuration, commands and prose, and in comments and strings of code."""
-        if self.ext not in CODE and self.ext != "md":
-            return True
-        before = self.text[self.line_start(start) : start]
-        if self.is_comment(start) or sum(before.count(q) for q in "\"'`") % 2:
-            return True
-        return self.ext == "md" and bool(re.match(r"\s*(?:export\s+)?[A-Z][A-Z0-9_]*$", before + self.name) or not re.search(r"\b(?:const|let|var|self|this|func|def|return)\b|[;{}]", before))
-
-    def named(self, start: int, end: int, weak: bool = False) -> bool:
+    def members(self, i: int) -> bool:
+        """The literals of a list under a plural name, each by itself."""
+        t, some = self.t, False
+        while i < len(t.kinds) and t.kinds[i] == "s":
+            v = self.text[slice(*t.inner[i])]
+            if not placeholder(v) and bool(re.search(r"\d", v)):
+                some = self.add(t.inner[i])
+            i += 1
+            while i < len(t.kinds) and (t.kinds[i] == "n" or self.follows(i, ",")):
+                i += 1
+        return some
+
+    def named(self, i: int, name: str, start: int, end: int, kind: int, prose: bool, quoted: bool) -> bool:
         text = self.text
-        self.name = text[start:end]
         self.in_reference = text[max(0, start - 2) : start] == "${"
-        bare = self.bare_allowed(start)
-        quoted = start > 0 and text[start - 1] in "\"'`"
-        m = _assign.match(text, end)
+        bare, hi = self.bare, self.hi
+        if quoted:
+            end = self.t.ends[i]
+        after = end
+        if text[after : after + 1] == "]" or (quoted and text[after : after + 1] == ")"):
+            after += 1
+        if m := _type.match(text, after, hi):
+            after = m.end()
+        m = _assign.match(text, after, hi) or _default.match(text, end, hi)
         if m and "\n" not in m.group().rstrip("\n \t\r"):
-            at = m.end()
-            same_line = "\n" not in m.group()
-            if self.value(at, bare and same_line, weak):
+            if self.value(m.end(), bare and "\n" not in m.group(), kind):
                 return True
-        if weak:
+        if kind != STRICT:
             return False
-        for pattern, allow_bare in ((_passed, False), (_attribute, False), (_next_value, True)):
-            if (m := pattern.match(text, end)) and (pattern is not _passed or quoted) and self.value(m.end(), allow_bare):
-                return True
-        if (m := _element.match(text, end)) and text[start - 1 : start] == "<" and not placeholder(m.group("v")):
+        if quoted and (m := _passed.match(text, end, hi)) and self.value(m.end(), False):
+            return True
+        if quoted and (m := _attribute.match(text, end, hi)) and self.value(m.end(), False):
+            return True
+        if (m := _next_value.match(text, end, hi)) and self.value(m.end(), True):
+            return True
+        if text[start - 1 : start] == "<" and (m := _element.match(text, end, hi)) and not placeholder(m.group("v")):
             return self.add(m.span("v"))
-        if (m := _told.match(text, end)) and (self.ext in ("md", "txt") or self.is_comment(start)) and self.value(m.end(), True):
+        if prose and (m := _told.match(text, end, hi)) and self.value(m.end(), True):
+            return True
+        if text[max(0, start - 2) : start] == "--" and (m := _flag_value.match(text, end, hi)) and self.value(m.end(), True):
             return True
-        if text[max(0, start - 2) : start] == "--" and (m := _flag_value.match(text, end)) and self.value(m.end(), True):
+        if self.ext == "sql" and (m := _space.match(text, end, hi)) and self.value(m.end(), False):
             return True
-        if re.search(r"\blogin\s+\S+\s+$", text[self.line_start(start) : start]) and (m := re.compile(r"\s+").match(text, end)):
+        t = self.t
+        if i >= 2 and t.kinds[i - 1] == t.kinds[i - 2] == "w" and text[t.starts[i - 2] : t.ends[i - 2]] == "login" and (m := _space.match(text, end, hi)):
             return self.value(m.end(), True)
         return False
 
-    def phrase(self, start: int, end: int) -> bool:
-        """Names of several words in prose: ``the api key is ...``."""
-        m = re.compile(r"\s+(?:is|was|=|:)\s+|:\s+|\s+(?=`)").match(self.text, end)
-        self.in_reference = False
-        self.name = self.text[start:end]
-        return bool(m) and (self.ext in ("md", "txt") or self.is_comment(start)) and self.value(m.end(), True)
-
-    def run(self) -> list[list[tuple[int, int]]]:
-        text = self.text
-        for m in _pem.finditer(text):
-            body = re.sub(r"\\[nrt]|[\s\"'+,|>#*/]", "", m.group("v"))
-            if len(re.sub(r"[^A-Za-z0-9=]", "", body)) >= 40:
-                runs = [x.span() for x in re.compile(r"[A-Za-z0-9+/=]{8,}").finditer(text, *m.span("v"))]
-                escaped = [(a + 1, b) if text[a - 1 : a] == "\\" and text[a] in "nrt" else (a, b) for a, b in runs]
-                self.groups.append([(m.start(), m.start()), *escaped])
-        low = text.lower()
-        at = 0
-        done = -1
-        while hint := _hint.search(low, at):
-            at = hint.end()
-            word = hint.group()
-            if word == "://":
-                m = _url.match(text, self.scheme(hint.start()))
-                if m and not placeholder(m.group("v").replace("%", "")) and not re.fullmatch(r"[A-Z_]+", m.group("v")):
-                    self.add(m.span("v"))
-                continue
-            if word in ("bearer", "basic "):
-                m = _bearer.match(text, hint.start())
-                if m and not placeholder(m.group("v")):
-                    inner = decoded(m.group("v")) if m.group("k") == "Basic" else None
-                    if m.group("k") != "Basic" or (inner and ":" in inner and not placeholder(inner.split(":", 1)[1])):
-                        self.add(m.span("v"))
-                        continue
-            if word in ("akia", "xox", "sk_live", "npm_", "aiza", "eyj") or word[:2] == "gh":
-                m = _public.match(text, hint.start())
-                if m:
-                    self.add(m.span())
-                    at = max(at, m.end())
-                    continue
-            if word == "curl":
-                m = _user_flag.match(text, hint.start())
-                if m and not placeholder(m.group("v")):
-                    self.add(m.span("v"))
-                continue
-            if word in ("auth", "login", "basic ", "credential"):
-                self.logins(hint.start())
-            if word == "login" and (m := _old_login.match(text, hint.start())) and (self.ext in ("md", "txt") or self.is_comment(hint.start())) and not placeholder(m.group("v")):
-                self.add(m.span("v"))
-            if " " in word.strip() and self.phrase(hint.start(), hint.end()):
-                continue
-            start = self.word_start(hint.end() - 1)
-            name = _name.match(text, start)
-            if not name or name.end() <= done:
-                continue
-            end = name.end()
-            full = name.group()
-            if credential_name(full):
-                done = end
-                self.named(start, end)
-            elif words_of(full)[-1:] == ["token"]:
-                done = end
-                self.named(start, end, weak=True)
-            elif credential_name(full.split("-")[-1]) and "--" not in full:
-                done = end
-                self.named(start, end)
-        return self.groups
-
-    def scheme(self, at: int) -> int:
-        while at > 0 and (self.text[at - 1].isalnum() or self.text[at - 1] in "+.-"):
-            at -= 1
-        return at
 
-    def word_start(self, at: int) -> int:
-        text = self.text
-        while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_$.-"):
-            at -= 1
-        while at < len(text) and not (text[at].isalpha() or text[at] in "_$"):
-            at += 1
-        return at
-
-    def logins(self, at: int) -> None:
-        line = self.line_start(at)
-        end = self.text.find("\n", at)
-        end = len(self.text) if end < 0 else end
-        for m in _pair.finditer(self.text, line, end):
-            first = _string.match(self.text, m.end())
-            if first and (comma := re.compile(r"\s*,\s*").match(self.text, first.end())):
-                second = _string.match(self.text, comma.end())
-                if second and not placeholder(second.group("v")):
-                    self.add(second.span("v"))
-        for m in _auth_object.finditer(self.text, line, end):
-            value = _string.match(self.text, m.end())
-            if value and not placeholder(value.group("v")):
-                self.add(value.span("v"))
+_whole_name = re.compile(r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_]\w*)*")
 
 
 def scan(text: str | None, path: str | None = None) -> list[list[tuple[int, int]]]:
     """Groups of content spans; each group is one credential."""
-    if not text:
+    if not text or not hinted(text.lower()):
         return []
     name = (path or "").rsplit("/", 1)[-1].lower()
     ext = re.sub(r"\.(?:orig|bak|sample)$", "", name).rsplit(".", 1)[-1] if "." in name else ""

@@ -1,5 +1,7 @@
 """Credentials: places by kind of file, placeholders, redaction."""
 
+import time
+
 import pytest
 
 from lodestrata.llm import secrets as S
@@ -27,6 +29,17 @@ CLEAN = [
 ]
 
 
+# setters, constructors, raw and verbatim literals, lists under plural names, SQL, blanks, escapes, templates
+FOUND += [
+    ("a.java", 'builder.setPassword("Zk39fjq20xLm");'), ("a.ts", 'client = withApiKey("Zk39fjq20xLm")'), ("a.go", 'x.SetSecret("Zk39fjq20xLm")'), ("a.rs", 'let passphrase = r#"Zk39"fjq20xLm"#;'), ("a.cs", 'var password = @"Zk39fjq20xLm";'),
+    ("a.py", "PASSWORDS = ['Zk39fjq20xLm', 'Zk39fjq20xLq']"), ("a.sql", "CREATE USER x IDENTIFIED BY 'Zk39fjq20xLm';"), ("a.py", 'password = "Zk39 fjq20 xLm7"'), ("a.ts", 'const p = `a ${f(`x`)} b`; const password = "Zk39fjq20xLm"'),
+    ("a.js", 'x = "{\\"password\\": \\"Zk39fjq20xLm\\"}"'), ("a.ts", "if (/['\"]/.test(x)) { password = 'Zk39fjq20xLm' }"), ("a.py", "password = 'aB3$e'"), ("a.py", "x = '''it's'''; password = 'Zk39fjq20xLm'"),
+]
+CLEAN += [
+    ("a.ts", "x = getPassword('Zk39fjq20xLm')"), ("a.ts", "password: 'Please enter your 8 digit password'"), ("a.ts", "el.setPassword('/auth/reset')"), ("a.py", "auth = 'md5'"), ("a.ts", "const rows = ['pWO2ionijlI1MSb2JmBb3PW', 'Zk39fjq20xLmZk39fjq20xLm'];"),
+]
+
+
 @pytest.mark.parametrize("path,text", FOUND)
 def test_found(path, text):
     assert lines("x\n" + text, path) == [2]
@@ -37,6 +50,20 @@ def test_clean(path, text):
     assert lines(text, path) == []
 
 
+def test_every_literal_of_a_plural_name():
+    text = "PASSWORDS = [\n  'Zk39fjq20xLm',\n  'Zk39fjq20xLq',\n]\n"
+    assert lines(text) == [2, 3] and S.redact(text, S.scan(text, "a.py")).count("'REDACTED'") == 2
+
+
+@pytest.mark.parametrize("unit", ["auth(x,y);", 'auth="falcon50701*",', "password=", "pw||", "curl -u ", "secret:[", "password:f(", '"password":{', "{auth:", 'r#"pwd', '"""pwd', "login a ", "`${pwd", "eyJaaaaaaaaaa-", "pwd/*", "pwd'\\'"])
+@pytest.mark.parametrize("path", ["a.js", "a.md"])
+def test_half_a_megabyte_on_one_line(unit, path):
+    text = unit * ((1 << 19) // len(unit))
+    began = time.process_time()
+    S.scan(text, path)
+    assert time.process_time() - began < 2.0
+
+
 def test_pieces_begin_at_the_first():
     text = 'const authToken = [\n  "AIzaCCOtAKpX",\n  "ZgnfCICabcde",\n].join("");\nnext("x");'
     groups = S.scan(text, "a.ts")
