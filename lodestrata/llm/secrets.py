@@ -336,14 +336,14 @@ class Scanner:
                 inner = decoded(m.group("v")) if m.group("k") == "Basic" else None
                 if m.group("k") == "Bearer" or (inner and ":" in inner and not placeholder(inner.split(":", 1)[1])):
                     self.add(m.span("v"))
-        for m in _public.finditer(text):
-            self.add(m.span())
         ext = self.ext
         mode = "slash" if ext in SLASH else ext if ext in ("py", "sql") else "text" if ext in PROSE_FILES or ext in ("xml", "html", "") else "hash"
         # what is still to be read: place, lexer, whether bare values count, whether it is a comment
         self.todo = [(0, len(text), mode, ext not in CODE, False)]
         while self.todo:
             self.read(*self.todo.pop())
+        for m in _public.finditer(text):  # last, as a value in pieces is known as a whole by its name
+            self.add(m.span())
         return self.groups
 
     # ---- one range ----
