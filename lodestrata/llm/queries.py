@@ -87,3 +87,10 @@ def p5_found(spark, d):
 @registry.query("p5_redacted")
 def p5_redacted(spark, d):
     return secrets.redacted(_sources(spark, d))
+
+
+@registry.query("p2_texts")
+def p2_texts(spark, d):
+    items = split.chunk_items(table(spark, d, "chunks"), table(spark, d, "split_limits"))
+    pieces = split.piece_texts(split.item_ranges(items))
+    return pieces.select(F.col("item").alias("id"), "piece_no", "start_line", "end_line", "text")
