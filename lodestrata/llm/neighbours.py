@@ -6,15 +6,24 @@ Index
     recursive bisection (a spectral split at the median, then swaps that lower
     the cut), and trains a small classifier on the partitions of each vector's
     neighbours. Every vector of the table is then indexed in its most probable
-    partition. Nothing but the sample and the classifier's weights (fixed size)
-    passes through the driver.
+    partition. A partition that still holds more than ``2 * PER_PARTITION`` vectors draws
+    a bounded sample of its own and learns its own cut and classifier, in a task of
+    its own; this is repeated until no partition is too large or none can be cut, so partitions grow in number with the
+    table and not in size. Nothing but the first sample and its classifier (fixed
+    size) passes through the driver.
 Search
     Every vector is a query. The classifier routes it to its most probable
     partitions until their probabilities reach ``MASS``, at least ``LEAST`` and at most
-    ``MOST`` of them, and these are reranked by exact cosine in blocks. Partitions that
+    ``MOST`` of them; inside a partition that is cut again, to parts of it until what is left out
+    has less than ``REST`` of the query's probability. The partitions are
+    reranked by exact cosine in blocks. Partitions that
     hold more than ``TILE`` vectors are split over blocks by a hash, so no task
     holds more than one block of vectors and one of queries; every block is read.
 
+Between stages vectors are known by the rank of their id (a number that keeps the
+order of ids, from a range-partitioned sort), and a cosine is a whole number of
+10^-9, so a candidate takes 12 bytes.
+
 Equal vectors under several ids form one class, found without collecting it: a
 class is searched once, and its ``k + 1`` smallest ids stand for it among the
 candidates, which is all that the top k of any vector can need.
@@ -29,6 +38,7 @@ Defined edge cases
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +53,11 @@ SAMPLE = 6000
 PER_PARTITION = 1200  # vectors of the table per partition, as far as the sample allows
 SAMPLE_PER_PARTITION = 60
 MASS, LEAST, MOST = 0.995, 3, 14
+REST = 0.001  # of a query's probability, left out in a partition that is cut again
 TILE = 4096
+WAYS = 64  # parts of a partition that is cut again, at most
+UNIT = 10**9  # cosines are whole numbers of 1 / UNIT
+BLOCK_ROWS = 1 << 20  # rows (part, two numbers) of the table of blocks up to which it is broadcast
 
 
 # ---- learning, on the bounded sample -------------------------------------------------
@@ -147,9 +161,9 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int, rng: np.random.
     return Router(*params)
 
 
-def learn(sample: np.ndarray, total: int, *, k: int = 10, seed: int = 7, per_partition: int = PER_PARTITION) -> Router | None:
+def learn(sample: np.ndarray, total: int, *, k: int = 10, seed: int = 7, per_partition: int = PER_PARTITION, most: float = math.inf) -> Router | None:
     """Router over balanced partitions of the sample's neighbour graph; None where one partition is enough."""
-    wanted = min(total / per_partition, len(sample) / SAMPLE_PER_PARTITION)
+    wanted = min(total / per_partition, len(sample) / SAMPLE_PER_PARTITION, most)
     depth = max(0, round(math.log2(max(1.0, wanted))))
     if depth == 0:
         return None
@@ -178,22 +192,24 @@ def route(p: np.ndarray, mass: float = MASS, least: int = LEAST, most: int = MOS
 
 
 def usable(rows: DataFrame, dim: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """``id, v``: one usable vector per id."""
+    """``id, v, rank``: one usable vector per id; ``rank`` is in the order of ids."""
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = rows.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) == dim)).where(~bad & F.exists(v, lambda x: x != 0))
-    return fine.groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min(v.cast("array<float>")).alias("v"))
+    # ranges of ids serve the grouping and the order alike, in one shuffle
+    ranged = fine.select(F.col(id_col).cast("string").alias("id"), v.cast("array<float>").alias("v")).repartitionByRange("id")
+    return cut(ranged.groupBy("id").agg(F.min("v").alias("v")).sortWithinPartitions("id").withColumn("rank", F.monotonically_increasing_id()))
 
 
 def _index(router: Router | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if router is None:
-                yield pdf.assign(home=0, probes=[[0]] * len(pdf))
+                yield pdf.assign(parts=[[0]] * len(pdf), ps=[[1.0]] * len(pdf))
                 continue
-            x = np.stack(pdf.v.to_numpy()).astype(np.float64)
-            found = route(router.probabilities(x / np.linalg.norm(x, axis=1, keepdims=True)))
-            yield pdf.assign(home=[int(f[0]) for f in found], probes=[f.tolist() for f in found])
+            p = router.probabilities(_units(pdf.v))
+            found = route(p)
+            yield pdf.assign(parts=[f.tolist() for f in found], ps=[row[f].tolist() for row, f in zip(p, found)])
 
     return run
 
@@ -204,11 +220,11 @@ def _units(vectors) -> np.ndarray:
 
 
 def top_of_block(queries: np.ndarray, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, base, similarity) of the k best of each query; at equal similarity the first row of ``base``."""
+    """(query, base, similarity in ``1 / UNIT``) of the k best of each query; at equal similarity the first row of ``base``."""
     k = min(k, len(base))
     parts = []
     for lo in range(0, len(queries), 512):
-        s = np.round(np.clip(queries[lo : lo + 512] @ base.T, -1, 1), 9)
+        s = np.rint(np.clip(queries[lo : lo + 512] @ base.T, -1, 1) * UNIT).astype(np.int32)
         edge = np.partition(s, len(base) - k, axis=1)[:, len(base) - k]
         q, b = np.nonzero(s >= edge[:, None])
         order = np.lexsort((b, -s[q, b], q))
@@ -223,53 +239,123 @@ def _rerank(k: int):
     def run(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or base.empty:
             return pd.DataFrame()
-        base = base.sort_values("id", ignore_index=True)
+        base = base.sort_values("rank", ignore_index=True)
         q, b, s = top_of_block(_units(queries.v), _units(base.v), k)
-        ids, cids = base.id.to_numpy(), queries.cid.to_numpy()
+        ranks, cls = base["rank"].to_numpy(), queries.cls.to_numpy()
         starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        near = [[{"far": -float(y), "id": x} for x, y in zip(ids[bb], ss)] for bb, ss in zip(np.split(b, starts[1:]), np.split(s, starts[1:]))]
-        return pd.DataFrame({"cid": cids[q[starts]], "near": near})
+        return pd.DataFrame({"cls": cls[q[starts]], "far": np.split(-s, starts[1:]), "near": np.split(ranks[b], starts[1:])})
 
     return run
 
 
-def nearest(rows: DataFrame, k: int = 10, dim: int = 64, id_col: str = "id", vector_col: str = "vector", sample: int = SAMPLE, per_partition: int = PER_PARTITION, tile: int = TILE) -> DataFrame:
-    """``id, near ARRAY<STRUCT<far, id>>``: the k most similar others of every usable vector, ``far`` = -cosine."""
+_ROWS = "rank long, cls long, v array<float>, part long, p double, home boolean, asks boolean"
+
+
+def _learn_part(k: int, per_partition: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        router = learn(_units(pdf.sort_values("rank").v), int(pdf.n.iloc[0]), k=k, per_partition=per_partition, most=WAYS)
+        return pd.DataFrame({"part": pdf.part.iloc[:1], "router": [pickle.dumps(router)]})
+
+    return run
+
+
+def _route_part(rest: float):
+    def run(rows: pd.DataFrame, routers: pd.DataFrame) -> pd.DataFrame:
+        router = pickle.loads(routers.router.iloc[0]) if len(rows) and len(routers) else None
+        if router is None:
+            return rows[[c.split()[0] for c in _ROWS.split(", ")]]
+        q = router.probabilities(_units(rows.v))
+        order = np.argsort(-q, axis=1)
+        shares = np.take_along_axis(q, order, axis=1)
+        left = rows.p.to_numpy()[:, None] * (1 - np.cumsum(shares, axis=1))
+        n = np.where(rows.asks, np.sum(left > rest, axis=1) + 1, 1).clip(1, q.shape[1])
+        at = np.repeat(np.arange(len(rows)), n)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        out = rows[["rank", "cls", "v", "asks"]].iloc[at].reset_index(drop=True)
+        return out.assign(part=(rows.part.to_numpy()[at] + 1) * 256 + order[at, nth], p=rows.p.to_numpy()[at] * shares[at, nth], home=rows.home.to_numpy()[at] & (nth == 0))[[c.split()[0] for c in _ROWS.split(", ")]]
+
+    return run
+
+
+def refine(rows: DataFrame, k: int, sample: int, per_partition: int, rest: float = REST) -> DataFrame:
+    """Rows (a vector in a partition that holds it or that it asks) with partitions that are too large cut again, level by level."""
+    while True:
+        sizes = rows.where("home").groupBy("part").agg(F.count("*").alias("n"))
+        # every level multiplies the number of partitions; those that cannot be cut (few distinct vectors) keep their size
+        large = cut(sizes.where(F.col("n") > 2 * per_partition))
+        if large.isEmpty():
+            return rows
+        drawn = Window.partitionBy("part").orderBy(F.xxhash64("rank"), "rank")
+        learnt = rows.where("home and asks").join(large, "part").withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= sample)
+        routers = cut(learnt.groupBy("part").applyInPandas(_learn_part(k, per_partition), "part long, router binary"))
+        # a partition's rows go to their classifier in blocks, so no task holds a whole partition
+        spread = large.select("part", F.ceil(F.col("n") / (2 * TILE)).cast("int").alias("blocks"))
+        marked = rows.join(spread, "part", "left")
+        todo = marked.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("rank"), F.col("blocks")).cast("int"))
+        sent = routers.join(spread, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "router")
+        routed = todo.groupBy("part", "block").cogroup(sent.groupBy("part", "block")).applyInPandas(_route_part(rest), _ROWS)
+        names = [c.split()[0] for c in _ROWS.split(", ")]
+        before, rows = rows, cut(marked.where("blocks is null").select(*names).unionByName(routed.select(*names)))
+        if rows.where("home").join(large, "part", "left_semi").count() == rows.where("home").count() or before.select("part").distinct().count() == rows.select("part").distinct().count():
+            return rows
+
+
+def near_ranks(rows: DataFrame, k: int, dim: int, id_col: str, vector_col: str, sample: int, per_partition: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """``id, v, rank`` of all usable vectors, and ``rank, near ARRAY<STRUCT<far, near>>``: their most similar others by rank."""
     every = usable(rows, dim, id_col, vector_col)
-    by_vector = Window.partitionBy("v").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    listed = cut(every.select("id", "v", F.row_number().over(by_vector).alias("rn"), F.first("id").over(by_vector).alias("cid")).where(F.col("rn") <= k + 1))
+    by_vector = Window.partitionBy("v").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    listed = cut(every.select("rank", "v", F.row_number().over(by_vector).alias("rn"), F.first("rank").over(by_vector).alias("cls")).where(F.col("rn") <= k + 1))
     classes = listed.where(F.col("rn") == 1)
     total = classes.count()
-    drawn = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("v").toPandas()
+    drawn = classes.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("v").toPandas()
     router = learn(_units(drawn.v), total, per_partition=per_partition) if len(drawn) > 1 else None
-    indexed = cut(listed.mapInPandas(_index(router), "id string, v array<float>, rn int, cid string, home int, probes array<int>"))
-
-    # blocks: at most one row per partition comes to the driver, and partitions are bounded by the sample
-    homes = {r.home: r.n for r in indexed.groupBy("home").agg(F.count("*").alias("n")).collect()}
-    asked = {r.part: r.n for r in indexed.where("rn = 1").select(F.explode("probes").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
-    blocks = [(p, max(1, -(-homes.get(p, 0) // tile)), max(1, -(-asked.get(p, 0) // (2 * tile)))) for p in set(homes) | set(asked)]
-    tiles = F.create_map(*(F.lit(x) for p, t, _ in blocks for x in (p, t))) if blocks else F.create_map(F.lit(0), F.lit(1))
-    waves = F.create_map(*(F.lit(x) for p, _, q in blocks for x in (p, q))) if blocks else F.create_map(F.lit(0), F.lit(1))
-    base = indexed.select(F.col("home").alias("part"), F.pmod(F.xxhash64("id"), tiles[F.col("home")]).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), waves[F.col("home")] - 1)).alias("wave"), "id", "v")
-    asks = (
-        indexed.where("rn = 1")
-        .select("cid", "v", F.explode("probes").alias("part"))
-        .select("part", F.explode(F.sequence(F.lit(0), tiles[F.col("part")] - 1)).alias("tile"), F.pmod(F.xxhash64("cid", F.lit(1)), waves[F.col("part")]).cast("int").alias("wave"), "cid", "v")
-    )
+    indexed = listed.mapInPandas(_index(router), "rank long, v array<float>, rn int, cls long, parts array<long>, ps array<double>")
+    probes = F.when(F.col("rn") == 1, F.arrays_zip("parts", "ps")).otherwise(F.slice(F.arrays_zip("parts", "ps"), 1, 1))
+    placed = indexed.select("rank", "cls", "v", (F.col("rn") == 1).alias("asks"), F.posexplode(probes).alias("nth", "probe"))
+    placed = cut(placed.select("rank", "cls", "v", F.col("probe.parts").alias("part"), F.col("probe.ps").alias("p"), (F.col("nth") == 0).alias("home"), "asks"))
+    placed = refine(placed, k, sample, per_partition)
+
+    # blocks of a partition: two numbers each, broadcast up to a counted bound
+    counts = placed.groupBy("part").agg(F.sum(F.col("home").cast("long")).alias("held"), F.sum(F.col("asks").cast("long")).alias("asked"))
+    blocks = cut(counts.select("part", F.greatest(F.lit(1), F.ceil(F.col("held") / tile)).cast("int").alias("tiles"), F.greatest(F.lit(1), F.ceil(F.col("asked") / (2 * tile))).cast("int").alias("waves")))
+    blocked = placed.join(F.broadcast(blocks) if blocks.count() <= BLOCK_ROWS else blocks, "part")
+    base = blocked.where("home").select(F.col("part").alias("part"), F.pmod(F.xxhash64("rank"), "tiles").cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("waves") - 1)).alias("wave"), "rank", F.col("v").alias("v"))
+    asks = blocked.where("asks").select("part", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.pmod(F.xxhash64("cls", F.lit(1)), "waves").cast("int").alias("wave"), "cls", "v")
     block = ["part", "tile", "wave"]
-    found = asks.groupBy(*block).cogroup(base.groupBy(*block)).applyInPandas(_rerank(k + 1), "cid string, near array<struct<far:double,id:string>>")
-    # of each class, at most MOST x tiles x (k + 1) candidates; the k + 1 best hold the top k of every member
-    best = found.groupBy("cid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    found = asks.groupBy(*block).cogroup(base.groupBy(*block)).applyInPandas(_rerank(k + 1), "cls long, far array<int>, near array<long>")
+    # of each class, k + 1 candidates a block; the k + 1 best hold the top k of every member
+    zipped = F.flatten(F.transform(F.collect_list(F.struct("far", "near")), lambda x: F.arrays_zip(x["far"].alias("far"), x["near"].alias("near"))))
+    best = found.groupBy("cls").agg(F.slice(F.array_sort(zipped), 1, k + 1).alias("near"))
 
-    small = indexed.select("id", "cid").join(best, "cid").select("id", "near")
+    small = listed.select("rank", "cls").join(best, "cls").select("rank", "near")
     # members of large classes beyond the listed ones: the class's list is copied to salts, as one class may hold a third of all rows
     salts = 16
-    large = indexed.where(F.col("rn") == k + 1).select("cid", "v", F.col("id").alias("last")).join(best, "cid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rest = every.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(large, ["v", "salt"]).where(F.col("id") > F.col("last")).select("id", "near")
-    return small.unionByName(rest).select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    large = listed.where(F.col("rn") == k + 1).select("cls", "v", F.col("rank").alias("last")).join(best, "cls").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rest = every.withColumn("salt", F.pmod(F.xxhash64("rank"), F.lit(salts)).cast("int")).join(large, ["v", "salt"]).where(F.col("rank") > F.col("last")).select("rank", "near")
+    return every, small.unionByName(rest).select("rank", F.slice(F.filter("near", lambda x: x["near"] != F.col("rank")), 1, k).alias("near"))
 
 
-def pairs(near: DataFrame) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, dim: int = 64, id_col: str = "id", vector_col: str = "vector", sample: int = SAMPLE, per_partition: int = PER_PARTITION, tile: int = TILE) -> DataFrame:
+    """``id, near ARRAY<STRUCT<far, id>>``: the k most similar others of every usable vector, ``far`` = -cosine."""
+    every, near = near_ranks(rows, k, dim, id_col, vector_col, sample, per_partition, tile)
+    names = every.select("rank", "id")
+    flat = near.select("rank", F.explode("near").alias("x")).select("rank", (F.col("x.far") / UNIT).alias("far"), F.col("x.near").alias("other"))
+    named = flat.join(names.select(F.col("rank").alias("other"), F.col("id").alias("other_id")), "other").groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("far", F.col("other_id").alias("id")))).alias("near"))
+    return names.join(named, "rank", "left").select("id", F.coalesce("near", F.array().cast("array<struct<far:double,id:string>>")).alias("near"))
+
+
+def similar_pairs(rows: DataFrame, k: int = 10, dim: int = 64, id_col: str = "id", vector_col: str = "vector", sample: int = SAMPLE, per_partition: int = PER_PARTITION, tile: int = TILE) -> DataFrame:
     """Distinct ``(id_a, id_b)``, ``id_a < id_b``, in which at least one is among the other's nearest."""
+    every, near = near_ranks(rows, k, dim, id_col, vector_col, sample, per_partition, tile)
+    flat = near.select("rank", F.explode("near.near").alias("other"))
+    # ranks are in the order of ids, so pairs are made distinct as numbers and named afterwards
+    both = flat.select(F.least("rank", "other").alias("a"), F.greatest("rank", "other").alias("b")).distinct()
+    names = every.select("rank", "id")
+    named = both.join(names.select(F.col("rank").alias("a"), F.col("id").alias("id_a")), "a").join(names.select(F.col("rank").alias("b"), F.col("id").alias("id_b")), "b")
+    return named.select("id_a", "id_b")
+
+
+def pairs(near: DataFrame) -> DataFrame:
+    """``similar_pairs`` of the result of ``nearest``."""
     flat = near.select("id", F.explode("near.id").alias("other"))
     return flat.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

@@ -43,7 +43,7 @@ def p7_clean(spark, d):
 
 @registry.query("p4_found")
 def p4_found(spark, d):
-    return neighbours.pairs(neighbours.nearest(table(spark, d, "vector_rows")))
+    return neighbours.similar_pairs(table(spark, d, "vector_rows"))
 
 
 def _language_model(spark, d):

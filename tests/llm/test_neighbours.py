@@ -1,6 +1,7 @@
 """Learned partitions: recall against brute force, equal vectors, edge cases."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestrata.llm import neighbours as N
 
@@ -30,6 +31,21 @@ def test_recall_and_routing(spark):
     assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.95
 
 
+def test_partitions_that_are_cut_again(spark):
+    """Partitions stay bounded when the first sample allows few: recall, and sizes of the last level."""
+    rows = clustered(4000, 16)
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    got = {r.id: [x.id for x in r.near] for r in N.nearest(df, 10, 16, sample=400, per_partition=60, tile=100).collect()}
+    want = brute(rows, 10)
+    assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.93
+    router = N.learn(N._units(df.toPandas().vector)[:400], 4000, per_partition=60)
+    first = df.select(F.monotonically_increasing_id().alias("rank"), F.col("vector").alias("v")).selectExpr("rank", "v", "1 as rn", "rank as cls").mapInPandas(N._index(router), "rank long, v array<float>, rn int, cls long, parts array<long>, ps array<double>")
+    placed = first.selectExpr("rank", "cls", "v", "parts[0] as part", "ps[0] as p", "true as home", "true as asks")
+    sizes = [r["count"] for r in N.refine(placed, 10, 400, 60).where("home").groupBy("part").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 240
+
+
 def test_equal_vectors_ties_and_dirt(spark):
     rng = np.random.default_rng(2)
     same = [1.0, 2.0, 3.0, 4.0]
