@@ -10,7 +10,9 @@ all files is no hot spot, and nothing of the tree reaches the driver.
 
 Copies: bodies (code without leading comments and blanks) that stand under
 several repositories, at least once beside a notice of foreign authorship or in a vendor
-directory, are evidence for vendored copies wherever they stand.
+directory, are evidence for vendored copies wherever they stand. Evidence that is
+measured (data, density, copies) weighs as much as the text is long, up to ``FULL`` characters,
+so short files have evidence too, and no length decides by itself.
 
 Defined edge cases
     null paths have no tree and are judged by content; null and empty contents
@@ -40,6 +42,9 @@ DIR_TIE = (0.55, 0.55, 0.55, 0.9, 0.55)
 
 CODE = frozenset("ts tsx js jsx mjs cjs py go java c h cc cpp hpp cs rb rs php kt swift scala css scss sh sql".split())
 
+#: characters of code, and of a body that is a copy, from which measured evidence counts in full; shorter texts' evidence has the weight of their length
+FULL, FULL_COPY = 200, 120
+
 # ---- evidence of one file -----------------------------------------------------------------
 
 _lead = re.compile(r"\s*(?:(?:/\*.*?\*/|<!--.*?-->|(?://|#|--)[^\n]*(?:\n|\Z)|package\s+\w+;?[ \t]*\n|['\"]use strict['\"];?)\s*)+", re.S)
@@ -56,11 +61,12 @@ _foreign = re.compile(
     re.I | re.M,
 )
 _house = re.compile(r"in-?house|all rights reserved\.?\s*(?:$|\n)|\bof the project\b|\bthe the project\b|\bthe project is free", re.I)
-_numbers = re.compile(r"(?:[-+]?(?:0x[0-9a-fA-F]+|\d+(?:\.\d+)?(?:e[-+]?\d+)?)[\s,;]+){12,}", re.I)
+_numbers = re.compile(r"(?<![\w.])(?:[-+]?(?:0x[0-9a-fA-F]++|\d++(?:\.\d++)?(?:e[-+]?\d++)?)[\s,;]++){12,}", re.I)
 _encoded = re.compile(r"['\"`]?[A-Za-z0-9+/=_\\-]{56,}['\"`]?")
 _drawn = re.compile(r"['\"`][MmLlHhVvCcSsQqTtAaZz\d\s.,-]{56,}['\"`]")
 _records = re.compile(r"(?:\{(?:\"?\w+\"?:(?:\"[^\"{}]*\"|[-\d.]+|\[[-\d.,\s]*\]|true|false|null),?\s*)+\},?\s*){4,}")
 _inserts = re.compile(r"^INSERT\s+INTO\s[^\n]*$", re.I | re.M)
+_integrity = re.compile(r"\bsha\d{3}-[A-Za-z0-9+/=]+")
 _pem = re.compile(r"-----BEGIN [^-]+-----.*?-----END [^-]+-----", re.S)
 _serial = re.compile(r"(?<=[A-Za-z_])(\d{1,5})(?=\b|_)")
 _space = re.compile(r"\s+")
@@ -75,7 +81,7 @@ def body(content: str) -> str:
 
 def data_share(text: str) -> float:
     """Share of the text's characters in data literals."""
-    rest, total = _pem.sub("", text), len(text)
+    rest, total = _integrity.sub("", _pem.sub("", text)), len(text)  # keys and digests are no data of the file
     taken = 0
     for pattern in (_inserts, _records, _drawn, _numbers, _encoded):
         kept = []
@@ -130,17 +136,18 @@ def evidence(path: str | None, content: str | None) -> list[float]:
     if not code:
         return [score[x] for x in LABELS]
     n = max(1, len(rest))
+    sure = min(1.0, n / FULL)
     share = data_share(rest)
-    if n > 200 and share >= 0.5:
-        score["blob"] += 4.0 + 8.0 * min(1.0, (share - 0.5) / 0.3)
+    if share >= 0.5:
+        score["blob"] += sure * (4.0 + 8.0 * min(1.0, (share - 0.5) / 0.3))
     blanks = sum(map(rest.count, " \t\n")) / n
     longest = max(map(len, rest.split("\n")))
     lines = rest.count("\n") + 1
-    if share < 0.5 and ext in ("js", "ts", "css", "mjs", "cjs", "jsx", "tsx") and n > 200:
-        if blanks < 0.08 and (longest > 300 or n / lines > 150):
-            score["minified"] += 12.0
+    if share < 0.5 and ext in ("js", "ts", "css", "mjs", "cjs", "jsx", "tsx"):
+        if blanks < 0.08 and (longest > 1.5 * FULL or n / lines > 0.75 * FULL * sure):
+            score["minified"] += 12.0 * sure
         elif blanks < 0.05:
-            score["minified"] += 3.0
+            score["minified"] += 3.0 * sure
     serial = 0.0 if share >= 0.5 or ext in ("css", "scss") else serial_share(rest)
     if serial > 0.25:
         score["generated"] += 4.0 + 8.0 * min(1.0, (serial - 0.25) / 0.35)
@@ -246,7 +253,7 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [evidence(p, c) for p, c in zip(pdf.path, pdf.content)]
         out = pdf[["file_id", "path"]].assign(**{f"e{i}": [f[i] for f in found] for i in range(len(LABELS))})
         bodies = [body(c) if c else "" for c in pdf.content]
-        yield out.assign(copy=[hashlib.md5(b.encode("utf-8", "surrogatepass")).hexdigest() if len(b) >= 120 else None for b in bodies])
+        yield out.assign(copy=[hashlib.md5(b.encode("utf-8", "surrogatepass")).hexdigest() if b else None for b in bodies], weight=[min(1.0, len(b) / FULL_COPY) for b in bodies])
 
 
 def label_files(files: DataFrame, *, file_id: str = "file_id", path: str = "file_path", content: str = "content") -> DataFrame:
@@ -256,7 +263,7 @@ def label_files(files: DataFrame, *, file_id: str = "file_id", path: str = "file
     rows = files.select(F.col(file_id).alias("file_id"), F.col(path).alias("path"), F.col(content).alias("content"))
     fields = ", ".join(f"e{i} double" for i in k)
     # hashing keeps the shuffle of distinct rows free of contents
-    seen = cut(rows.mapInPandas(_evidence, f"file_id {kind}, path string, {fields}, copy string").distinct())
+    seen = cut(rows.mapInPandas(_evidence, f"file_id {kind}, path string, {fields}, copy string, weight double").distinct())
     vendored = LABELS.index("vendored")
     in_vendor = F.exists(F.split(F.lower("path"), "/"), lambda x: x.isin(DIR_NAMES["vendored"].split()))
     repo = F.substring_index("path", "/", 1)
@@ -270,7 +277,7 @@ def label_files(files: DataFrame, *, file_id: str = "file_id", path: str = "file
     # rows without a body get keys of their own, as nulls would meet in one task
     keyed = seen.withColumn("copy", F.coalesce("copy", F.concat(F.lit("~"), F.col("file_id").cast("string"))))
     left, right = salted(keyed, copies, "copy", "file_id")
-    scored = left.join(right, ["copy", "salt"], "left").withColumn(f"e{vendored}", F.col(f"e{vendored}") + F.coalesce("bonus", F.lit(0.0)))
+    scored = left.join(right, ["copy", "salt"], "left").withColumn(f"e{vendored}", F.col(f"e{vendored}") + F.coalesce(F.col("bonus") * F.col("weight"), F.lit(0.0)))
     beliefs = propagate(scored.select("file_id", "path", *[f"e{i}" for i in k]))
     best = F.greatest(*_cols("b"))
     label = F.lit(LABELS[-1])

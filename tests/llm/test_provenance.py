@@ -31,6 +31,27 @@ def test_evidence():
     assert P.evidence(None, None)[0] == 1.0
 
 
+def test_short_files_have_evidence_and_time_is_linear():
+    import time
+
+    assert top("a/x.py", "W = [" + "0.123, -4.5, " * 12 + "]\n") == "blob"
+    assert top("a/x.js", "function a(b,c){return b?c.d:a(c)}" * 5) == "minified"
+    weight = [P.evidence("a/x.js", "function a(b,c){return b?c.d:a(c)}" * n)[2] for n in (1, 2, 3, 4, 5, 6)]
+    assert weight == sorted(weight) and weight[0] > 0
+    for unit in ("7", "1 ", "1,a", "{a:1,", "'M1 ", "0x", "// copyright ", "a1 "):
+        began = time.process_time()
+        P.evidence("a/x.js", unit * (200_000 // len(unit)))
+        assert time.process_time() - began < 2.0
+
+
+def test_short_copies_count(spark):
+    rows = [(1, "r/node_modules/p/b.js", "exports.add = (a, b) => a + b; exports.sub = (a, b) => a - b;"), (2, "r2/node_modules/p/c.js", "exports.add = (a, b) => a + b; exports.sub = (a, b) => a - b;"), (3, "r3/x/c.js", "exports.add = (a, b) => a + b; exports.sub = (a, b) => a - b;"), (4, "r3/x/d.js", "")]
+    df = spark.createDataFrame(rows, "file_id bigint, file_path string, content string")
+    alone = df.where("file_id > 2")
+    p = {r.file_id: r.p for r in P.label_files(df).collect()}
+    assert {r.file_id: r.p for r in P.label_files(alone).collect()}[3] > p[3]
+
+
 def exact(files):
     """Beliefs by summing over all labellings of a small tree."""
     dirs = sorted({"/".join(p.split("/")[:i]) for p, _ in files for i in range(1, len(p.split("/")))})
