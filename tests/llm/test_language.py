@@ -1,6 +1,7 @@
 """Languages: held-out sentences, mixed texts, labels, edge cases."""
 
 import os
+import unicodedata
 
 import numpy as np
 import pytest
@@ -44,6 +45,7 @@ def test_spans_are_those_of_viterbi_over_words():
             at = np.maximum(at, at.max() - (L.INSIDE if sentence[i] == sentence[i - 1] else L.BETWEEN)) + score[words[i]]
         return at.max()
 
+    model.label_all = L.Frozen.label_all.__get__(model)
     texts = ["aa aa aa aa aa aa. aa aa aa aa bb bb bb bb. bb bb bb bb bb bb."]
     for _ in range(300):
         texts.append(" ".join(" ".join(rng.choice(vocabulary, rng.integers(2, 9))) + "." for _ in range(rng.integers(1, 6))))
@@ -56,6 +58,43 @@ def test_spans_are_those_of_viterbi_over_words():
     assert [(lang, n) for lang, n, _, _ in model.label(texts[0])] == [(0, 6), (0, 4), (1, 4), (1, 6)]
 
 
+def test_places_and_decomposed_letters():
+    text = "# Titel\r\n\r\nDas ist de\u0301ja\u0300 vu. `code` Und <b> so weiter.\n```\nx y\n```\n日本語です。次の文。 Ende"
+    words = [w for ws, _ in L.sentences(text) for w in ws]
+    places = L.word_places(text)
+    assert len(words) == len(places) and [unicodedata.normalize("NFC", text[a:b]).lower() for a, b in places] == words
+
+
+def test_scripts_come_from_the_samples_and_long_words_are_read_whole():
+    kinds = L.scripts_of([("uk", "їжак"), ("ru", "ёжик"), ("sr", "jež јеж")])
+    assert kinds == {"uk": {"cyrillic"}, "ru": {"cyrillic"}, "sr": {"latin", "cyrillic"}}
+    model = L.Model(["ru", "uk"])
+    model.add("uk", L.Counter(["їжак", "ґава"]))
+    model.add("ru", L.Counter(["ёжик", "ыть"]))
+    frozen = model.freeze({"ru": {"cyrillic"}, "uk": {"cyrillic"}})
+    assert frozen.score("їжачок").argmax() == 1 and frozen.score("бытьё").argmax() == 0
+    assert np.array_equal(frozen.score("word"), [0, 0])
+    assert frozen.score("бюб" * 20 + "ыть" * 20).argmax() == 0 and frozen.score("бюб" * 20 + "ґава" * 20).argmax() == 1  # the ends decide
+
+
+@needs_data
+def test_confidence_is_calibrated(spark):
+    samples = spark.read.parquet(f"{DATA}/lang_samples.parquet")
+    model = L.fit(samples.where("sample_id % 2 = 0"), text="text", rows=0)
+    groups = {}
+    for r in samples.where("sample_id % 2 = 1").collect():
+        words = [w for ws, _ in L.sentences(r.text) for w in ws]
+        for i in range(len(words) - 1):
+            total = model.scores(words[i : i + 2]).sum(axis=0)
+            a, b = np.sort(total)[-2:]
+            p = model.confidence(b - a)
+            groups.setdefault(min(9, int(p * 10)), []).append((p, model.langs[int(total.argmax())] == r.lang))
+    for g in groups.values():
+        if len(g) >= 100:
+            assert abs(np.mean([p for p, _ in g]) - np.mean([y for _, y in g])) < 0.12
+    assert len(groups) >= 3
+
+
 @needs_data
 def test_held_out_samples_and_mixtures(spark):
     samples = spark.read.parquet(f"{DATA}/lang_samples.parquet")
