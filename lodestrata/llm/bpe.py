@@ -8,13 +8,16 @@ Compilation
     that leave ``b``, as they stand, and the arc ``a -> b`` is removed. Tables of
     50,000 x 50,000 arcs are not written out: a gadget is stored as its two
     parents (inheritance) and its removed arc, and an arc's presence is read off
-    them once (``Automaton.arc``) and kept in a transition table.
+    them once (``Automaton.arc``) and kept in a table of at most ``KEPT_ARCS`` entries.
+    The labels are compiled into a byte transition table (node, byte) -> node, whose size the vocabulary fixes.
 
 Encoding
     Pre-split words are read left to right. Every prefix of a word has exactly one
     accepted token sequence, so each position holds one state; the state of a
     position is the longest token that ends there and whose arc from the state at
-    its start exists. Words repeat, so encoded words are kept per worker.
+    its start exists. From every position the byte table is followed as far as labels
+    go, and each label end without a state takes one; earlier starts come first, so
+    the longest token does. Words repeat, so encoded words are kept per worker.
 
 Decoding emits the arcs' labels: the bytes of the tokens.
 
@@ -35,11 +38,13 @@ import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: fixed value: the pre-splitting pattern of the vocabulary
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_DIR = "/opt/tokenizers"
 KEPT_WORDS = 1 << 18
+KEPT_ARCS = 1 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -62,7 +67,6 @@ class Automaton:
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
-        self.longest = max(map(len, tokens))
         n = len(tokens)
         self.left, self.right = list(range(n)), list(range(n))
         self.removed: dict[tuple[int, int], int] = {}
@@ -70,6 +74,17 @@ class Automaton:
         for c, label in enumerate(tokens):
             if len(label) > 1:
                 self._gadget(c, label)
+        self.step: dict[int, int] = {}  # node * 256 + byte -> node
+        self.label = [-1]  # the token whose label ends at a node
+        for c, label in enumerate(tokens):
+            node = 0
+            for byte in label:
+                key = node << 8 | byte
+                node = self.step.get(key, 0)
+                if not node:
+                    node = self.step[key] = len(self.label)
+                    self.label.append(-1)
+            self.label[node] = c
 
     def _gadget(self, c: int, label: bytes) -> None:
         """Add token ``c``: its parents are the two tokens that its label is made of just before it exists."""
@@ -119,6 +134,8 @@ class Automaton:
         """Transition table entry, filled on first use."""
         found = self.table.get((x, y))
         if found is None:
+            if len(self.table) >= KEPT_ARCS:
+                self.table.clear()
             found = self.table[x, y] = self._exists(x, y)
         return found
 
@@ -126,15 +143,17 @@ class Automaton:
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        ids, longest = self.ids, self.longest
-        states, starts = [-1], [0]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (start == 0 or self.arc(states[start], token)):
-                    states.append(token)
-                    starts.append(start)
+        step, label, n = self.step, self.label, len(word)
+        states, starts = [-1] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            node, before = 0, states[start]
+            for end in range(start, n):
+                node = step.get(node << 8 | word[end], 0)
+                if not node:
                     break
+                token = label[node]
+                if token >= 0 and states[end + 1] < 0 and (start == 0 or self.arc(before, token)):
+                    states[end + 1], starts[end + 1] = token, start
         out, at = [], len(word)
         while at:
             out.append(states[at])
@@ -181,7 +200,7 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """``id_col`` and ``ids ARRAY<INT>`` of every row, null and empty texts included."""
     sent = send(documents.sparkSession, path)
     schema = documents.select(id_col, text_col).schema
-    out = pa.schema([(id_col, pa.int64() if schema[0].dataType.typeName() == "long" else pa.string()), ("ids", pa.list_(pa.int32()))])
+    out = pa.schema([(id_col, to_arrow_type(schema[0].dataType)), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, kept = load(*sent)

@@ -1,13 +1,19 @@
 """Evaluation texts that leak into training text.
 
-A generalised suffix automaton is built over the words of the test items, on
-the driver in blocks of at most ``BLOCK_WORDS`` words (so what is broadcast has a
-fixed bound, and more items only mean more blocks, each read against all
-documents). Documents stream through it: the state is the longest suffix of the
+Generalised suffix automata are built over the words of the test items, each over a
+block of at most about ``BLOCK_WORDS`` words, in the tasks that use them. Documents stream
+through them: the state is the longest suffix of the
 words read that occurs in an item, its length the matching length. Wherever that
 length reaches ``min_words``, the items that contain the last ``min_words`` words are
 leaks; runs of such positions are the leaked spans, which can be removed.
 
+The documents are read once, however many items there are: hashes of their windows of
+``min_words`` words are looked up in a bit table of the items' windows (at most
+``MOST_BITS``, so what is broadcast has a fixed bound; a fuller table only lets more
+documents through). Documents with a hit are joined with the items' windows to
+find the blocks that they need, and only these documents meet those automata, in
+tasks bounded by text length, also where one item has leaked into a third of all documents.
+
 Words are maximal runs of Unicode letters and digits in lower case; whatever
 stands between them does not matter.
 
@@ -21,13 +27,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.skew import salted
+from lodestrata.session import cut
+
 MIN_WORDS = 12
 BLOCK_WORDS = 200_000
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+SEGMENT = 1 << 16  # bits of the table that one task packs
+TASK_CHARS = 1 << 25  # characters of documents that one task streams through one automaton
 _word = regex.compile(r"[\p{L}\p{Nd}]+")
 
 
@@ -79,13 +93,14 @@ class SuffixAutomaton:
         last = 0
         for word in words(text):
             last = self._extend(last, self.ids.setdefault(word, len(self.ids)))
-            self.ends[last].add(item)
+            if self.len[last] >= self.min_words:
+                self.ends[last].add(item)
 
     def close(self) -> "SuffixAutomaton":
         """Give each state that stands for ``min_words`` words the items in which these occur."""
         order = sorted(range(1, len(self.len)), key=lambda v: -self.len[v])
         for v in order:
-            if self.link[v] > 0:
+            if self.len[self.link[v]] >= self.min_words:  # shorter states are never read
                 self.ends[self.link[v]] |= self.ends[v]
         # `found` of a state: the items of its ancestor whose lengths include min_words
         self.found = [()] * len(self.len)
@@ -129,38 +144,126 @@ class SuffixAutomaton:
         return runs
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, min_words: int, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata over the items, read one partition at a time; each holds at most ``block_words`` words or a single item."""
-    automaton, held = SuffixAutomaton(min_words), 0
-    for row in items.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).distinct().toLocalIterator():
-        n = len(words(row[1]))
-        if held and held + n > block_words:
-            yield automaton.close()
-            automaton, held = SuffixAutomaton(min_words), 0
-        automaton.add(row[0], row[1])
-        held += n
-    yield automaton.close()
+_hashes: dict[str, int] = {}
+
+
+def window_hashes(text: str | None, k: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``k`` words."""
+    found = words(text)
+    if len(found) < k:
+        return np.empty(0, dtype=np.uint64)
+    if len(_hashes) > 1 << 18:
+        _hashes.clear()
+    get, one = _hashes.get, []
+    for w in found:
+        h = get(w)
+        if h is None:
+            h = _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+        one.append(h)
+    h = np.array(one, dtype=np.uint64)
+    n = len(h) - k + 1
+    total = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        total = total * _FACTOR + h[j : j + n]
+    return (total ^ (total >> np.uint64(29))) * _FACTOR
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def bits_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in a table of ``bits`` bits, a power of two."""
+    mask = np.uint64(bits - 1)
+    return hashes & mask, (hashes >> np.uint64(32)) & mask
+
+
+def _windows(k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, text in zip(pdf.block, pdf.text):
+                h = np.unique(window_hashes(text, k)).astype(np.int64)
+                if len(h):
+                    yield pd.DataFrame({"h": h, "block": block})
+
+    return run
+
+
+def bit_table(windows: DataFrame, bits: int) -> np.ndarray:
+    """Bit table of the column ``h``, packed by segments; ``bits`` bound what reaches the driver."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.unique(np.concatenate(bits_of(pdf.h.to_numpy().astype(np.int64).view(np.uint64), bits))).astype(np.int64)
+            yield pd.DataFrame({"segment": at // SEGMENT, "at": (at % SEGMENT).astype(np.int32)})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = np.zeros(SEGMENT, dtype=bool)
+        table[pdf["at"].to_numpy()] = True
+        return pd.DataFrame({"segment": pdf.segment.iloc[:1], "packed": [np.packbits(table).tobytes()]})
+
+    packed = windows.select("h").mapInPandas(split, "segment long, at int").distinct().groupBy("segment").applyInPandas(pack, "segment long, packed binary")
+    out = np.zeros(max(1, bits // SEGMENT) * SEGMENT // 8, dtype=np.uint8)
+    for row in packed.toLocalIterator():
+        out[row.segment * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(row.packed, dtype=np.uint8)
+    return out
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def leaked_spans(
+    documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, most_bits: int = MOST_BITS
+) -> DataFrame:
     """``doc_id, item_id, first_word, last_word, n_words``: leaked runs, words counted from 0."""
     spark = documents.sparkSession
     kind = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    out = None
-    for automaton in blocks(items, item_id, item_text, min_words):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            scan = shared.value.scan
-            for pdf in batches:
-                rows = [(d, *hit) for d, t in zip(pdf[doc_id], pdf[text]) for hit in scan(t)]
-                if rows:
-                    found = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word"])
-                    yield found.assign(n_words=found.last_word - found.first_word + 1)
-
-        part = documents.select(doc_id, text).where(F.col(text).isNotNull()).mapInPandas(run, f"doc_id {kind[0]}, item_id {kind[1]}, first_word int, last_word int, n_words int")
-        out = part if out is None else out.unionByName(part)
-    return out
+    tests = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    # a word has a letter at least and something after it, so half the characters bound the words
+    held = tests.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-held // (2 * block_words)))
+    tests = tests.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)).cast("int"))
+    windows = cut(tests.select("block", "text").mapInPandas(_windows(min_words), "h long, block int").distinct())
+    n = windows.count()
+    bits = min(most_bits, max(LEAST_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
+    shared = spark.sparkContext.broadcast(bit_table(windows, bits))
+
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        for pdf in batches:
+            rows = []
+            for doc, body in zip(pdf.doc, pdf.text):
+                h = window_hashes(body, min_words)
+                if len(h):
+                    a, b = bits_of(h, bits)
+                    hit = (table[a >> np.uint64(3)] >> (np.uint64(7) - (a & np.uint64(7))).astype(np.uint8) & 1).astype(bool) & (table[b >> np.uint64(3)] >> (np.uint64(7) - (b & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+                    if hit.any():
+                        rows.append((doc, body, np.unique(h[hit]).astype(np.int64)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc", "text", "hs"])
+
+    passed = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text is not null").mapInPandas(screen, f"doc {kind[0]}, text string, hs array<long>")
+    if n_blocks == 1:
+        asked = passed.select("doc", "text", F.lit(0).alias("block"), F.monotonically_increasing_id().alias("row"))
+    else:
+        passed = cut(passed.withColumn("row", F.monotonically_increasing_id()))
+        left, right = salted(passed.select("row", F.explode("hs").alias("h")), windows, "h", "row")
+        need = left.join(right, ["h", "salt"]).select("row", "block").distinct()
+        asked = passed.drop("hs").join(need, "row")
+    asked = cut(asked)
+    # a block's documents are spread over tasks by their length
+    tasks = asked.groupBy("block").agg(F.ceil(F.sum(F.length("text")) / TASK_CHARS).cast("int").alias("tasks"))
+    to_scan = asked.join(tasks, "block").select("block", F.pmod(F.xxhash64("row"), "tasks").cast("int").alias("task"), "doc", "text")
+    automata = tests.join(tasks, "block").select(F.col("block").alias("block"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("item").alias("item"), F.col("text").alias("text"))
+
+    def scan(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or held.empty:
+            return pd.DataFrame()
+        automaton = SuffixAutomaton(min_words)
+        for item, body in zip(held["item"], held.text):
+            automaton.add(item, body)
+        find = automaton.close().scan
+        rows = [(d, *hit) for d, t in zip(docs.doc, docs.text) for hit in find(t)]
+        found = pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "last_word"])
+        return found.assign(n_words=found.last_word - found.first_word + 1) if rows else pd.DataFrame()
+
+    return to_scan.groupBy("block", "task").cogroup(automata.groupBy("block", "task")).applyInPandas(scan, f"doc_id {kind[0]}, item_id {kind[1]}, first_word int, last_word int, n_words int")
 
 
 def leaks(documents: DataFrame, items: DataFrame, **kw) -> DataFrame:

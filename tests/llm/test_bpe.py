@@ -37,3 +37,20 @@ def test_null_empty_and_clashing_columns(spark):
     back = bpe.decode(bpe.encode(df, bpe.vocabulary_path()), bpe.vocabulary_path()).collect()
     assert sorted(r.text for r in back) == ["", "", "hello hello", "hello hello"]
     assert bpe.encode(df.limit(0), bpe.vocabulary_path()).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "decimal(12,2)", "date", "bigint"])
+def test_ids_of_any_type(spark, kind):
+    df = spark.range(3).selectExpr(f"cast({'date_from_unix_date(cast(id as int))' if kind == 'date' else 'id'} as {kind}) as doc_id", "'hello' as text")
+    got = bpe.encode(df, bpe.vocabulary_path())
+    assert got.dtypes[0] == ("doc_id", kind) and sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(map(str, (r.doc_id for r in df.collect())))
+
+
+def test_tables_are_bounded(automaton, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_ARCS", 50)
+    automaton.table.clear()
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice("abcdefghijklmnop") for _ in range(30))
+        assert automaton.decode(automaton.encode_word(text.encode())).decode() == text
+        assert len(automaton.table) <= 50

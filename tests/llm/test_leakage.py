@@ -24,11 +24,26 @@ def test_pairs_equal_brute_force(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
-def test_blocks_of_items_change_nothing(spark, monkeypatch):
-    items = spark.createDataFrame([(i, f"a{i} b c d e f{i}") for i in range(9)], "item_id bigint, text string")
-    docs = spark.createDataFrame([(i, f"x a{i} b c d e f{i} y") for i in range(9)], "doc_id bigint, text string")
-    assert len(list(leakage.blocks(items, "item_id", "text", 4, block_words=7))) == 9
-    assert {tuple(r) for r in leakage.leaks(docs, items, min_words=6).collect()} == {(i, i) for i in range(9)}
+def test_blocks_of_items_change_nothing(spark):
+    """Many blocks, also with a bit table that is full, so that all documents pass it, and one item in most documents."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(20))) for i in range(30)]
+    docs = [(i, "x y " + items[0][1] + " z " + (items[i % 30][1] if i % 3 else "")) for i in range(90)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute(docs, items, 6)
+    for block_words, bits in ((100, 1 << 28), (100, 1 << 16), (10_000, 1 << 16)):
+        assert {tuple(r) for r in leakage.leaks(d, i, min_words=6, block_words=block_words, most_bits=bits).collect()} == want
+    whole = sorted(tuple(r) for r in leakage.leaked_spans(d, i, min_words=6).collect())
+    assert whole == sorted(tuple(r) for r in leakage.leaked_spans(d, i, min_words=6, block_words=60).collect())
+
+
+def test_the_bit_table_has_every_window():
+    import numpy as np
+
+    text = " ".join(f"w{i}" for i in range(100))
+    h = leakage.window_hashes(text, 12)
+    assert len(h) == 89 and len(np.unique(h)) == 89 and np.array_equal(h[5:], leakage.window_hashes(" ".join(f"W{i}," for i in range(5, 100)), 12))
+    assert len(leakage.window_hashes("a b", 3)) == 0 and len(leakage.window_hashes(None, 3)) == 0
 
 
 def test_removal_keeps_the_rest(spark):
