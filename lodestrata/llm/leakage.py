@@ -40,6 +40,7 @@ from lodestrata.session import cut
 MIN_WORDS = 12
 BLOCK_WORDS = 200_000
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+BITS_A_WINDOW, PLACES = 64, 4  # of the bit table, as far as MOST_BITS allows
 SEGMENT = 1 << 16  # bits of the table that one task packs
 TASK_CHARS = 1 << 25  # characters of documents that one task streams through one automaton
 _word = regex.compile(r"[\p{L}\p{Nd}]+")
@@ -171,10 +172,27 @@ def window_hashes(text: str | None, k: int) -> np.ndarray:
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bits_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two places of each hash in a table of ``bits`` bits, a power of two."""
+def bits_of(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """``PLACES`` places of each hash in a table of ``bits`` bits, a power of two."""
     mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
+    for _ in range(PLACES):
+        yield hashes & mask
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * _FACTOR
+
+
+def hits(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The hashes all of whose places are set; the later places are looked up for those that are left."""
+    left = np.arange(len(hashes))
+    mask = np.uint64(bits - 1)
+    h = hashes
+    for _ in range(PLACES):
+        at = h & mask
+        kept = (table[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+        left, h = left[kept], h[kept]
+        if not len(h):
+            break
+        h = (h ^ (h >> np.uint64(31))) * _FACTOR
+    return hashes[left]
 
 
 def _windows(k: int):
@@ -193,7 +211,7 @@ def bit_table(windows: DataFrame, bits: int) -> np.ndarray:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = np.unique(np.concatenate(bits_of(pdf.h.to_numpy().astype(np.int64).view(np.uint64), bits))).astype(np.int64)
+            at = np.unique(np.concatenate(list(bits_of(pdf.h.to_numpy().astype(np.int64).view(np.uint64), bits)))).astype(np.int64)
             yield pd.DataFrame({"segment": at // SEGMENT, "at": (at % SEGMENT).astype(np.int32)})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -221,7 +239,7 @@ def leaked_spans(
     tests = tests.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)).cast("int"))
     windows = cut(tests.select("block", "text").mapInPandas(_windows(min_words), "h long, block int").distinct())
     n = windows.count()
-    bits = min(most_bits, max(LEAST_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
+    bits = min(most_bits, max(LEAST_BITS, 1 << (BITS_A_WINDOW * n - 1).bit_length() if n else 0))
     shared = spark.sparkContext.broadcast(bit_table(windows, bits))
 
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,11 +248,9 @@ def leaked_spans(
             rows = []
             for doc, body in zip(pdf.doc, pdf.text):
                 h = window_hashes(body, min_words)
-                if len(h):
-                    a, b = bits_of(h, bits)
-                    hit = (table[a >> np.uint64(3)] >> (np.uint64(7) - (a & np.uint64(7))).astype(np.uint8) & 1).astype(bool) & (table[b >> np.uint64(3)] >> (np.uint64(7) - (b & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-                    if hit.any():
-                        rows.append((doc, body, np.unique(h[hit]).astype(np.int64)))
+                found = hits(table, h, bits)
+                if len(found):
+                    rows.append((doc, body, np.unique(found).astype(np.int64)))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "text", "hs"])
 
