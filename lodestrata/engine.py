@@ -49,7 +49,7 @@ class Engine:
         docs = chunking.chunk_markdown(files.where(F.lower("file_path").rlike(r"\.(md|mdx|markdown)$")), max_tokens=2 * max_tokens)
         columns = ["file_path", "name", "chunk_type", "start_line", "end_line", "content"]
         both = sized.select(*columns).unionByName(docs.select(*(F.lit("doc").alias(x) if x == "chunk_type" else c(x) for x in columns)))
-        summary = F.nullif(F.trim(F.regexp_extract("content", r"^\s*([^\n.]{1,120})", 1)), F.lit(""))
+        summary = F.nullif(F.trim(F.regexp_extract("content", r"^\s*([^\n.]+)", 1)), F.lit(""))
         return both.select(T.chunk_id(c("file_path"), c("start_line"), c("content")).alias("id"), *columns, T.detect_language(c("file_path")).alias("language"), summary.alias("nl_summary")).dropDuplicates(["id"])
 
     def index(self, files: DataFrame, max_tokens: int = 512) -> DataFrame:
@@ -57,7 +57,7 @@ class Engine:
         old, new = self.generation(), self.generation() + 1
         at = f"{self.folder}/gen={new}"
         put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{at}/{name}")
-        files = files.select("file_path", "content").where("file_path is not null").dropDuplicates(["file_path"])
+        files = files.select("file_path", "content").where("file_path is not null").groupBy("file_path").agg(F.max("content").alias("content"))  # of two contents the greater, always
         state = files.select("file_path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
         before = self.table("state", old) if old else state.limit(0)
         changes = incremental.detect_changes(state, before, "file_path", "content_hash")

@@ -228,10 +228,12 @@ def html_to_text(html: Column) -> Column:
     for entity, char in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(char))
     # numeric references: text and number alternate, so each piece is decoded in place
-    pieces = F.split(F.regexp_replace(t, r"&#(?:(\d{1,6})|x([0-9a-fA-F]{1,5}));", "\u0001$1\u0002$2\u0003"), "\u0001")
+    pieces = F.split(F.regexp_replace(t, r"&#(?:0*(\d{1,7})|[xX]0*([0-9a-fA-F]{1,6}));", "\u0001$1\u0002$2\u0003"), "\u0001")
     def code(p: Column) -> Column:
         dec, hexa = F.regexp_extract(p, "^(\\d*)\u0002", 1), F.regexp_extract(p, "\u0002([0-9a-fA-F]*)\u0003", 1)
         number = F.when(dec != "", dec.cast("int")).otherwise(F.conv(hexa, 16, 10).cast("int"))
+        # what is no character, as HTML has it, is the replacement character
+        number = F.when((number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF), number).otherwise(0xFFFD)
         return F.when(p.contains("\u0003"), F.concat(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"), F.regexp_extract(p, "(?s)\u0003(.*)$", 1))).otherwise(p)
     t = F.array_join(F.transform(pieces, code), "")
     lines = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")), "\n")

@@ -78,9 +78,9 @@ def percentiles(rows: DataFrame, value: str, ps: tuple[float, ...] = (50, 95, 99
     return rows.agg(*(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})").alias(f"p{p:g}") for p in ps))
 
 
-def collect_index(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """``key, values, n``: the distinct values of every key, sorted and joined by commas."""
-    return rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct().groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("values"), F.count("*").alias("n"))
+def value_index(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value``: the distinct values of every key, in long form, as a hub's values may be a third of all rows."""
+    return rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value).distinct()
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -90,11 +90,19 @@ def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def visible(rows: DataFrame, grants: DataFrame, repo: str = "repo_name", *, null_repo: str = "allow") -> DataFrame:
-    """Rows by user of ``grants(user_id, repo)``: those of granted repositories, and for ``null_repo='allow'`` those without one."""
+    """Rows by user of ``grants(user_id, repo)``: those of granted repositories, and for ``null_repo='allow'`` those without one.
+
+    Rows without a repository stand once, under a null ``user_id``, and are every user's; they are not copied to each.
+    """
     granted = rows.join(grants, rows[repo] == grants["repo"]).drop("repo")
     if null_repo != "allow":
         return granted
-    users = grants.select("user_id").distinct()
-    # rows without a repository go to every user: an equi-join on a constant, as each user is to see them
-    free = rows.where(F.col(repo).isNull()).withColumn("__all", F.lit(1)).join(users.withColumn("__all", F.lit(1)), "__all").drop("__all")
-    return granted.unionByName(free)
+    return granted.unionByName(rows.where(F.col(repo).isNull()).withColumn("user_id", F.lit(None).cast("string")).select(*granted.columns))
+
+
+def visible_counts(rows: DataFrame, grants: DataFrame, repo: str = "repo_name", *, null_repo: str = "allow") -> DataFrame:
+    """``user_id, n`` of every user of ``grants``: rows are counted by repository before they meet the users."""
+    sizes = rows.groupBy(F.col(repo).alias("repo")).agg(F.count("*").alias("rows"))
+    by_user = grants.join(sizes, "repo", "left").groupBy("user_id").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+    free = sizes.where("repo is null").agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar() if null_repo == "allow" else F.lit(0)
+    return by_user.select("user_id", (F.col("n") + free).alias("n")).where("n > 0")

@@ -22,8 +22,17 @@ def detect_changes(current: DataFrame, previous: DataFrame, key: str, digest: st
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """The new snapshot: incoming rows replace stored rows of their keys; of repeated incoming keys any one row counts."""
-    return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming.dropDuplicates([key]))
+    """The new snapshot: incoming rows replace stored rows of their keys; of repeated incoming keys the row that is last by its other columns counts."""
+    return stored.join(incoming.select(key).distinct(), key, "left_anti").unionByName(last_of(incoming, key))
+
+
+def last_of(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: the greatest by its other columns as text, so that the same rows always give the same one."""
+    rest = [x for x in rows.columns if x != key]
+    if not rest:
+        return rows.distinct()
+    order = F.struct(*(F.to_json(F.struct(F.col(x).alias("x"))).alias(f"o{i}") for i, x in enumerate(rest)))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__row")).select(*(F.col(x) if x == key else F.col("__row")[x].alias(x) for x in rows.columns))
 
 
 def delete(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.operators.skew import salted
 
 K1, B = 1.2, 0.75
 #: fixed values: weights of the fields
@@ -121,8 +122,12 @@ def score(asked: DataFrame, postings: DataFrame, boosts: dict[str, float] = BOOS
     hits = asked.join(df, "term").join(F.broadcast(stats), "field")
     weighted = hits.select("query_id", "field", "term", (F.col("weight") * F.coalesce(F.try_element_at(boost, F.col("field")), F.lit(1.0)) * F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"), "avg_dl")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    weighted = F.broadcast(weighted) if few else weighted.hint("shuffle_merge")
-    found = postings.join(weighted, ["field", "term"]).select("query_id", "doc_id", (F.col("w") * tf).alias("s"))
+    if few:
+        found = postings.join(F.broadcast(weighted), ["field", "term"])
+    else:  # a common term's postings may be a third of all
+        left, right = salted(postings, weighted, ["field", "term"], "doc_id")
+        found = left.join(right.hint("shuffle_merge"), ["field", "term", "salt"])
+    found = found.select("query_id", "doc_id", (F.col("w") * tf).alias("s"))
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
@@ -131,7 +136,11 @@ def overlap(asked: DataFrame, postings: DataFrame) -> DataFrame:
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("n"))
     sized = asked.join(sizes, "query_id").select("query_id", "term", "n")
-    found = postings.join(F.broadcast(sized) if few else sized.hint("shuffle_merge"), "term")
+    if few:
+        found = postings.join(F.broadcast(sized), "term")
+    else:
+        left, right = salted(postings, sized, "term", "doc_id")
+        found = left.join(right.hint("shuffle_merge"), ["term", "salt"])
     return found.groupBy("query_id", "doc_id").agg(F.round(F.sum("tf") / F.max("n"), 6).alias("score"))
 
 

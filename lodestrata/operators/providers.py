@@ -34,7 +34,7 @@ def _apply(rows: DataFrame, text: str, provider, out: str, kind: str, batch: int
                         values[i] = value
                 except Exception as error:  # noqa: BLE001
                     for i in part:
-                        errors[i] = str(error)[:500]
+                        errors[i] = str(error)
             yield pdf.assign(**{out: values, f"{out}_error": errors})
 
     return rows.mapInPandas(run, f"{fields}, {out} {kind}, {out}_error string")

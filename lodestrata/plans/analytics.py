@@ -84,7 +84,7 @@ _GRANTS = "g AS (SELECT DISTINCT assigned_to AS user_id, repo_name AS repo FROM
 @registry.query("rbac_filter", f"WITH {_CH}, {_GRANTS} SELECT user_id, count(*) AS n FROM (SELECT user_id, id FROM ch JOIN g ON repo_name = repo UNION ALL SELECT u.user_id, id FROM ch, (SELECT DISTINCT user_id FROM g) u WHERE repo_name IS NULL) GROUP BY 1")
 def rbac_filter(spark, d):
     grants = table(spark, d, "backlog_items").where("assigned_to is not null and repo_name is not null").select(c("assigned_to").alias("user_id"), c("repo_name").alias("repo")).distinct()
-    return A.visible(_chunks(spark, d).select("id", "repo_name"), grants).groupBy("user_id").agg(F.count("*").alias("n"))
+    return A.visible_counts(_chunks(spark, d).select("id", "repo_name"), grants)
 
 
 @registry.query("index_stats", "SELECT count(*) AS chunks, count(DISTINCT nullif(file_path, '')) AS files, count(DISTINCT lower(language)) AS languages, max(indexed_at) AS last_indexed FROM chunks")
@@ -143,22 +143,22 @@ def line_counts(spark, d):
 
 
 def _index_sql(key: str, value: str, source: str) -> str:
-    return f"SELECT k AS {key}, string_agg(v, ',' ORDER BY v) AS \"values\", count(*) AS n FROM (SELECT DISTINCT {key} AS k, {value} AS v FROM {source} WHERE {key} IS NOT NULL AND {value} IS NOT NULL) GROUP BY 1"
+    return f"SELECT DISTINCT {key}, {value} FROM {source} WHERE {key} IS NOT NULL AND {value} IS NOT NULL"
 
 
 @registry.query("name_index", f"WITH {_CH} " + _index_sql("name", "id", "ch"))
 def name_index(spark, d):
-    return A.collect_index(_chunks(spark, d), "name", "id")
+    return A.value_index(_chunks(spark, d), "name", "id")
 
 
 @registry.query("file_index", f"WITH {_CH} " + _index_sql("file_path", "id", "ch"))
 def file_index(spark, d):
-    return A.collect_index(_chunks(spark, d), "file_path", "id")
+    return A.value_index(_chunks(spark, d), "file_path", "id")
 
 
 @registry.query("caller_map", _index_sql("target", "source", "(SELECT * FROM graph_edges WHERE type = 'calls')"))
 def caller_map(spark, d):
-    return A.collect_index(table(spark, d, "graph_edges").where("type = 'calls'"), "target", "source")
+    return A.value_index(table(spark, d, "graph_edges").where("type = 'calls'"), "target", "source")
 
 
 @registry.query("repo_rollup", "SELECT repo_name, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(files) AS BIGINT) AS files FROM (SELECT metadata.repo_name AS repo_name, 1 AS chunks, 0 AS files FROM chunks UNION ALL SELECT repo_name, 0, 1 FROM scanned_files) GROUP BY ROLLUP (repo_name)")
@@ -248,10 +248,10 @@ def enrich_resume(spark, d):
     return I.pending(chunks.select("id"), chunks.where("nl_summary is not null"), "id").distinct()
 
 
-@registry.query("enrich_summary", r"SELECT DISTINCT id, coalesce(nl_summary, nullif(trim(regexp_extract(content, '^\s*([^\n.]{1,120})', 1)), ''), '(empty)') AS summary FROM chunks")
+@registry.query("enrich_summary", r"SELECT DISTINCT id, coalesce(nl_summary, nullif(trim(regexp_extract(content, '^\s*([^\n.]+)', 1)), ''), '(empty)') AS summary FROM chunks")
 def enrich_summary(spark, d):
-    """Summaries; where none was delivered, the start of the first line stands in for a model."""
-    first = F.trim(F.regexp_extract("content", r"^\s*([^\n.]{1,120})", 1))
+    """Summaries; where none was delivered, the first sentence of the first line stands in for a model."""
+    first = F.trim(F.regexp_extract("content", r"^\s*([^\n.]+)", 1))
     return table(spark, d, "chunks").select("id", F.coalesce("nl_summary", F.nullif(first, F.lit("")), F.lit("(empty)")).alias("summary")).distinct()
 
 

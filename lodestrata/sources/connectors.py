@@ -8,13 +8,14 @@ that reads a folder of landed pages as a batch or, by file name, as a stream.
 
 from __future__ import annotations
 
+import io
 import json
-import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lodestrata.functions.text import html_to_text
 
@@ -43,14 +44,30 @@ class _Page(InputPartition):
         self.name = name
 
 
-def _rows(folder: str, name: str) -> Iterator[tuple]:
-    with open(os.path.join(folder, name), encoding="utf-8") as lines:
+def _folder(path: str):
+    """The file system of a folder and the folder's place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
+
+
+def _names(path: str) -> list[str]:
+    from pyarrow import fs
+
+    system, at = _folder(path)
+    return sorted(f.base_name for f in system.get_file_info(fs.FileSelector(at)) if f.is_file and not f.base_name.startswith((".", "_")))
+
+
+def _rows(path: str, name: str) -> Iterator[tuple]:
+    system, at = _folder(path)
+    with system.open_input_stream(f"{at.rstrip('/')}/{name}") as raw, io.TextIOWrapper(raw, encoding="utf-8") as lines:
         for line in lines:
             try:
                 page = json.loads(line)
             except ValueError:
                 continue
-            yield name, page.get("id"), line.rstrip("\n")
+            if isinstance(page, dict):
+                yield name, page.get("id"), line.rstrip("\n")
 
 
 class LandedReader(DataSourceReader):
@@ -58,14 +75,14 @@ class LandedReader(DataSourceReader):
         self.folder = folder
 
     def partitions(self):
-        return [_Page(n) for n in sorted(os.listdir(self.folder))]
+        return [_Page(n) for n in _names(self.folder)]
 
     def read(self, partition):
         return _rows(self.folder, partition.name)
 
 
-class LandedStream(SimpleDataSourceStreamReader):
-    """The offset is the name of the last file read, as names grow with time."""
+class LandedStream(DataSourceStreamReader):
+    """The offset is the name of the last file, as names grow with time; the driver lists names, and each new file is a partition that a worker reads."""
 
     def __init__(self, folder: str):
         self.folder = folder
@@ -73,13 +90,14 @@ class LandedStream(SimpleDataSourceStreamReader):
     def initialOffset(self):
         return {"after": ""}
 
-    def read(self, start):
-        names = [n for n in sorted(os.listdir(self.folder)) if n > start["after"]]
-        rows = [r for n in names for r in _rows(self.folder, n)]
-        return iter(rows), {"after": names[-1] if names else start["after"]}
+    def latestOffset(self):
+        return {"after": max(_names(self.folder), default="")}
+
+    def partitions(self, start, end):
+        return [_Page(n) for n in _names(self.folder) if start["after"] < n <= end["after"]]
 
-    def readBetweenOffsets(self, start, end):
-        return iter([r for n in sorted(os.listdir(self.folder)) if start["after"] < n <= end["after"] for r in _rows(self.folder, n)])
+    def read(self, partition):
+        return _rows(self.folder, partition.name)
 
 
 class LandedPages(DataSource):
@@ -95,5 +113,5 @@ class LandedPages(DataSource):
     def reader(self, schema):
         return LandedReader(self.options["path"])
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return LandedStream(self.options["path"])

@@ -16,14 +16,69 @@ c = F.col
 IGNORED = ("node_modules/", ".git/", "dist/", "build/", "coverage/")
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """``file_path, content, content_hash`` of all files below ``root``; paths relative to it. Texts that are no UTF-8 become null."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+#: names of files whose lines are ignore patterns for the folder that they stand in
+IGNORE_FILES = (".gitignore", ".indexignore")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """``path, file_path, length`` of all files below ``root``, without reading one; ``file_path`` is relative to it."""
     base = root.rstrip("/") + "/"
-    path = F.regexp_replace("path", "^.*?" + re.escape(base.split("://")[-1]), "")
-    files = raw.select(path.alias("file_path"), F.try_validate_utf8(c("content").cast("string")).alias("content"))
-    kept = files.where(~ignored(c("file_path"), [*IGNORED, *(ignore or [])]))
-    return kept.select("file_path", "content", F.sha2("content", 256).alias("content_hash"))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    return raw.select("path", F.regexp_replace("path", "^.*?" + re.escape(base.split("://")[-1]), "").alias("file_path"), "length")
+
+
+def _read_bytes(path: str) -> bytes:
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
+    with system.open_input_stream(at) as f:
+        return f.read()
+
+
+def read_texts(files: DataFrame) -> DataFrame:
+    """``files`` with ``content``: the text of every ``path``, null where it is no UTF-8. Only the files of these rows are read."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):  # one file at a time, as sizes differ
+                try:
+                    text = _read_bytes(pdf.path.iat[i]).decode("utf-8")
+                except UnicodeDecodeError:
+                    text = None
+                yield pdf.iloc[i : i + 1].assign(content=[text])
+
+    # listed paths come in few partitions; reading is spread
+    return files.repartition("path").mapInPandas(run, f"{fields}, content string")
+
+
+def ignore_rules(files: DataFrame, names: tuple[str, ...] = IGNORE_FILES) -> list[str]:
+    """Patterns of the ignore files in a ``listing``, outer folders first, with their folder as prefix; they are configuration and come to the driver."""
+    name = F.regexp_extract("file_path", r"([^/]+)$", 1)
+    found = read_texts(files.where(name.isin(*names))).where("content is not null").select("file_path", "content").collect()
+    order = {n: i for i, n in enumerate(names)}
+    rules = []
+    for row in sorted(found, key=lambda r: (r.file_path.count("/"), r.file_path.rpartition("/")[0], order[r.file_path.rpartition("/")[2]])):
+        folder = row.file_path.rpartition("/")[0]
+        for line in (x.strip() for x in row.content.split("\n")):
+            if not line or line.startswith("#"):
+                continue
+            back, pattern = ("!", line[1:]) if line.startswith("!") else ("", line)
+            if folder:
+                inner = pattern.lstrip("/")
+                pattern = f"{folder}/{inner}" if "/" in pattern.rstrip("/") else f"{folder}/**/{inner}"
+            rules.append(back + pattern)
+    return rules
+
+
+def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, ignore_files: tuple[str, ...] = IGNORE_FILES) -> DataFrame:
+    """``file_path, content, content_hash`` of the files below ``root`` that neither the usual folders, nor ignore files, nor ``ignore`` leave out.
+
+    Paths are relative to ``root``. Paths are listed and filtered before a file is read. Texts that are no UTF-8 become null.
+    """
+    files = listing(spark, root)
+    rules = [*IGNORED, *(ignore_rules(files.where(~ignored(c("file_path"), list(IGNORED))), ignore_files) if ignore_files else []), *(ignore or [])]
+    return read_texts(files.where(~ignored(c("file_path"), rules))).select("file_path", "content", F.sha2("content", 256).alias("content_hash"))
 
 
 def glob_to_regex(pattern: str) -> str:
