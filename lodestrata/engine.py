@@ -112,10 +112,21 @@ class Engine:
         now = self.generation()
         found = self.search(queries, k, **filters)
         files = found.groupBy("query_id", c("file_path").alias("node")).agg(F.min("rank").alias("rank"))
-        related = graph.expand(files, None, self.table("edges", now), max_related)
+        edges = self.table("edges", now)
+        related = graph.expand(files, None, edges, max_related)
         texts = related.select("query_id", c("node").alias("file_path"), "distance").join(self.table("chunks", now), "file_path")
-        primary = found.select("query_id", "id", c("content").alias("text"), "score")
-        return budget.assemble(primary, texts.select("query_id", "id", c("content").alias("text"), "distance"), max_tokens=max_tokens, reserve=reserve)
+        columns = ["query_id", "id", c("content").alias("text"), "name", "chunk_type", "file_path", "start_line", "end_line", c("nl_summary").alias("summary")]
+        # files of one query are bounded by k and max_related
+        nodes = files.select("query_id", "node").unionByName(related.select("query_id", "node")).distinct()
+        ends = edges.join(nodes.withColumnRenamed("node", "source"), "source").join(nodes.select("query_id", c("node").alias("target")), ["query_id", "target"])
+        links = ends.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("source", "target", "type"))).alias("edges"))
+        excerpt = nodes.groupBy("query_id").agg(F.array_sort(F.collect_set("node")).alias("nodes")).join(links, "query_id", "left")
+        excerpt = excerpt.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<source:string,target:string,type:string>>")))
+        return budget.assemble(found.select(*columns, "score"), texts.select(*columns, "distance"), excerpt, max_tokens=max_tokens, reserve=reserve)
+
+    def explain(self, name: str | None = None, path: str | None = None, k: int = 20, *, detailed: bool = False) -> DataFrame:
+        """Chunks by name or path, see ``analytics.explain``."""
+        return analytics.explain(self.table("chunks"), name=name, path=path, k=k, detailed=detailed)
 
     def status(self) -> DataFrame:
         """One row: ``generation, chunks, files, vectors, edges``."""

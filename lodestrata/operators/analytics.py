@@ -33,6 +33,22 @@ def without_tests(rows: DataFrame, kinds: tuple[str, ...] = ("interface", "type_
     return rows.where(~path.contains(".test.") & ~path.contains(".spec.") & ~path.contains("__tests__") & ~kind.isin(*kinds))
 
 
+def explain(chunks: DataFrame, *, name: str | None = None, path: str | None = None, k: int | None = None, detailed: bool = False) -> DataFrame:
+    """Chunks whose name contains ``name`` (case does not count) or, without a name, whose path contains ``path``.
+
+    ``k`` keeps the first of each file by line and id. The brief form has places; ``detailed`` adds kind, summary and code. Without name and path nothing is found.
+    """
+    if name:
+        found = chunks.where(F.lower("name").contains(name.lower()))
+    else:
+        found = chunks.where(F.col("file_path").contains(path)) if path else chunks.limit(0)
+    if k is not None:
+        w = Window.partitionBy("file_path").orderBy(F.asc_nulls_first("start_line"), "id")
+        found = found.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__rn")
+    brief = ["id", "name", "file_path", "start_line", "end_line"]
+    return found.select(*brief, *(["chunk_type", "nl_summary", "content"] if detailed else []))
+
+
 def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows in ``order``, with ``total`` and ``pages`` (at least 1).
 

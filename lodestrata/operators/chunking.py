@@ -33,6 +33,12 @@ DECLARATIONS = {
     "python": r"^(?:async\s+)?(?:def|class)\s+(\w+)",
     "go": r"^(?:func|type|var|const)\s+(?:\([^)]*\)\s*)?(\w+)",
     "java": r"^(?:public\s+|private\s+|protected\s+|final\s+|abstract\s+|static\s+)*(?:class|interface|enum|record)\s+(\w+)",
+    "rust": r"^(?:pub(?:\([\w:\s]+\))?\s+)?(?:default\s+|unsafe\s+|async\s+|const\s+(?=fn\b|unsafe\b|async\b|extern\b)|extern\s+(?:\"[^\"]*\"\s+)?(?=fn\b))*(?:(?:fn|struct|enum|union|trait|type|mod|macro_rules!)\s+|(?:const|static)\s+(?:mut\s+)?|impl\b(?:\s*<[^{]*?>)?\s+(?:[\w:<>,'&\s]+?\s+for\s+)?)(\w+)",
+    "c_sharp": r"^\s{0,4}(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|unsafe|file|new)\s+)*(?:class|interface|enum|struct|record(?:\s+(?:class|struct))?|namespace|delegate\s+[\w<>\[\],.?]+)\s+([\w.]+)",
+    "c": r"^(?!(?:return|else|goto|case|extern\s+\"C\"|typedef)\b)(?:(?:struct|enum|union)\s+(?=\w+\s*\{)|(?:[A-Za-z_]\w*[\s*]+)+(?=\w+\s*(?:\(|=|;|\[)))(\w+)",
+    "cpp": r"^(?!(?:return|else|goto|case|using|typedef|extern\s+\"C\")\b)(?:template\s*<[^{;]*>\s*)?(?:(?:class|struct|enum(?:\s+class)?|union|namespace|concept)\s+(?=\w+(?:\s*\{|\s*:|\s+final\b|\s*=|\s*$))|(?:[A-Za-z_][\w:]*(?:<[^;{]*>)?[\s*&]+)+(?=[\w:~]+\s*(?:\(|=|;|\[|\{))|(?=\w+(?:::~?\w+)+\s*\())([\w:~]+)",
+    "ruby": r"^(?:class|module|def)\s+(?:self\.)?([A-Za-z_][\w:]*[?!=]?)",
+    "php": r"^(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum|function)\s+&?(\w+)",
 }
 SAME = {"typescript": "javascript", "tsx": "javascript"}
 
@@ -101,6 +107,7 @@ def python_declarations(files: DataFrame) -> DataFrame:
 
 # ---- Markdown -----------------------------------------------------------------------------
 
+# fixed value: the form of a heading
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 
 

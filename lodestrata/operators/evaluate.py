@@ -45,6 +45,16 @@ def ir_metrics(runs: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10),
     )
 
 
+def context_recall(expected: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``query_id, context_recall``: share of ``expected(query_id, text, info)`` whose ``info`` stands in the context ``text``, whatever its case.
+
+    Queries of ``contexts(query_id, ...)`` without expected information have null; a null or empty context has 0.
+    """
+    found = F.coalesce(F.contains(F.lower("text"), F.lower("info")), F.lit(False)) & (F.coalesce("text", F.lit("")) != "")
+    by = expected.where("info is not null").groupBy("query_id").agg(F.avg(F.when(found, 1.0).otherwise(0.0)).alias("context_recall"))
+    return contexts.select("query_id").distinct().join(by, "query_id", "left")
+
+
 def averages(metrics: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Means of the columns, by group; nulls do not count."""
     return metrics.groupBy(*by).agg(F.count("*").alias("queries"), *(F.round(F.avg(x), 6).alias(x) for x in columns))

@@ -40,7 +40,14 @@ def filter_tests(spark, d):
 @registry.query("explain", f"WITH {_CH} SELECT id, name, file_path, start_line, end_line FROM ch WHERE contains(lower(name), 'service')")
 def explain(spark, d):
     """The brief form of an explanation: places without code."""
-    return _chunks(spark, d).where(F.lower("name").contains("service")).select("id", "name", "file_path", "start_line", "end_line")
+    return A.explain(_chunks(spark, d), name="service").select("id", "name", "file_path", "start_line", "end_line")
+
+
+@registry.query("explain_path", f"WITH {_CH} SELECT id, name, chunk_type, file_path, start_line, end_line, nl_summary, sha256(content) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start_line NULLS FIRST, id) AS rn FROM ch WHERE contains(file_path, 'service')) WHERE rn <= 20")
+def explain_path(spark, d):
+    """The full form by path: the first 20 chunks of each file whose path contains a word, with summaries and code."""
+    found = A.explain(_chunks(spark, d), path="service", k=20, detailed=True)
+    return found.select("id", "name", "chunk_type", "file_path", "start_line", "end_line", "nl_summary", F.sha2("content", 256).alias("digest"))
 
 
 @registry.query("docs_filter", rf"WITH {_CH} SELECT id, file_path, CASE WHEN contains(file_path, 'confluence') THEN 'confluence' WHEN regexp_matches(lower(file_path), '\.mdx?$') THEN 'markdown' ELSE 'unknown' END AS source FROM ch WHERE chunk_type = 'doc'")

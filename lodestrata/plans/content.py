@@ -37,6 +37,35 @@ def extract_declarations(spark, d):
     return _code(spark, d).select("file_path", F.explode(C.declarations(c("content"), c("language"))).alias("x")).select("file_path", "x.name", "x.line")
 
 
+#: files of the languages that the tables lack, with the names that they declare; X is a name
+_FORMS = {
+    "rs": ("use std::fmt;\npub struct X { a: u8 }\nimpl fmt::Display for X {\n    fn fmt(&self) {}\n}\npub async fn run_X() {}\nstatic mut N_X: u8 = 0;", ["X", "X", "run_X", "N_X"]),
+    "cs": ("using System;\nnamespace N.X;\npublic sealed class X : IDisposable {\n        int a = 0;\n}\ninternal record struct R_X(int A);", ["N.X", "X", "R_X"]),
+    "c": ("#include <a.h>\nstruct X { int a; };\nstatic const char *name_X(int a) {\n    return 0;\n}\nint count_X = 0;", ["X", "name_X", "count_X"]),
+    "cpp": ("#include <a>\nnamespace ns_X {\ntemplate <typename T> class X : public B {\n};\nstd::vector<int> X::list(int a) {\n    return {};\n}\n}", ["ns_X", "X", "X::list"]),
+    "rb": ("require 'a'\nmodule M_X\nend\nclass X < Base\n  def inner; end\nend\ndef self.make_X?(a)\nend", ["M_X", "X", "make_X?"]),
+    "php": ("<?php\nuse A;\ninterface I_X {}\nfinal class X implements I_X {\n    public function f() {}\n}\nfunction go_X() {}", ["I_X", "X", "go_X"]),
+}
+
+
+def _values(rows) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(quote(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+@registry.query(
+    "declarations_polyglot",
+    f"""WITH n AS (SELECT DISTINCT 'T' || regexp_replace(metadata.name, '[^A-Za-z0-9_]', '', 'g') AS x FROM chunks WHERE metadata.name IS NOT NULL), f(ext, pos, form) AS (VALUES {_values((e, i, x) for e, (_, xs) in _FORMS.items() for i, x in enumerate(xs))})
+    SELECT x || '.' || ext AS file_path, CAST(pos AS INT) AS pos, replace(form, 'X', x) AS name FROM n, f""",
+)
+def declarations_polyglot(spark, d):
+    """Declarations of generated files of six more languages; the SQL states the names that were put in."""
+    names = table(spark, d, "chunks").where("metadata.name is not null").select(F.concat(F.lit("T"), F.regexp_replace("metadata.name", "[^A-Za-z0-9_]", "")).alias("x")).distinct()
+    forms = F.explode(F.array(*(F.struct(F.lit(e).alias("ext"), F.lit(t).alias("form")) for e, (t, _) in _FORMS.items())))
+    files = names.select("x", forms.alias("f")).select(F.concat_ws(".", "x", "f.ext").alias("file_path"), F.replace(c("f.form"), F.lit("X"), c("x")).alias("content"))
+    return files.select("file_path", F.posexplode(C.declarations(c("content"), T.detect_language(c("file_path")))).alias("pos", "x")).select("file_path", "pos", "x.name")
+
+
 @registry.query("decl_regions", f"WITH {_DECL} SELECT file_path, name, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line FROM rg")
 def decl_regions(spark, d):
     return _code(spark, d).select("file_path", F.explode(C.regions(c("content"), c("language"))).alias("x")).select("file_path", "x.*")
@@ -333,7 +362,7 @@ def csn_load(spark, d):
 
 @registry.query(
     "repobench_load",
-    "SELECT metadata.repo_name || ':' || file_path AS task_id, CAST(i - 1 AS INT) AS pos, names[i] AS code, i = 1 AS is_gold FROM (SELECT DISTINCT id, metadata, file_path, list_distinct(metadata.declarations) AS ld, metadata.declarations AS names, unnest(range(1, len(metadata.declarations) + 1)) AS i FROM chunks WHERE len(list_distinct(metadata.declarations)) = len(metadata.declarations)) WHERE metadata.repo_name IS NOT NULL AND file_path IS NOT NULL",
+    "SELECT metadata.repo_name || ':' || file_path AS task_id, CAST(i - 1 AS INT) AS pos, names[i] AS code, names[i] = names[1] AS is_gold FROM (SELECT DISTINCT id, metadata, file_path, list_distinct(metadata.declarations) AS ld, metadata.declarations AS names, unnest(range(1, len(metadata.declarations) + 1)) AS i FROM chunks) WHERE metadata.repo_name IS NOT NULL AND file_path IS NOT NULL",
 )
 def repobench_load(spark, d):
     """Chunks as lines of a repository benchmark: declarations are the snippets, the first is the one wanted."""
@@ -341,7 +370,7 @@ def repobench_load(spark, d):
 
     names = c("metadata.declarations")
     snippets = F.transform(names, lambda x: F.struct(c("file_path").alias("file_path"), x.alias("code")))
-    rows = table(spark, d, "chunks").where((F.size(F.array_distinct(names)) == F.size(names)) & c("metadata.repo_name").isNotNull() & c("file_path").isNotNull()).distinct()
+    rows = table(spark, d, "chunks").where(c("metadata.repo_name").isNotNull() & c("file_path").isNotNull()).distinct()
     line = F.to_json(F.struct(c("metadata.repo_name").alias("repo_name"), "file_path", F.lit("x").alias("context"), F.lit("y").alias("import_statement"), F.get(names, F.lit(0)).alias("gold_snippet_code"), snippets.alias("cross_file_context")))
     return repobench_entries(rows.select(line.alias("value"))).select("task_id", "pos", "code", "is_gold")
 

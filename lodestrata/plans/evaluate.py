@@ -84,21 +84,79 @@ def noise_ratio(spark, d):
     return sums.select("query_id", "total", F.round(E.noise_ratio(c("relevant"), c("total")), 6).alias("noise"))
 
 
+def _context_sql(source: str, order_p: str, order_r: str, graph: str = "") -> str:
+    """Sections of formatted texts ``p`` and ``r`` (query_id, f), of 1500 tokens by shares, and a graph text ``g``."""
+    run = lambda t, order: f"SELECT *, CAST(ceil(length(f) / 4.0) AS INT) AS tokens, sum(CAST(ceil(length(f) / 4.0) AS INT)) OVER (PARTITION BY query_id ORDER BY {order}) AS used, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS n FROM {t}"
+    body = lambda t, title, most: f"SELECT query_id, '## {title}' || chr(10) || chr(10) || string_agg(f, chr(10) ORDER BY n) AS b, count(*) AS k, sum(tokens) AS s FROM {t} WHERE used <= {most} GROUP BY 1"
+    return f"""WITH {source}, pr AS ({run("p", order_p)}), rr AS ({run("r", order_r)}), pb AS ({body("pr", "Primary Results", 900)}), rb AS ({body("rr", "Related Context", 450)}),
+    o AS (SELECT query_id, count(*) AS n FROM (SELECT query_id FROM p UNION ALL SELECT query_id FROM r) GROUP BY 1), j AS (SELECT o.query_id, o.n, pb.b AS p, rb.b AS r, coalesce(pb.k, 0) AS pk, coalesce(rb.k, 0) AS rk, coalesce(pb.s, 0) + coalesce(rb.s, 0) AS s, {"coalesce(g.t, '')" if graph else "''"} AS t FROM o LEFT JOIN pb USING (query_id) LEFT JOIN rb USING (query_id) {graph})
+    SELECT query_id, sha256(concat_ws(chr(10), p, r, CASE WHEN t <> '' AND ceil(length(t) / 4.0) <= 150 THEN '## Dependency Graph' || chr(10) || chr(10) || t END)) AS digest, pk AS n_primary, rk AS n_related, t <> '' AND ceil(length(t) / 4.0) <= 150 AS has_graph,
+    CAST(s + CASE WHEN ceil(length(t) / 4.0) <= 150 THEN ceil(length(t) / 4.0) ELSE 0 END AS BIGINT) AS tokens, pk + rk < n OR ceil(length(t) / 4.0) > 150 AS truncated FROM j"""
+
+
+def _digest(made):
+    return made.select("query_id", F.sha2("content", 256).alias("digest"), "n_primary", "n_related", "has_graph", c("tokens").cast("bigint").alias("tokens"), "truncated")
+
+
+_FENCED = "chr(10) || '```' || chr(10) || text || chr(10) || '```'"
+
+
 @registry.query(
     "assemble_context",
-    f"""WITH {_RUNS}, txt AS (SELECT r.query_id, r.item_id AS id, r.rank, d.text, CAST(ceil(length(d.text) / 4.0) AS INT) AS tokens FROM runs r JOIN documents d ON d.doc_id = r.item_id WHERE d.text IS NOT NULL),
-    p AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM txt WHERE rank <= 10), r AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM txt WHERE rank > 10),
-    pb AS (SELECT query_id, '## Primary' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) AS b, count(*) AS k, sum(tokens) AS s FROM p WHERE used <= 900 GROUP BY 1),
-    rb AS (SELECT query_id, '## Related' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY rank) AS b, count(*) AS k, sum(tokens) AS s FROM r WHERE used <= 450 GROUP BY 1),
-    o AS (SELECT query_id, count(*) AS n FROM txt GROUP BY 1)
-    SELECT o.query_id, sha256(concat_ws(chr(10) || chr(10), pb.b, rb.b)) AS digest, coalesce(pb.k, 0) AS n_primary, coalesce(rb.k, 0) AS n_related, CAST(coalesce(pb.s, 0) + coalesce(rb.s, 0) AS BIGINT) AS tokens, coalesce(pb.k, 0) + coalesce(rb.k, 0) < o.n AS truncated FROM o LEFT JOIN pb USING (query_id) LEFT JOIN rb USING (query_id)""",
+    _context_sql(
+        f"""{_RUNS}, txt AS (SELECT r.query_id, r.item_id AS id, r.rank, d.text FROM runs r JOIN documents d ON d.doc_id = r.item_id WHERE d.text IS NOT NULL),
+    p AS (SELECT query_id, rank, '### (unnamed chunk)' || {_FENCED} AS f FROM txt WHERE rank <= 10), r AS (SELECT query_id, rank, '### unknown [related, distance=' || rank || ']' || {_FENCED} AS f FROM txt WHERE rank > 10)""",
+        "rank",
+        "rank",
+    ),
 )
 def assemble_context(spark, d):
     docs = table(spark, d, "documents").where("text is not null").select(c("doc_id").alias("item_id"), "text")
     rows = _runs(spark, d).join(docs, "item_id").select("query_id", c("item_id").alias("id"), "text", "rank")
     primary = rows.where("rank <= 10").withColumn("score", -c("rank"))
-    made = B.assemble(primary, rows.where("rank > 10").withColumn("distance", c("rank")), max_tokens=2000, reserve=500)
-    return made.select("query_id", F.sha2("content", 256).alias("digest"), "n_primary", "n_related", "tokens", "truncated")
+    return _digest(B.assemble(primary, rows.where("rank > 10").withColumn("distance", c("rank")), max_tokens=2000, reserve=500))
+
+
+_LINES = "CASE WHEN start_line IS NOT NULL AND end_line IS NOT NULL THEN ' [L' || start_line || '-' || end_line || ']' ELSE '' END"
+
+
+@registry.query(
+    "assemble_code_context",
+    _context_sql(
+        f"""fs AS (SELECT DISTINCT file_path AS query_id FROM scanned_files WHERE file_id % 50 = 0 AND file_path <> ''),
+    ed AS (SELECT DISTINCT source AS query_id, target FROM graph_edges JOIN fs ON source = query_id WHERE type = 'imports' AND target <> '' AND target <> source),
+    ch AS (SELECT DISTINCT id, content AS text, nl_summary, file_path, start_line, end_line, metadata.chunk_type AS kind, metadata.name AS name FROM chunks WHERE content IS NOT NULL AND file_path IS NOT NULL),
+    p AS (SELECT query_id, -coalesce(start_line, 0) AS score, id, CASE WHEN name <> '' THEN '### ' || name || ' (' || coalesce(kind, 'unknown') || ')' ELSE '### (unnamed chunk)' END || chr(10) || 'File: ' || file_path || {_LINES} || CASE WHEN nl_summary <> '' THEN chr(10) || nl_summary ELSE '' END || {_FENCED} AS f FROM fs JOIN ch ON file_path = query_id),
+    r AS (SELECT query_id, id, '### ' || coalesce(name, 'unknown') || ' [imports, distance=1]' || chr(10) || 'File: ' || file_path || CASE WHEN nl_summary <> '' THEN chr(10) || nl_summary ELSE '' END || {_FENCED} AS f FROM ed JOIN ch ON file_path = target),
+    g AS (SELECT query_id, 'Nodes: ' || query_id || ', ' || string_agg(target, ', ' ORDER BY target) || chr(10) || string_agg(query_id || ' --[imports]--> ' || target, chr(10) ORDER BY target) AS t FROM ed GROUP BY 1)""",
+        "score DESC, id",
+        "id",
+        "LEFT JOIN g USING (query_id)",
+    ),
+)
+def assemble_code_context(spark, d):
+    """Every file whose id is divisible by 50: its chunks, those of the files that it imports, and the graph between them."""
+    asked = table(spark, d, "scanned_files").where("file_id % 50 = 0 and file_path <> ''").select(c("file_path").alias("query_id")).distinct()
+    edges = table(spark, d, "graph_edges").where("type = 'imports' and target <> '' and target <> source").select(c("source").alias("query_id"), "target").distinct().join(asked, "query_id", "left_semi")
+    chunks = table(spark, d, "chunks").where("content is not null and file_path is not null").select("id", c("content").alias("text"), c("nl_summary").alias("summary"), "file_path", "start_line", "end_line", c("metadata.chunk_type").alias("chunk_type"), c("metadata.name").alias("name")).distinct()
+    primary = chunks.join(asked, c("file_path") == c("query_id")).withColumn("score", -F.coalesce("start_line", F.lit(0)))
+    related = chunks.join(edges, c("file_path") == c("target")).withColumns({"distance": F.lit(1), "relationship": F.lit("imports")})
+    # the imports of one file are bounded by its text
+    targets = F.array_sort(F.collect_list("target"))
+    graph = edges.groupBy("query_id").agg(targets.alias("targets")).select("query_id", F.concat(F.array("query_id"), "targets").alias("nodes"), F.transform("targets", lambda t: F.struct(c("query_id").alias("source"), t.alias("target"), F.lit("imports").alias("type"))).alias("edges"))
+    return _digest(B.assemble(primary, related, graph, max_tokens=2000, reserve=500))
+
+
+@registry.query(
+    "context_recall",
+    """WITH e AS (SELECT DISTINCT id AS query_id, concat_ws(' ', title, description) AS text, unnest(tags) AS info FROM backlog_items WHERE id IS NOT NULL)
+    SELECT query_id, round(avg(CASE WHEN contains(lower(text), lower(info)) THEN 1.0 ELSE 0.0 END), 6) AS context_recall FROM e WHERE info IS NOT NULL GROUP BY 1
+    UNION ALL SELECT DISTINCT id, NULL FROM backlog_items WHERE id IS NOT NULL AND id NOT IN (SELECT query_id FROM e WHERE info IS NOT NULL)""",
+)
+def context_recall(spark, d):
+    """Tags of work items as expected information, their texts as contexts."""
+    items = table(spark, d, "backlog_items").where("id is not null").select(c("id").alias("query_id"), F.concat_ws(" ", "title", "description").alias("text"), "tags").distinct()
+    return E.context_recall(items.select("query_id", "text", F.explode("tags").alias("info")).distinct(), items.select("query_id", "text").distinct()).select("query_id", F.round("context_recall", 6).alias("context_recall"))
 
 
 _LEVELS = _RUNS + """, bud AS (SELECT ql AS strategy, b AS budget, avg(CASE WHEN f <= b THEN 1 / f ELSE 0 END) AS mrr FROM (SELECT r.query_id, max(r.ql) AS ql, max(s.f) AS f FROM runs r JOIN s USING (query_id) GROUP BY 1), (SELECT unnest([1, 2, 3, 5, 10, 20]) AS b) GROUP BY 1, 2)"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
-from lodestrata.operators import fusion, lexical
+from lodestrata.operators import fusion, lexical, manifest
 from lodestrata.plans.registry import Registry
 from lodestrata.session import cut
 from lodestrata.sources.tables import table
@@ -215,21 +215,26 @@ def token_overlap_search(spark, d):
     return lexical.top(lexical.overlap(asked, lexical.build_postings(table(spark, d, "documents"), "doc_id", {"content": "text"})), 10)
 
 
+_WORDS = "list_filter(string_split(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_POINTS = f"""CASE WHEN length(name) > 2 AND contains(t, name) THEN 10 ELSE 0 END
+    + CASE WHEN contains(name, '.') THEN 7 * len(list_filter(string_split(name, '.'), lambda p: length(p) > 2 AND contains(t, p))) ELSE 0 END
+    + CASE WHEN module <> '' AND contains(t, module) THEN 3 ELSE 0 END
+    + list_sum(list_transform(qw, lambda a: coalesce(list_sum(list_transform(nw, lambda b: CASE WHEN a = b AND length(a) > 2 THEN 5 WHEN a <> b AND contains(b, a) AND length(a) > 3 THEN 2 WHEN a <> b AND contains(a, b) AND length(b) > 3 THEN 2 ELSE 0 END)), 0)))
+    + list_sum(list_transform(qw, lambda a: CASE WHEN length(a) > 3 THEN len(list_filter(dw, lambda b: b = a)) + len(list_filter(pw, lambda b: b = a)) ELSE 0 END))"""
+
+
 @registry.query(
     "manifest_search",
-    r"""WITH ent AS (SELECT DISTINCT id, file_path, metadata.name AS name, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(metadata.name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda w: w <> '') AS t FROM chunks WHERE metadata.name IS NOT NULL),
-    q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')) AS t FROM eval_items),
-    qt AS (SELECT query_id, unnest(t) AS term FROM q), et AS (SELECT DISTINCT file_path, id, unnest(t) AS term FROM ent),
-    s AS (SELECT query_id, id, file_path, 5 * count(*) AS score FROM qt JOIN et USING (term) GROUP BY 1, 2, 3),
-    f AS (SELECT query_id, file_path, max(score) AS score FROM s GROUP BY 1, 2)
-    SELECT query_id, file_path, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS INT) AS rank FROM f) WHERE rank <= 20""",
+    f"""WITH ent AS (SELECT DISTINCT id, file_path, lower(metadata.name) AS name, coalesce(lower(metadata.repo_name), '') AS module, coalesce(lower(nl_summary), '') AS dsc, lower(file_path) AS path FROM chunks WHERE metadata.name IS NOT NULL AND file_path IS NOT NULL),
+    e AS (SELECT *, {_WORDS.format("name")} AS nw, {_WORDS.format("dsc")} AS dw, {_WORDS.format("path")} AS pw FROM ent), q AS (SELECT item_id AS query_id, lower(text) AS t, {_WORDS.format("lower(text)")} AS qw FROM eval_items WHERE text IS NOT NULL),
+    s AS (SELECT query_id, file_path, max(score) AS score FROM (SELECT query_id, file_path, coalesce({_POINTS}, 0) AS score FROM q, e) WHERE score > 0 GROUP BY 1, 2)
+    SELECT query_id, file_path, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path) AS INT) AS rank FROM s) WHERE rank <= 20""",
 )
 def manifest_search(spark, d):
-    """Files by the words that their declarations' names share with the question; five points a word."""
-    ent = table(spark, d, "chunks").where("metadata.name is not null").select("id", "file_path", F.explode(F.array_distinct(T.code_tokens(F.col("metadata.name")))).alias("term")).distinct()
-    asked = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.code_tokens(F.col("text")))).alias("term"))
-    per_name = asked.join(ent, "term").groupBy("query_id", "id", "file_path").agg((F.count("*") * 5).alias("score"))
-    best = per_name.groupBy("query_id", "file_path").agg(F.max("score").alias("score"))
+    """The 20 best files of each test item by the points of their declarations; repositories are the modules."""
+    ent = table(spark, d, "chunks").where("metadata.name is not null and file_path is not null").select(F.concat_ws("\u0001", "file_path", "id").alias("id"), F.col("metadata.name").alias("name"), F.col("metadata.repo_name").alias("module"), F.col("nl_summary").alias("description"), F.col("file_path").alias("path"))
+    found = manifest.score(table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text"), ent)
+    best = found.groupBy("query_id", F.substring_index("id", "\u0001", 1).alias("file_path")).agg(F.max("score").alias("score"))
     return lexical.top(best, 20, id_col="file_path")
 
 

@@ -75,14 +75,14 @@ def extract_keywords(spark, d):
 
 #: questions: the held-out items, and titles of work items turned into questions of every kind
 _QUESTIONS = """q AS (SELECT 'e' || CAST(item_id AS VARCHAR) AS query_id, text FROM eval_items UNION ALL
- SELECT DISTINCT id || '-' || k, replace(replace(p, 'X', title), 'T', coalesce(type, 'class')) FROM backlog_items, (VALUES ('a', 'where is X defined'), ('b', 'who calls X in src/app/main.ts'), ('c', 'how does X work with python and T'), ('d', 'something similar to X test config')) v(k, p) WHERE title IS NOT NULL AND length(title) < 1900)"""
+ SELECT DISTINCT id || '-' || k, replace(replace(p, 'X', title), 'T', coalesce(type, 'class')) FROM backlog_items, (VALUES ('a', 'where is X defined'), ('b', 'who calls X in src/app/main.ts'), ('c', 'how does X work with python and T'), ('d', 'something similar to X test config')) v(k, p) WHERE title IS NOT NULL)"""
 
 
 def _questions(spark, d):
     items = table(spark, d, "eval_items").select(F.concat(F.lit("e"), c("item_id").cast("string")).alias("query_id"), "text")
     forms = {"a": "where is X defined", "b": "who calls X in src/app/main.ts", "c": "how does X work with python and T", "d": "something similar to X test config"}
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(p).alias("p")) for k, p in forms.items())))
-    titles = table(spark, d, "backlog_items").where("title is not null and length(title) < 1900").select("id", "title", "type", each.alias("f"))
+    titles = table(spark, d, "backlog_items").where("title is not null").select("id", "title", "type", each.alias("f"))
     asked = titles.select(F.concat_ws("-", "id", "f.k").alias("query_id"), F.replace(F.replace(c("f.p"), F.lit("X"), c("title")), F.lit("T"), F.coalesce("type", F.lit("class"))).alias("text")).distinct()
     return items.unionByName(asked)
 
@@ -231,7 +231,7 @@ def extract_imports_go(spark, d):
     return files.select("file_id", F.explode(T.go_imports(c("content"))).alias("i")).select("file_id", "i.kind", "i.source", "i.name")
 
 
-_HTML = "'<h1>' || source || ' &amp; co</h1><ac:structured-macro ac:name=\"toc\">x</ac:structured-macro><p class=\"a\">' || coalesce(text, '') || '</p><br/>&copy; &#65;&#x42;&quot;<li>' || repo_name || '</li>'"
+_HTML = "'<h1>' || source || ' &amp; co</h1><ac:structured-macro ac:name=\"toc\">x</ac:structured-macro><p class=\"a\">' || coalesce(text, '') || '</p><br/>&copy; &#65;&#x42;&#0066;&#128512;&#x01F600;&#1114111;&quot;<li>' || repo_name || '</li>'"
 
 
 def _entity_sql(expr: str) -> str:
@@ -242,15 +242,18 @@ def _entity_sql(expr: str) -> str:
 
 _HTML_SQL = rf"regexp_replace(regexp_replace(h, '<ac:structured-macro[^>]*ac:name=\"(toc|anchor|excerpt-include|include)\"[^>]*>.*?</ac:structured-macro>', '', 'gis'), '</?({'|'.join(T.BLOCK_TAGS)})[^>]*>', chr(10), 'gi')"
 _HTML_SQL = _entity_sql(f"regexp_replace({_HTML_SQL}, '<[^>]+>', '', 'g')")
-_HTML_SQL = f"replace(replace({_HTML_SQL}, '&#65;', 'A'), '&#x42;', 'B')"
+#: numeric references: pieces that begin with a decimal or a hexadecimal number, then the text behind
+_NUMBER = "CASE WHEN x[1] <> chr(2) THEN CAST(split_part(x, chr(2), 1) AS INT) ELSE CAST(('0x' || split_part(split_part(x, chr(2), 2), chr(3), 1)) AS INT) END"
+_PIECE = f"CASE WHEN contains(x, chr(3)) THEN chr(CASE WHEN {_NUMBER} BETWEEN 1 AND 1114111 AND {_NUMBER} NOT BETWEEN 55296 AND 57343 THEN {_NUMBER} ELSE 65533 END) || x[instr(x, chr(3)) + 1:] ELSE x END"
+_HTML_SQL = rf"array_to_string(list_transform(string_split(regexp_replace({_HTML_SQL}, '&#(?:0*([0-9]{{1,7}})|[xX]0*([0-9a-fA-F]{{1,6}}));', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g'), chr(1)), lambda x: {_PIECE}), '')"
 _HTML_SQL = rf"array_to_string(list_transform(string_split({_HTML_SQL}, chr(10)), lambda x: regexp_replace(x, '^[\s\x{{a0}}\x{{feff}}]+|[\s\x{{a0}}\x{{feff}}]+$', '', 'g')), chr(10))"
 _HTML_SQL = rf"regexp_replace(regexp_replace({_HTML_SQL}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
-@registry.query("html_to_text", f"SELECT doc_id, sha256({_HTML_SQL}) AS digest FROM (SELECT doc_id, {_HTML} AS h FROM documents WHERE text IS NULL OR NOT contains(text, '&#'))")
+@registry.query("html_to_text", f"SELECT doc_id, sha256({_HTML_SQL}) AS digest FROM (SELECT doc_id, {_HTML} AS h FROM documents)")
 def html_to_text(spark, d):
-    h = F.concat(F.lit("<h1>"), c("source"), F.lit(' &amp; co</h1><ac:structured-macro ac:name="toc">x</ac:structured-macro><p class="a">'), F.coalesce("text", F.lit("")), F.lit("</p><br/>&copy; &#65;&#x42;&quot;<li>"), c("repo_name"), F.lit("</li>"))
-    return table(spark, d, "documents").where("text is null or not contains(text, '&#')").select("doc_id", F.sha2(T.html_to_text(h), 256).alias("digest"))
+    h = F.concat(F.lit("<h1>"), c("source"), F.lit(' &amp; co</h1><ac:structured-macro ac:name="toc">x</ac:structured-macro><p class="a">'), F.coalesce("text", F.lit("")), F.lit("</p><br/>&copy; &#65;&#x42;&#0066;&#128512;&#x01F600;&#1114111;&quot;<li>"), c("repo_name"), F.lit("</li>"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.html_to_text(h), 256).alias("digest"))
 
 
 @registry.query(

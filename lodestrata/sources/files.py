@@ -20,17 +20,45 @@ IGNORED = ("node_modules/", ".git/", "dist/", "build/", "coverage/")
 IGNORE_FILES = (".gitignore", ".indexignore")
 
 
+def _system(path: str):
+    """The file system of a path (a URI or a local path) and the place in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
+
+
+def _below(path: str, recursive: bool) -> Iterator[tuple[str, int | None]]:
+    """Places below ``path``, relative to it, with lengths; folders have none."""
+    from pyarrow import fs
+
+    system, at = _system(path)
+    top = at.rstrip("/") + "/"
+    for f in system.get_file_info(fs.FileSelector(at, recursive=recursive)):
+        yield f.path.removeprefix(top), f.size if f.is_file else None
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """``path, file_path, length`` of all files below ``root``, without reading one; ``file_path`` is relative to it."""
+    """``path, file_path, length`` of all files below ``root``, also hidden ones, without reading one; ``file_path`` is relative to it.
+
+    The driver lists the root only; each folder in it is listed by a worker.
+    """
     base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return raw.select("path", F.regexp_replace("path", "^.*?" + re.escape(base.split("://")[-1]), "").alias("file_path"), "length")
+    top = list(_below(base, False))
+    here = spark.createDataFrame([(base + p, p, n) for p, n in top if n is not None], "path string, file_path string, length long")
+    folders = spark.createDataFrame([(p,) for p, n in top if n is None], "folder string")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for folder in pdf.folder:
+                found = [(f"{base}{folder}/{p}", f"{folder}/{p}", n) for p, n in _below(base + folder, True) if n is not None]
+                if found:
+                    yield pd.DataFrame(found, columns=["path", "file_path", "length"])
 
+    return here.unionByName(folders.repartition("folder").mapInPandas(run, "path string, file_path string, length long"))
 
-def _read_bytes(path: str) -> bytes:
-    from pyarrow import fs
 
-    system, at = fs.FileSystem.from_uri(path) if re.match(r"\w+:", path) else (fs.LocalFileSystem(), path)
+def _read_bytes(path: str) -> bytes:
+    system, at = _system(path)
     with system.open_input_stream(at) as f:
         return f.read()
 
