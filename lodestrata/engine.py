@@ -17,7 +17,6 @@ from lodestrata.shipping import ship
 
 c = F.col
 FIELDS = {"content": "content", "summary": "nl_summary", "name": "name", "path": "file_path"}
-TABLES = ("state", "chunks", "vectors", "postings", "imports", "edges")
 
 
 class Engine:
@@ -77,11 +76,12 @@ class Engine:
             kept = self.table("chunks", old).join(gone, "file_path", "left_anti")
             put(incremental.upsert(kept, fresh, "id"), "chunks")
             put(incremental.upsert(incremental.delete(self.table("vectors", old), stale, "id"), vectors, "id"), "vectors")
-            put(lexical.update_postings(self.table("postings", old), stale.withColumnRenamed("id", "doc_id"), postings), "postings")
+            lexical.write_index(lexical.update_postings(self.table("lexical/postings", old).drop("bucket"), stale.withColumnRenamed("id", "doc_id"), postings), f"{at}/lexical")
             put(self.table("imports", old).join(gone, "file_path", "left_anti").unionByName(imports), "imports")
         else:
-            for rows, name in ((fresh, "chunks"), (vectors, "vectors"), (postings, "postings"), (imports, "imports")):
+            for rows, name in ((fresh, "chunks"), (vectors, "vectors"), (imports, "imports")):
                 put(rows, name)
+            lexical.write_index(postings, f"{at}/lexical")
         resolved = graph.resolve_imports(self.table("imports", new), self.table("state", new))
         put(resolved.select(c("file_path").alias("source"), "target", F.lit("imports").alias("type")).distinct(), "edges")
         put(self.spark.range(1), "done")
@@ -95,14 +95,16 @@ class Engine:
         Filters apply before ranking.
         """
         now = self.generation()
-        chunks, vectors, postings = self.table("chunks", now), self.table("vectors", now), self.table("postings", now)
+        chunks, vectors, index = self.table("chunks", now), self.table("vectors", now), f"{self.folder}/gen={now}/lexical"
         if languages or path is not None or kinds:
             chunks = analytics.search_filter(chunks, languages=languages, path=path, kinds=kinds)
             vectors = vectors.join(chunks.select("id"), "id", "left_semi")
-            postings = postings.join(chunks.select(c("id").alias("doc_id")), "doc_id", "left_semi")
+            postings = lexical.read_index(self.spark, index)[0].drop("bucket").join(chunks.select(c("id").alias("doc_id")), "doc_id", "left_semi")
+            said = lexical.bm25(queries, postings, 2 * k)
+        else:
+            said = lexical.bm25_stored(queries, index, 2 * k)
         asked = providers.embed(queries.select("query_id", "text"), "text", self.provider).select("query_id", "v")
         near = fusion.vector_topk(asked, vectors.select(c("id").alias("doc_id"), "v"), 2 * k)
-        said = lexical.bm25(queries, postings, 2 * k)
         fused = fusion.rrf(near, said, k, vector_weight=vector_weight, lexical_weight=lexical_weight)
         method = F.when(c("v_rank").isNull(), "bm25").when(c("b_rank").isNull(), "vector").otherwise("hybrid")
         return fused.select("query_id", c("doc_id").alias("id"), "rank", "score", method.alias("method")).join(chunks, "id")

@@ -5,6 +5,11 @@ so only postings of asked terms move; a query is never crossed with documents.
 Scores are our own definition (Robertson and Zaragoza), summed over fields with
 boosts, and rounded to 6 decimals so that ranks have one order everywhere.
 
+A stored index (``write_index``) is a Parquet folder partitioned by a hash of the term, sorted by
+term, with document frequencies and field statistics counted once, when it is
+written. A search reads the buckets of the asked terms only, and scans no
+posting to count.
+
 Defined edge cases: null and blank fields have no postings; repeated query terms
 count once; queries without terms have no results; ties go to the smaller id.
 """
@@ -13,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -23,6 +28,7 @@ K1, B = 1.2, 0.75
 #: fixed values: weights of the fields
 BOOSTS = {"content": 1.0, "summary": 2.0, "name": 1.5, "path": 0.5}
 BROADCAST_TERMS = 200_000
+BUCKETS, WRITERS = 64, 8
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 
 
@@ -45,6 +51,44 @@ def field_stats(postings: DataFrame) -> DataFrame:
     return postings.select("doc_id", "field", "dl").distinct().groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(postings: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+    """Write ``postings``, ``terms`` (field, term, df) and ``stats`` (field, n_docs, avg_dl, buckets) below ``folder``."""
+    rows = postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    # a common term may hold a large share of all postings: its bucket is written by several tasks
+    spread = rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(WRITERS))).sortWithinPartitions("bucket", "term", "field", "doc_id")
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    stored = postings.sparkSession.read.schema(rows.schema).parquet(f"{folder}/postings")
+    counts = stored.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
+    counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+    field_stats(stored).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+_STORED = "doc_id {0}, field string, term string, dl int, tf bigint, bucket int"
+
+
+def read_index(spark: SparkSession, folder: str, id_type: str = "string") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``postings, terms, stats`` of a stored index."""
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{folder}/{name}")
+    return read("postings", _STORED.format(id_type)), read("terms", "field string, term string, df bigint, bucket int"), read("stats", "field string, n_docs bigint, avg_dl double, buckets int")
+
+
+def bm25_stored(queries: DataFrame, folder: str, k: int = 10, *, id_col: str = "query_id", text_col: str = "text", id_type: str = "string", boosts: dict[str, float] = BOOSTS) -> DataFrame:
+    """``query_id, doc_id, score, rank`` by a stored index; only the buckets of asked terms are read."""
+    postings, terms, stats = read_index(queries.sparkSession, folder, id_type)
+    first = stats.select("buckets").first()
+    asked = query_terms(queries, id_col, text_col)
+    if first is None:
+        return top(score(asked, postings, boosts), k)
+    # at most one row per bucket comes to the driver, and their number is fixed when the index is written
+    wanted = sorted(r.bucket for r in asked.select(bucket_of(F.col("term"), first.buckets).alias("bucket")).distinct().collect())
+    here = F.col("bucket").isin(wanted) if wanted else F.lit(False)
+    return top(score(asked, postings.where(here), boosts, df=terms.where(here).select("field", "term", "df"), stats=stats.drop("buckets")), k)
+
+
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``query_id, term, weight`` of the distinct terms of each query."""
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(T.terms(F.col(text_col)))).alias("term"), F.lit(1.0).alias("weight"))
@@ -108,16 +152,16 @@ def expand_fuzzy(asked: DataFrame, postings: DataFrame, weight: float = FUZZY_WE
     return asked.unionByName(more).groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
 
 
-def score(asked: DataFrame, postings: DataFrame, boosts: dict[str, float] = BOOSTS) -> DataFrame:
-    """``query_id, doc_id, score`` of every document that has an asked term.
+def score(asked: DataFrame, postings: DataFrame, boosts: dict[str, float] = BOOSTS, df: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc_id, score`` of every document that has an asked term; ``df`` and ``stats`` are counted where they are not given.
 
     Up to ``BROADCAST_TERMS`` asked terms (they are counted) go to the postings, which
     then stay where they are; more terms meet the postings by a shuffle on the term.
     """
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    df = postings.groupBy("field", "term").agg(F.count("*").alias("df")) if df is None else df
     # the statistics have one row per field: their size is the number of boosts
-    stats = field_stats(postings)
+    stats = field_stats(postings) if stats is None else stats
     boost = F.create_map(*(F.lit(x) for k, v in boosts.items() for x in (k, v)))
     hits = asked.join(df, "term").join(F.broadcast(stats), "field")
     weighted = hits.select("query_id", "field", "term", (F.col("weight") * F.coalesce(F.try_element_at(boost, F.col("field")), F.lit(1.0)) * F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"), "avg_dl")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions import vector as V
 from lodestrata.operators import fusion, lexical, manifest
 from lodestrata.plans.registry import Registry
-from lodestrata.session import cut
+from lodestrata.session import cut, shared_dir
 from lodestrata.sources.tables import table
 
 registry = Registry()
@@ -73,6 +75,14 @@ def bm25_fuzzy(spark, d):
     return lexical.bm25(_path_queries(spark, d), _postings(spark, d), 10, fuzzy=True)
 
 
+@registry.query("bm25_stored", _short(_HEAD) + " asked AS (SELECT * FROM exact)," + _SCORE + _ALL.format(k=10))
+def bm25_stored(spark, d):
+    """The index written to the shared folder with its counts, then read by the buckets of the asked terms."""
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    lexical.write_index(lexical.build_postings(table(spark, d, "documents"), "doc_id", FIELDS), folder, buckets=16)
+    return lexical.bm25_stored(_path_queries(spark, d), folder, 10, id_type="bigint")
+
+
 # DuckDB's levenshtein counts bytes: letters beyond ASCII of the asked term (at most 26 distinct ones) become capitals, which no term has, and all others ~
 _CAPITALS = "translate({0}, e.odd, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 _FUZZY_WHOLE = rf""" asked AS (SELECT query_id, term, max(weight) AS weight FROM (SELECT * FROM exact UNION ALL SELECT query_id, v.term, 0.45 FROM (SELECT *, array_to_string(list_distinct(regexp_extract_all(term, '[^\x00-\x7F]')), '') AS odd FROM exact) e

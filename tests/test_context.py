@@ -122,3 +122,22 @@ def test_landed_pages_as_a_stream(spark, tmp_path):
         query.awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2", "3", "4"]
     assert spark.read.format("landed_pages").load(str(folder)).count() == 4
+
+
+def test_a_stored_index_reads_the_buckets_of_asked_terms(spark, tmp_path):
+    from lodestrata.operators import lexical
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} common w{i}") for i in range(200)] + [(999, None)], "id int, t string")
+    postings = lexical.build_postings(docs, "id", {"content": "t"})
+    folder = str(tmp_path / "index")
+    lexical.write_index(postings, folder, buckets=16)
+    queries = spark.createDataFrame([(1, "w3"), (2, "w150 w3")], "query_id int, text string")
+    got = lexical.bm25_stored(queries, folder, 5, id_type="int")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lexical.bm25(queries, postings, 5).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "doc_id" in line]
+    assert scans and all("PartitionFilters: [" in x and "bucket" in x.split("PartitionFilters: [")[1].split("]")[0] for x in scans)
+    assert len(got.inputFiles()) < len(spark.read.parquet(f"{folder}/postings").inputFiles()) + len(spark.read.parquet(f"{folder}/terms").inputFiles())
+    assert lexical.bm25_stored(queries.limit(0), folder, 5, id_type="int").count() == 0
+    lexical.write_index(postings.limit(0), str(tmp_path / "none"))
+    assert lexical.bm25_stored(queries, str(tmp_path / "none"), 5, id_type="int").count() == 0

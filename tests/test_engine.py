@@ -51,7 +51,7 @@ def test_reindex_replaces_and_removes(spark, engine):
     names = {r.name for r in engine.table("chunks").collect()}
     assert "LoginService" in names and "AuthService" not in names and "Tokens" not in names and "fresh" in names
     ids = {r.id for r in engine.table("chunks").collect()}
-    assert ids == {r.id for r in engine.table("vectors").collect()} == {r.doc_id for r in engine.table("postings").collect()}
+    assert ids == {r.id for r in engine.table("vectors").collect()} == {r.doc_id for r in engine.table("lexical/postings").collect()}
     assert [(r.source, r.target) for r in engine.table("edges").collect()] == [("src/auth.ts", "src/hash.ts")]
     again = {r.change: r.n for r in engine.index(frame(spark, changed)).collect()}
     assert again == {"unchanged": 5} and ids == {r.id for r in engine.table("chunks").collect()}
