@@ -57,8 +57,8 @@ def classify(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``seed, node, relationship`` of pairs of ids, by the first that holds:
 
     backlog; test_for (a test file of the same base name, either way); an edge
-    out (``interface_of`` for implements, else ``imports``); an edge in (``interface_of``,
-    ``extends``, ``calls``, ``references`` by its type, else ``imported_by``); sibling (same directory); imports.
+    out (``interface_of`` for implements, else ``imports``); an edge in (``interface_of``
+    for implements, else ``imported_by``); sibling (same directory); imports.
     """
     info = nodes.groupBy("id").agg(F.max("file_path").alias("path"), F.max(c("type") == "backlog").alias("backlog"))
     kinds = edges.where("source is not null and target is not null").groupBy("source", "target").agg(F.min("type").alias("kind"))

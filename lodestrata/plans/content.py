@@ -8,6 +8,7 @@ from lodestrata.functions import text as T
 from lodestrata.operators import backlog as BL
 from lodestrata.operators import chunking as C
 from lodestrata.operators import incremental as I
+from lodestrata.operators import questions as Q
 from lodestrata.plans.registry import Registry
 from lodestrata.sources import manifests as M
 from lodestrata.sources.tables import table
@@ -346,6 +347,43 @@ def template_queries(spark, d):
     return counted.withColumn("t", forms).select(text.alias("query"), "expected", level.alias("difficulty"))
 
 
+def _question(template: str, expr: str, source: str, expected: str = "id") -> str:
+    wording, category, difficulty = Q.TEMPLATES[template]
+    return f"SELECT '{template}' AS template, {expr} AS query, '{category}' AS category, '{difficulty}' AS difficulty, {expected} AS expected_id FROM {source}"
+
+
+_TEST = r"(\.(test|spec)\.[^./]+|_test\.[^./]+)$"
+_QUESTIONS = " UNION ".join(
+    [
+        _question("function_lookup", "'Find the ' || name || ' function'", "n WHERE kind = 'function'"),
+        _question("class_lookup", "'Show the ' || name || ' class'", "n WHERE kind = 'class'"),
+        _question("interface_lookup", "'Where is the ' || name || ' interface defined'", "n WHERE kind = 'interface'"),
+        _question("test_finding", "'Find the tests for ' || name", f"(SELECT n.name, unnest([n.id, t.id]) AS a FROM n JOIN e t ON regexp_matches(t.file_path, '{_TEST}') AND NOT regexp_matches(n.file_path, '{_TEST}') AND n.file_path = regexp_replace(t.file_path, '(\\.(test|spec)|_test)(\\.[^./]+)$', '\\3'))", "a"),
+        _question("concept_module", "'How does the ' || module || ' module work'", "b"),
+        _question("usage", "'What uses ' || name", "n JOIN l ON target = file_path || '#' || name", "source"),
+        _question("relationship", "'How does ' || name || ' relate to ' || other || ' in the ' || module || ' module'", "(SELECT *, lead(name) OVER (PARTITION BY file_path ORDER BY name, id) AS other FROM n WHERE kind = 'class') WHERE other <> name AND module IS NOT NULL"),
+        _question("method_lookup", "'Find the ' || name || ' method on ' || parent", "n WHERE kind = 'method' AND parent <> ''"),
+        _question("error_investigation", "'How does the ' || module || ' module handle validation and errors'", "b WHERE careful OR module NOT IN (SELECT module FROM b WHERE careful)"),
+        _question("import_chain", "'What does ' || regexp_extract(file_path, '([^/]+)$', 1) || ' import from other modules'", "(SELECT DISTINCT file_path, target FROM e JOIN l ON source = file_path WHERE type = 'imports')", "target"),
+        _question("description_search", "nl_summary", "e WHERE nl_summary <> ''"),
+        _question("service_overview", "'List all services in the ' || module || ' domain'", "b WHERE kind = 'class' AND contains(name, 'Service')"),
+        _question("class_overview", "'List all classes in the ' || module || ' domain'", "b WHERE kind = 'class' AND module NOT IN (SELECT module FROM b WHERE kind = 'class' AND contains(name, 'Service'))"),
+    ]
+)
+
+
+@registry.query(
+    "template_questions",
+    f"""WITH e AS (SELECT DISTINCT id, metadata.name AS name, metadata.chunk_type AS kind, metadata.repo_name AS module, file_path, metadata.parent_name AS parent, nl_summary FROM chunks WHERE id IS NOT NULL), n AS (SELECT * FROM e WHERE name <> ''),
+    b AS (SELECT *, contains(lower(name), 'validate') OR regexp_matches(lower(coalesce(nl_summary, '')), 'validate|filter|parse') AS careful FROM n WHERE kind IN ('class', 'function') AND module IS NOT NULL), l AS (SELECT DISTINCT source, target, type FROM graph_edges WHERE source <> '' AND target <> '')
+    SELECT DISTINCT * FROM ({_QUESTIONS})""",
+)
+def template_questions(spark, d):
+    """All templates over all chunks; repositories are the modules."""
+    rows = table(spark, d, "chunks").where("id is not null").select("id", c("metadata.name").alias("name"), c("metadata.chunk_type").alias("kind"), c("metadata.repo_name").alias("module"), "file_path", c("metadata.parent_name").alias("parent"), c("nl_summary").alias("description"))
+    return Q.questions(rows, table(spark, d, "graph_edges"))
+
+
 def _csn_lines(spark, d):
     """Documents as lines of a code search corpus, each with a line that does not parse."""
     part = F.when(c("doc_id") % 2 == 0, "test").otherwise("train")

@@ -1,4 +1,4 @@
-"""Graph queries over graph_nodes and graph_edges. Walks start from every module whose path's hash is divisible by 50 (the stated query set)."""
+"""Graph queries over graph_nodes and graph_edges. Walks start from every work item whose number is divisible by 50 (the stated query set)."""
 
 from __future__ import annotations
 

@@ -41,7 +41,18 @@ def events_sliding(spark, d):
     return windows.sliding(_events(spark, d), ["event_type"], "value")
 
 
-@registry.query("rate_limit")
+# the bucket of each user by recursion over the user's events: level after the event, and its instant
+_LIMIT = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ s(event_id, user_id, n, since, before) AS (
+  SELECT event_id, user_id, n, t, 5.0::DOUBLE FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.event_id, e.user_id, e.n, greatest(s.since, e.t), CASE WHEN e.t > s.since THEN least(5.0, (CASE WHEN before >= 1 THEN before - 1 ELSE before END) + (e.t - s.since) / 3600 * 5) ELSE CASE WHEN before >= 1 THEN before - 1 ELSE before END END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1
+ )
+ SELECT event_id, user_id, before >= 1 AS allowed, round(CASE WHEN before >= 1 THEN 0 ELSE (1 - before) / 5 * 3600 END, 6) AS retry_after FROM s"""
+
+
+@registry.query("rate_limit", _LIMIT)
 def rate_limit(spark, d):
     return limiter.limit(_events(spark, d), "user_id", "ts", "event_id", capacity=5, window=3600)
 
