@@ -14,7 +14,8 @@ Defined edge cases
 
 Skew: distinct pairs are formed with map-side combine before any join; keys that
 hold a large share of the distinct pairs are spread over salts, to which only
-those keys' merged lives are copied (``operators/skew.py``).
+those keys' merged lives are copied (``operators/skew.py``). The join back is on key and
+time, so the rows of a hot key are spread by their times.
 """
 
 from __future__ import annotations
@@ -92,11 +93,16 @@ def backlog_references(items: DataFrame) -> DataFrame:
 
 
 def project_orphans(nodes: DataFrame, edges: DataFrame, files: DataFrame, items: DataFrame) -> DataFrame:
-    """All orphan references of the project, one row per occurrence, with their time ``at``."""
-    of_edges = orphans(edge_references(edges), nodes, key="ref_key", time="at", on="lookup", parent_key="id", parent_start="first_seen_at", parent_end="deleted_at")
-    paths = files.select(clean_path(F.col("file_path")).alias("path"), "scanned_at", "deleted_at")
-    of_items = orphans(backlog_references(items), paths, key="ref_key", time="at", on="lookup", parent_key="path", parent_start="scanned_at", parent_end="deleted_at")
-    return of_edges.unionByName(of_items)
+    """All orphan references of the project, one row per occurrence, with their time ``at``.
+
+    Both kinds go through one anti-join, the table being part of the key.
+    """
+    of = lambda kind, key: F.concat(F.lit(kind), key)
+    refs = edge_references(edges).withColumn("lookup", of("e:", F.col("lookup"))).unionByName(backlog_references(items).withColumn("lookup", of("b:", F.col("lookup"))))
+    lives = nodes.select(of("e:", F.col("id")).alias("key"), F.col("first_seen_at").alias("start"), F.col("deleted_at").alias("end")).unionByName(
+        files.select(of("b:", clean_path(F.col("file_path"))).alias("key"), F.col("scanned_at").alias("start"), F.col("deleted_at").alias("end"))
+    )
+    return orphans(refs, lives, key="ref_key", time="at", on="lookup", parent_key="key", parent_start="start", parent_end="end").drop("lookup")
 
 
 def count_by_period(found: DataFrame, period: str = "month") -> DataFrame:
