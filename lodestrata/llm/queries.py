@@ -15,20 +15,22 @@ registry = Registry()
 _P2 = r"""WITH RECURSIVE lim AS (SELECT chunk_type, any_value(max_chars) AS m, any_value(overlap_lines) AS v FROM split_limits WHERE chunk_type IS NOT NULL GROUP BY 1),
  ch AS (SELECT DISTINCT id, content, coalesce(start_line, 1) AS f, coalesce(a.m, b.m) AS m, greatest(0, coalesce(a.v, b.v, 0)) AS v FROM chunks LEFT JOIN lim a ON a.chunk_type = metadata.chunk_type LEFT JOIN lim b ON b.chunk_type = 'default' WHERE content IS NOT NULL),
  li AS (SELECT row_number() OVER () AS k, *, string_split(content, chr(10)) AS l FROM ch WHERE m > 0 AND length(content) > m),
- it AS (SELECT k, id, f, m, v, CAST(len(l) AS INT) AS t, list_transform(l, lambda x: length(x)) AS w, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x))), 0)) AS c, list_transform(l, lambda x: regexp_full_match(x, '\s*[\]}\);,]*\s*')) AS g FROM li),
- st(k, no, a, b, n, r, o) AS (
-  SELECT k, 0, 0, 0, 1, 0, 0 FROM it
+ it AS (SELECT k, id, f, m, v, l, CAST(len(l) AS INT) AS t, list_transform(l, lambda x: length(x)) AS w, list_transform(range(0, len(l) + 1), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x))), 0)) AS c, list_transform(l, lambda x: regexp_full_match(x, '\s*[\]}\);,]*\s*')) AS g FROM li),
+ st(k, no, a, b, n, r, o, x) AS (
+  SELECT k, 0, 0, 0, 1, 0, 0, '' FROM it
   UNION ALL
   SELECT k, no + 1, CASE WHEN w[n] > m THEN n ELSE s END, CASE WHEN w[n] > m THEN n ELSE e END,
-   CASE WHEN w[n] > m AND o + m < w[n] THEN n WHEN w[n] > m THEN n + 1 ELSE e + 1 END, CASE WHEN w[n] > m THEN 0 ELSE least(v, e - s + 1) END, CASE WHEN w[n] > m AND o + m < w[n] THEN o + m ELSE 0 END
+   CASE WHEN w[n] > m AND o + m < w[n] THEN n WHEN w[n] > m THEN n + 1 ELSE e + 1 END, CASE WHEN w[n] > m THEN 0 ELSE least(v, e - s + 1) END, CASE WHEN w[n] > m AND o + m < w[n] THEN o + m ELSE 0 END,
+   CASE WHEN w[n] > m THEN l[n][o + 1:o + m] ELSE array_to_string(l[s:e], chr(10)) END
   FROM (SELECT *, CASE WHEN u = t THEN u ELSE coalesce(list_max(list_filter(range(n, u + 1), lambda i: g[i])), u) END AS e
    FROM (SELECT *, coalesce(list_max(list_filter(range(n, t + 1), lambda i: c[i + 1] - c[s] + i - s <= m)), n) AS u
-    FROM (SELECT st.*, m, v, t, w, c, g, CASE WHEN c[n + 1] - c[n - r] + r > m THEN n ELSE n - r END AS s FROM st JOIN it USING (k) WHERE n <= t)))
+    FROM (SELECT st.*, m, v, t, l, w, c, g, CASE WHEN c[n + 1] - c[n - r] + r > m THEN n ELSE n - r END AS s FROM st JOIN it USING (k) WHERE n <= t)))
  )
- SELECT id, CAST(no AS INT) AS piece_no, CAST(f + a - 1 AS INT) AS start_line, CAST(f + b - 1 AS INT) AS end_line FROM st JOIN it USING (k) WHERE no > 0"""
+ """
+_PIECE = "SELECT id, CAST(no AS INT) AS piece_no, CAST(f + a - 1 AS INT) AS start_line, CAST(f + b - 1 AS INT) AS end_line{} FROM st JOIN it USING (k) WHERE no > 0"
 
 
-@registry.query("p2_found", _P2)
+@registry.query("p2_found", _P2 + _PIECE.format(""))
 def p2_found(spark, d):
     items = split.chunk_items(table(spark, d, "chunks"), table(spark, d, "split_limits"))
     return split.split_oversized(items).select(F.col("item").alias("id"), "piece_no", "start_line", "end_line")
@@ -112,7 +114,7 @@ def p5_redacted(spark, d):
     return secrets.redacted(_sources(spark, d))
 
 
-@registry.query("p2_texts")
+@registry.query("p2_texts", _P2 + _PIECE.format(", x AS text"))
 def p2_texts(spark, d):
     items = split.chunk_items(table(spark, d, "chunks"), table(spark, d, "split_limits"))
     pieces = split.piece_texts(split.item_ranges(items))
