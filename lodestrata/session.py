@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ def get_session(name: str = "lodestrata", cpus: int | None = None, **conf: str)
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints leave with the last plan that reads them
     }
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
@@ -41,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="lodestrata-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 

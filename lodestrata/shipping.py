@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -21,12 +23,14 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="lodestrata-"), "lodestrata.zip")
+    folder = tempfile.mkdtemp(prefix="lodestrata-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "lodestrata.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
+        for place, _, names in os.walk(root):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(place, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(root)))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)

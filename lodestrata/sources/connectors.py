@@ -21,6 +21,7 @@ from lodestrata.functions.text import html_to_text
 
 c = F.col
 PAGE = "id string, title string, space string, version int, updated_at timestamp, ancestors array<string>, body string"
+SITE_PAGE = "id string, title string, webUrl string, lastModifiedDateTime timestamp, webParts array<struct<innerHtml: string, data: struct<title: string, description: string>>>"
 ITEM = "id string, externalId string, title string, description string, type string, state string, assignedTo string, tags array<string>, url string"
 
 
@@ -34,6 +35,16 @@ def pages(lines: DataFrame, since: str | None = None) -> DataFrame:
     return last.select(c("id").alias("page_id"), "p.title", "p.space", "p.version", "p.updated_at", path.alias("path"), html_to_text(c("p.body")).alias("text"))
 
 
+def site_pages(lines: DataFrame, since: str | None = None) -> DataFrame:
+    """``page_id, title, url, updated_at, text`` of landed site pages: the last version of each, changed at or after ``since``; web parts are joined in order."""
+    rows = lines.select(F.from_json("value", SITE_PAGE).alias("p")).select("p.*").where("id is not null")
+    if since is not None:
+        rows = rows.where(c("lastModifiedDateTime") >= F.lit(since).cast("timestamp"))
+    last = rows.groupBy("id").agg(F.max_by(F.struct("title", "webUrl", "lastModifiedDateTime", "webParts"), F.struct("lastModifiedDateTime", "webUrl")).alias("p"))
+    html = F.array_join(F.filter(F.transform("p.webParts", lambda x: F.coalesce(x["innerHtml"], F.concat_ws(" ", x["data"]["title"], x["data"]["description"]))), lambda x: x != ""), "<br/>")
+    return last.select(c("id").alias("page_id"), "p.title", c("p.webUrl").alias("url"), c("p.lastModifiedDateTime").alias("updated_at"), html_to_text(F.coalesce(html, F.lit(""))).alias("text"))
+
+
 def work_items(lines: DataFrame) -> DataFrame:
     rows = lines.select(F.from_json("value", ITEM).alias("i")).select("i.*").where("id is not null")
     return rows.select("id", c("externalId").alias("external_id"), "title", "description", "type", "state", c("assignedTo").alias("assigned_to"), "tags", "url")

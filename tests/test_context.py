@@ -140,3 +140,66 @@ def test_a_stored_index_reads_the_buckets_of_asked_terms(spark, tmp_path):
     assert lexical.bm25_stored(queries.limit(0), folder, 5, id_type="int").count() == 0
     lexical.write_index(postings.limit(0), str(tmp_path / "none"))
     assert lexical.bm25_stored(queries, str(tmp_path / "none"), 5, id_type="int").count() == 0
+
+
+def test_enrichment_resumes_and_stops(spark, tmp_path):
+    import pytest
+
+    from lodestrata.operators import providers
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(3, "text 3"), (90, None), (91, " ")], "id int, t string")
+    folder = str(tmp_path / "summaries")
+
+    def refuse(texts):
+        raise RuntimeError("down")
+
+    with pytest.raises(RuntimeError, match="3 batches"):
+        providers.enrich(rows, "id", "t", refuse, folder, batch_rows=5)
+
+    def some(texts):
+        if any(t.endswith("7") for t in texts):
+            raise RuntimeError("no sevens")
+        return [t.upper() for t in texts]
+
+    got = {r.id: r.summary for r in providers.enrich(rows, "id", "t", some, folder, batch_rows=20, batch=1).collect()}
+    assert got == {i: f"TEXT {i}" for i in range(40) if i % 10 != 7}
+    seen = tmp_path / "asked"
+
+    def note(texts):
+        with open(seen, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return ["x"] * len(texts)
+
+    assert len(providers.enrich(rows, "id", "t", note, folder).collect()) == 40
+    assert sorted(seen.read_text().split("\n")[:-1]) == sorted(f"text {i}" for i in (7, 17, 27, 37))
+
+
+def test_rerank_by_a_model(spark):
+    from lodestrata.operators import providers
+
+    found = spark.createDataFrame([(1, d, r, "q", t) for d, r, t in (("a", 1, "10"), ("b", 2, "fail"), ("c", 3, "95"), ("d", 4, "100"))], "query_id int, doc_id string, rank int, query string, text string")
+
+    def model(prompts):
+        if any("fail" in p for p in prompts):
+            raise RuntimeError("x")
+        return ["Score: " + p.split("Text:\n")[1].split("\n")[0] for p in prompts]
+
+    got = sorted((r.new_rank, r.doc_id, r.model_score) for r in providers.rerank(found, model, top_n=3, batch=1).collect())
+    assert [g[1] for g in got] == ["c", "b", "a", "d"] and [g[2] for g in got] == [95, 50, 10, None]
+
+
+def test_site_pages(spark):
+    line = '{"id": "p", "title": "T", "webUrl": "u", "lastModifiedDateTime": "2025-0%d-01T00:00:00Z", "webParts": [{"innerHtml": "<p>v%d &amp; x</p>"}, {"data": {"title": "A", "description": "b"}}, {}]}'
+    rows = connectors.site_pages(spark.createDataFrame([(line % (1, 1),), (line % (2, 2),), ("{",)], "value string")).collect()
+    assert [(r.page_id, r.title, r.url, r.text) for r in rows] == [("p", "T", "u", "v2 & x\n\nA b")]
+    assert connectors.site_pages(spark.createDataFrame([(line % (1, 1),)], "value string"), since="2025-02-01").count() == 0
+
+
+def test_reports(spark):
+    from lodestrata.sources import reports
+
+    metrics = spark.createDataFrame([("q1", 0.2, 1.0), ("q|2", 0.4, None)], "query_id string, p_5 double, mrr double")
+    lines = [r.line for r in reports.markdown(metrics, "d", "2025-01-01").orderBy("part", "key").collect()]
+    assert lines[4] == "**Queries**: 2" and "| Precision@5 | 0.3000 |" in lines and "| Context Recall | N/A |" in lines and lines[-2:] == ["| q1 | 0.2000 | N/A | 1.0000 | N/A | N/A |", "| q 2 | 0.4000 | N/A | N/A | N/A | N/A |"]
+    assert [r.line for r in reports.json_lines(metrics).collect()][1] == '{"query_id":"q|2","p_5":0.4,"mrr":null}'
+    assert len(reports.markdown(metrics.limit(0), "d", "x").collect()) == 24
