@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 REGISTRY = catalog.registry()
 #: queries that SQL cannot state, or only at the cost of whole tables
-WITHOUT_SQL = {"python_declarations", "split_oversize", "md_chunks", "rate_limit", "umap_fuzzy_graph", "umap_layout"}
+WITHOUT_SQL = {"python_declarations", "split_oversize", "md_chunks", "umap_fuzzy_graph", "umap_layout"}
 
 
 @pytest.fixture(scope="module")
