@@ -221,7 +221,7 @@ def bit_table(windows: DataFrame, bits: int) -> np.ndarray:
 
     packed = windows.select("h").mapInPandas(split, "segment long, at int").distinct().groupBy("segment").applyInPandas(pack, "segment long, packed binary")
     out = np.zeros(max(1, bits // SEGMENT) * SEGMENT // 8, dtype=np.uint8)
-    for row in packed.toLocalIterator():
+    for row in packed.collect():  # at most ``bits`` bits in all, in one job
         out[row.segment * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(row.packed, dtype=np.uint8)
     return out
 
