@@ -25,6 +25,7 @@ Defined edge cases
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +43,19 @@ BLOCK_WORDS = 200_000
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 BITS_A_WINDOW, PLACES = 64, 4  # of the bit table, as far as MOST_BITS allows
 SEGMENT = 1 << 16  # bits of the table that one task packs
+BATCH = 256  # texts whose windows are looked up at once
 TASK_CHARS = 1 << 25  # characters of documents that one task streams through one automaton
 _word = regex.compile(r"[\p{L}\p{Nd}]+")
 
 
+_plain = re.compile(r"[a-z0-9]+")
+
+
 def words(text: str | None) -> list[str]:
-    return _word.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return (_plain if low.isascii() else _word).findall(low)
 
 
 class SuffixAutomaton:
@@ -148,25 +156,29 @@ class SuffixAutomaton:
 _hashes: dict[str, int] = {}
 
 
-def window_hashes(text: str | None, k: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``k`` words."""
-    found = words(text)
-    if len(found) < k:
-        return np.empty(0, dtype=np.uint64)
+def window_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every window of ``k`` words of each text, and the number of the window's text."""
     if len(_hashes) > 1 << 18:
         _hashes.clear()
-    get, one = _hashes.get, []
-    for w in found:
-        h = get(w)
-        if h is None:
-            h = _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        one.append(h)
-    h = np.array(one, dtype=np.uint64)
-    n = len(h) - k + 1
+    get, one, sizes = _hashes.get, [], []
+    for text in texts:
+        found = words(text)
+        sizes.append(len(found))
+        for w in found:
+            h = get(w)
+            if h is None:
+                h = _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            one.append(h)
+    n = len(one) - k + 1
+    if n < 1:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    h, of = np.array(one, dtype=np.uint64), np.repeat(np.arange(len(texts)), sizes)
     total = np.zeros(n, dtype=np.uint64)
     for j in range(k):
         total = total * _FACTOR + h[j : j + n]
-    return (total ^ (total >> np.uint64(29))) * _FACTOR
+    whole = of[:n] == of[k - 1 :]  # windows over the end of a text are none
+    total, of = total[whole], of[:n][whole]
+    return (total ^ (total >> np.uint64(29))) * _FACTOR, of
 
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -181,7 +193,7 @@ def bits_of(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 def hits(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The hashes all of whose places are set; the later places are looked up for those that are left."""
+    """Indices of the hashes all of whose places are set; the later places are looked up for those that are left."""
     left = np.arange(len(hashes))
     mask = np.uint64(bits - 1)
     h = hashes
@@ -192,14 +204,14 @@ def hits(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
         if not len(h):
             break
         h = (h ^ (h >> np.uint64(31))) * _FACTOR
-    return hashes[left]
+    return left
 
 
 def _windows(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for block, text in zip(pdf.block, pdf.text):
-                h = np.unique(window_hashes(text, k)).astype(np.int64)
+                h = np.unique(window_hashes([text], k)[0]).astype(np.int64)
                 if len(h):
                     yield pd.DataFrame({"h": h, "block": block})
 
@@ -245,12 +257,13 @@ def leaked_spans(
     def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
         for pdf in batches:
-            rows = []
-            for doc, body in zip(pdf.doc, pdf.text):
-                h = window_hashes(body, min_words)
+            rows, docs, texts = [], pdf.doc.tolist(), pdf.text.tolist()
+            for lo in range(0, len(docs), BATCH):
+                h, of = window_hashes(texts[lo : lo + BATCH], min_words)
                 found = hits(table, h, bits)
-                if len(found):
-                    rows.append((doc, body, np.unique(found).astype(np.int64)))
+                h, of = h[found], of[found]
+                for i in np.unique(of).tolist():
+                    rows.append((docs[lo + i], texts[lo + i], np.unique(h[of == i]).astype(np.int64)))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc", "text", "hs"])
 

@@ -41,9 +41,13 @@ def test_the_bit_table_has_every_window():
     import numpy as np
 
     text = " ".join(f"w{i}" for i in range(100))
-    h = leakage.window_hashes(text, 12)
-    assert len(h) == 89 and len(np.unique(h)) == 89 and np.array_equal(h[5:], leakage.window_hashes(" ".join(f"W{i}," for i in range(5, 100)), 12))
-    assert len(leakage.window_hashes("a b", 3)) == 0 and len(leakage.window_hashes(None, 3)) == 0
+    h = leakage.window_hashes([text], 12)[0]
+    assert len(h) == 89 and len(np.unique(h)) == 89 and np.array_equal(h[5:], leakage.window_hashes([" ".join(f"W{i}," for i in range(5, 100))], 12)[0])
+    assert len(leakage.window_hashes(["a b", None, "", "c"], 3)[0]) == 0
+    many, of = leakage.window_hashes(["a b c", None, text, "x"], 3)
+    assert of.tolist() == [0] + [2] * 98 and many[0] == leakage.window_hashes(["A, B; c"], 3)[0][0]
+    for s in ("Ünï x1 2½ ²", "a_b-c 9"):
+        assert leakage.words(s) == leakage._word.findall(s.lower())
 
 
 def test_removal_keeps_the_rest(spark):
