@@ -2,6 +2,8 @@
 
 Postings are ``(doc_id, field, term, tf, dl)``. Queries join them on the term,
 so only postings of asked terms move; a query is never crossed with documents.
+Only the k best of each query in each run of documents move on (``operators/product.py``);
+texts that are asked once (``bm25_texts``, ``overlap_texts``) are read where they lie, and no posting of theirs is written.
 Scores are our own definition (Robertson and Zaragoza), summed over fields with
 boosts, and rounded to 6 decimals so that ranks have one order everywhere.
 
@@ -18,11 +20,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
+from lodestrata.operators import product
 from lodestrata.operators.skew import salted
+from lodestrata.session import cut
 
 K1, B = 1.2, 0.75
 #: fixed values: weights of the fields
@@ -194,15 +200,133 @@ def top(scored: DataFrame, k: int, score_col: str = "score", id_col: str = "doc_
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(0, k))
 
 
+def _expanded(exact: DataFrame, vocabulary: DataFrame, prefix: bool, fuzzy: bool) -> DataFrame:
+    """``query_id, term, weight`` of the asked terms and of those that they are expanded to."""
+    asked = expand_prefix(exact, vocabulary) if prefix else exact
+    if fuzzy:
+        asked = asked.unionByName(expand_fuzzy(exact, vocabulary)).groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
+    return asked
+
+
+class _Weights:
+    """What a product needs of the asked terms: their places, their weights by field, their expansions. ``few``: they fit ``BROADCAST_TERMS``."""
+
+    def __init__(self, exact: DataFrame, df: DataFrame, stats: DataFrame, boosts: dict[str, float], prefix: bool = False, fuzzy: bool = False):
+        terms = exact.select("term").distinct()
+        self.stats = {r.field: r for r in stats.collect()}  # one row per field
+        self.fields = list(self.stats)
+        self.boosts = [float(boosts.get(f, 1.0)) for f in self.fields]
+        self.few = bool(self.fields) and min(self.boosts) > 0 and terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        if not self.few:
+            return
+        more = None
+        if prefix or fuzzy:  # each distinct term is expanded once, as a query of its own
+            more = cut(_expanded(terms.select(F.col("term").alias("query_id"), "term", F.lit(1.0).alias("weight")), df.select("term").distinct(), prefix, fuzzy))
+            terms = more.select("term").distinct()
+            self.few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+            if not self.few:
+                return
+        found = df.join(terms, "term", "left_semi").select("field", "term", "df").toArrow()
+        self.terms, at = product.numbered(product.flat(found["term"]))
+        field = product.codes(product.flat(found["field"]), pa.array(self.fields, pa.string()))
+        n_docs, self.avg_dl, boost = np.array([r.n_docs for r in self.stats.values()]), np.array([r.avg_dl for r in self.stats.values()]), np.array(self.boosts)
+        self.known, df_of = field >= 0, found["df"].to_numpy()
+        self.idf, self.common = np.zeros((len(self.fields), len(self.terms))), np.zeros(len(self.terms))
+        ok = self.known
+        self.idf[field[ok], at[ok]] = boost[field[ok]] * np.log1p((n_docs[field[ok]] - df_of[ok] + 0.5) / (df_of[ok] + 0.5))
+        np.add.at(self.common, at[ok], df_of[ok] / n_docs.max())
+        self.more = None
+        if more is not None:
+            rows = more.toArrow()
+            sources, s = product.numbered(product.flat(rows["query_id"]))
+            t, w = product.codes(product.flat(rows["term"]), self.terms), rows["weight"].to_numpy()
+            order = np.argsort(s, kind="stable")
+            order = order[t[order] >= 0]
+            self.more = sources, np.searchsorted(s[order], np.arange(len(sources) + 1)), t[order], w[order]
+
+    def value(self):
+        idf, avg_dl = self.idf, self.avg_dl
+        return lambda i, t, tf, dl: idf[i, t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl[i]))
+
+
+def _of_postings(exact: DataFrame, asked: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFrame, k: int, boosts: dict[str, float] = BOOSTS, prefix: bool = False, fuzzy: bool = False) -> DataFrame:
+    """The best by postings: those of asked terms are brought together by document."""
+    weights = _Weights(exact, df, stats, boosts, prefix, fuzzy) if k > 0 else None
+    if weights is None or not weights.few:
+        return top(score(asked, postings, boosts, df, stats), k)
+    spark, (n_fields, n_terms) = postings.sparkSession, weights.idf.shape
+    sent = product.blocks(exact, weights.terms, weights.common, weights.more)
+    field, term = (x.ravel() for x in np.indices((n_fields, n_terms)))
+    has = weights.idf.ravel() > 0
+    places = pa.table({"field": pa.array(weights.fields, pa.string()).take(pa.array(field[has])), "term": weights.terms.take(pa.array(term[has])), "code": pa.array(term[has], pa.int32()), "idf": weights.idf.ravel()[has], "avg_dl": weights.avg_dl[field[has]]})
+    known = F.broadcast(spark.createDataFrame(places))
+    v = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    entries = postings.join(known, ["field", "term"]).select("doc_id", "code", v.alias("v"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_doc = entries.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    return top(product.top(by_doc, product.of_entries, sent, "doc_id", dict(exact.dtypes)["query_id"], k), k)
+
+
 def bm25(queries: DataFrame, postings: DataFrame, k: int = 10, *, id_col: str = "query_id", text_col: str = "text", prefix: bool = False, fuzzy: bool = False) -> DataFrame:
     """``query_id, doc_id, score, rank``."""
     exact = query_terms(queries, id_col, text_col)
-    asked = exact
-    if prefix:
-        asked = expand_prefix(exact, postings)
-    if fuzzy:
-        asked = asked.unionByName(expand_fuzzy(exact, postings)).groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
-    return top(score(asked, postings), k)
+    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    return _of_postings(exact, _expanded(exact, postings, prefix, fuzzy), postings, df, field_stats(postings), k, BOOSTS, prefix, fuzzy)
+
+
+def _listed(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), *(T.terms(F.col(c)).alias(f) for f, c in fields.items()))
+
+
+def count_terms(docs: DataFrame, id_col: str, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """``field, term, df`` and ``field, n_docs, avg_dl`` of documents with distinct ids; texts stay where they are."""
+    # the empty term stands for the field itself
+    of = lambda f: F.struct(F.lit(f).alias("field"), F.size(f).alias("dl"), F.when(F.size(f) > 0, F.concat(F.array(F.lit("")), F.array_distinct(f))).otherwise(F.array().cast("array<string>")).alias("terms"))
+    rows = _listed(docs, id_col, fields).select(F.explode(F.array(*map(of, fields))).alias("p")).select("p.field", "p.dl", F.explode("p.terms").alias("term"))
+    counted = cut(rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("dls")))
+    return counted.where("term <> ''").select("field", "term", "df"), counted.where("term = ''").select("field", F.col("df").alias("n_docs"), (F.col("dls") / F.col("df")).alias("avg_dl"))
+
+
+def _repeated(docs: DataFrame, id_col: str) -> bool:
+    return docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+
+
+def _asked_once(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``query_terms`` that are listed once, however often they are read."""
+    lists = cut(queries.select(F.col(id_col).alias("query_id"), F.array_distinct(T.terms(F.col(text_col))).alias("terms")))
+    return lists.select("query_id", F.explode("terms").alias("term"), F.lit(1.0).alias("weight"))
+
+
+def bm25_texts(queries: DataFrame, docs: DataFrame, doc_id: str, fields: dict[str, str], k: int = 10, *, id_col: str = "query_id", text_col: str = "text", prefix: bool = False, fuzzy: bool = False) -> DataFrame:
+    """``bm25`` over documents that have no index: they are read twice, to count and to score, and never moved.
+
+    Documents whose id stands more than once are brought together first.
+    """
+    if k < 1 or _repeated(docs, doc_id):
+        return bm25(queries, cut(build_postings(docs, doc_id, fields)), k, id_col=id_col, text_col=text_col, prefix=prefix, fuzzy=fuzzy)
+    exact = _asked_once(queries, id_col, text_col)
+    df, stats = count_terms(docs, doc_id, fields)
+    weights = _Weights(exact, df, stats, BOOSTS, prefix, fuzzy)
+    if not weights.few:
+        postings = build_postings(docs, doc_id, fields)
+        return top(score(_expanded(exact, df, prefix, fuzzy), postings, df=df, stats=stats), k)
+    sent = product.blocks(exact, weights.terms, weights.common, weights.more)
+    rows = _listed(docs, doc_id, {f: fields[f] for f in weights.fields})
+    return top(product.top(rows, product.of_texts(weights.terms, weights.fields, weights.value()), sent, "doc_id", dict(exact.dtypes)["query_id"], k), k)
+
+
+def overlap_texts(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int = 10, *, id_col: str = "query_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """The ``k`` best by ``overlap`` of terms of at least ``least`` letters, over documents that have no index."""
+    exact = _asked_once(queries, id_col, text_col).where(F.length("term") >= least)
+    if k > 0 and not _repeated(docs, doc_id):
+        df, stats = count_terms(docs, doc_id, {"content": text})
+        weights = _Weights(exact, df, stats, {})
+        if weights.few:
+            sent = product.blocks(exact, weights.terms, weights.common, sized=True)
+            rows = _listed(docs, doc_id, {"content": text})
+            found = product.top(rows, product.of_texts(weights.terms, ["content"], lambda i, t, tf, dl: tf.astype("float64")), sent, "doc_id", dict(exact.dtypes)["query_id"], k, digits=None)
+            return top(found.withColumn("score", F.round("score", 6)), k)
+    return top(overlap(exact, build_postings(docs, doc_id, {"content": text})), k)
 
 
 def update_postings(postings: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
