@@ -92,7 +92,7 @@ def bm25_stored(queries: DataFrame, folder: str, k: int = 10, *, id_col: str = "
     # at most one row per bucket comes to the driver, and their number is fixed when the index is written
     wanted = sorted(r.bucket for r in asked.select(bucket_of(F.col("term"), first.buckets).alias("bucket")).distinct().collect())
     here = F.col("bucket").isin(wanted) if wanted else F.lit(False)
-    return top(score(asked, postings.where(here), boosts, df=terms.where(here).select("field", "term", "df"), stats=stats.drop("buckets")), k)
+    return _of_postings(asked, asked, postings.where(here), terms.where(here).select("field", "term", "df"), stats.drop("buckets"), k, boosts)
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
