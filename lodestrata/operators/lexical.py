@@ -36,6 +36,8 @@ BOOSTS = {"content": 1.0, "summary": 2.0, "name": 1.5, "path": 0.5}
 BROADCAST_TERMS = 200_000
 BUCKETS, WRITERS = 64, 8
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
+#: documents from which texts are scored in waves, and the ends of the waves as shares of all
+WAVES_FROM, WAVES = 1_000_000, (1, 4, 12)
 
 
 def build_postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
@@ -312,7 +314,30 @@ def bm25_texts(queries: DataFrame, docs: DataFrame, doc_id: str, fields: dict[st
         return top(score(_expanded(exact, df, prefix, fuzzy), postings, df=df, stats=stats), k)
     sent = product.blocks(exact, weights.terms, weights.common, weights.more)
     rows = _listed(docs, doc_id, {f: fields[f] for f in weights.fields})
-    return top(product.top(rows, product.of_texts(weights.terms, weights.fields, weights.value()), sent, "doc_id", dict(exact.dtypes)["query_id"], k), k)
+    return _in_waves(rows, product.of_texts(weights.terms, weights.fields, weights.value()), sent, dict(exact.dtypes)["query_id"], k, max(r.n_docs for r in weights.stats.values()))
+
+
+def _in_waves(rows: DataFrame, read: product.Documents, sent: list, query_kind: str, k: int, n_docs: int) -> DataFrame:
+    """The ``k`` best of each query over all ``rows``, whose ids are distinct.
+
+    A run of documents sends up to ``k`` rows of each query. Of many documents a share is scored first, in few runs;
+    of the others only those move that reach the ``k``-th score so far. Each document is scored in one wave.
+    """
+    best, ends = None, WAVES if n_docs >= WAVES_FROM else WAVES[-1:]
+    for lo, hi in zip((0, *ends), ends):
+        part, least = rows, None
+        if len(ends) > 1:
+            share = F.pmod(F.xxhash64("doc_id"), F.lit(WAVES[-1]))
+            part = rows.where((share >= lo) & (share < hi))
+        if best is None and len(ends) > 1:
+            part = part.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+        elif best is not None:
+            least = product.floors(best.where(F.col("rank") == k), sent)
+        found = product.top(part, read, sent, "doc_id", query_kind, k, least=least)
+        best = top(found if best is None else found.unionByName(best.drop("rank")), k)
+        if hi < ends[-1]:
+            best = cut(best)
+    return best
 
 
 def overlap_texts(queries: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int = 10, *, id_col: str = "query_id", text_col: str = "text", least: int = 2) -> DataFrame:
