@@ -36,6 +36,8 @@ BOOSTS = {"content": 1.0, "summary": 2.0, "name": 1.5, "path": 0.5}
 BROADCAST_TERMS = 200_000
 BUCKETS, WRITERS = 64, 8
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
+#: terms that more documents have, or more queries ask, are shared by queries where not all fit (numbers and shares, the larger holds)
+RARE, RARE_SHARE, OFTEN, OFTEN_SHARE = 1000, 0.001, 4, 0.001
 #: documents from which texts are scored in waves, and the ends of the waves as shares of all
 WAVES_FROM, WAVES = 1_000_000, (1, 4, 12)
 
@@ -210,24 +212,33 @@ def _expanded(exact: DataFrame, vocabulary: DataFrame, prefix: bool, fuzzy: bool
     return asked
 
 
+def _few(terms: DataFrame) -> bool:
+    return terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
+def _sources(terms: DataFrame, df: DataFrame, prefix: bool, fuzzy: bool) -> DataFrame:
+    """Each distinct asked term expanded once, as a query of its own."""
+    return cut(_expanded(terms.select(F.col("term").alias("query_id"), "term", F.lit(1.0).alias("weight")), df.select("term").distinct(), prefix, fuzzy))
+
+
 class _Weights:
     """What a product needs of the asked terms: their places, their weights by field, their expansions. ``few``: they fit ``BROADCAST_TERMS``."""
 
     def __init__(self, exact: DataFrame, df: DataFrame, stats: DataFrame, boosts: dict[str, float], prefix: bool = False, fuzzy: bool = False):
-        terms = exact.select("term").distinct()
+        terms, self.rows = exact.select("term").distinct(), None
         self.stats = {r.field: r for r in stats.collect()}  # one row per field
         self.fields = list(self.stats)
         self.boosts = [float(boosts.get(f, 1.0)) for f in self.fields]
-        self.few = bool(self.fields) and min(self.boosts) > 0 and terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        if not self.few:
-            return
-        more = None
-        if prefix or fuzzy:  # each distinct term is expanded once, as a query of its own
-            more = cut(_expanded(terms.select(F.col("term").alias("query_id"), "term", F.lit(1.0).alias("weight")), df.select("term").distinct(), prefix, fuzzy))
-            terms = more.select("term").distinct()
-            self.few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-            if not self.few:
-                return
+        self.usable = bool(self.fields) and min(self.boosts) > 0
+        self.few = self.usable and _few(terms)
+        if self.few and (prefix or fuzzy):
+            self.rows = _sources(terms, df, prefix, fuzzy)
+            terms = self.rows.select("term").distinct()
+            self.few = _few(terms)
+        if self.few:
+            self.read(df, terms, self.rows)
+
+    def read(self, df: DataFrame, terms: DataFrame, more: DataFrame | None) -> None:
         found = df.join(terms, "term", "left_semi").select("field", "term", "df").toArrow()
         self.terms, at = product.numbered(product.flat(found["term"]))
         field = product.codes(product.flat(found["field"]), pa.array(self.fields, pa.string()))
@@ -310,13 +321,71 @@ def bm25_texts(queries: DataFrame, docs: DataFrame, doc_id: str, fields: dict[st
     df, stats = count_terms(docs, doc_id, fields)
     weights = _Weights(exact, df, stats, BOOSTS, prefix, fuzzy)
     if not weights.few:
-        postings = build_postings(docs, doc_id, fields)
-        return top(score(_expanded(exact, df, prefix, fuzzy), postings, df=df, stats=stats), k)
+        found = _in_parts(exact, docs, doc_id, fields, df, weights, k, prefix, fuzzy) if weights.usable else None
+        return top(score(_expanded(exact, df, prefix, fuzzy), build_postings(docs, doc_id, fields), df=df, stats=stats), k) if found is None else found
     sent = product.blocks(exact, weights.terms, weights.common, weights.more)
     rows = _listed(docs, doc_id, {f: fields[f] for f in weights.fields})
     return _in_waves(rows, product.of_texts(weights.terms, weights.fields, weights.value()), sent, dict(exact.dtypes)["query_id"], k, max(r.n_docs for r in weights.stats.values()))
 
 
+def _in_parts(exact: DataFrame, docs: DataFrame, doc_id: str, fields: dict[str, str], df: DataFrame, weights: _Weights, k: int, prefix: bool, fuzzy: bool) -> DataFrame | None:
+    """The best where more terms are asked than fit ``BROADCAST_TERMS``; None: the shared ones do not fit either.
+
+    An asked term's expansions are shared if many queries ask it or many documents have them; the others are rare.
+    Queries with equal shared parts are one group, of which the ``k`` best documents are found by block products.
+    Documents that have a query's rare terms meet it by joins, and their scores are added to those of its group.
+    Weights and values are above 0, so any other document stands behind the group's best.
+    """
+    kind, n_docs = dict(exact.dtypes)["query_id"], max(r.n_docs for r in weights.stats.values())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = exact.select("term").distinct()
+    more = weights.rows
+    if more is None:
+        more = _sources(terms, df, prefix, fuzzy) if prefix or fuzzy else terms.select(F.col("term").alias("query_id"), "term", F.lit(1.0).alias("weight"))
+    sizes = df.groupBy("term").agg(F.sum("df").alias("df"))
+    asked = exact.groupBy(F.col("term").alias("source")).agg(F.count("*").alias("asked"))
+    n_queries, limit = exact.select("query_id").distinct().count(), max(RARE, RARE_SHARE * n_docs)
+    shared = (F.col("df") > limit) | (F.col("asked") > max(OFTEN, OFTEN_SHARE * n_queries))
+    rows = more.select(F.col("query_id").alias("source"), "term", "weight").join(sizes, "term").join(asked, "source")
+    rows = cut(rows.select("source", "term", "weight", shared.alias("shared")))
+    common = rows.where("shared").select(F.col("source").alias("query_id"), "term", "weight")
+    if not _few(common.select("term").distinct()):
+        return None
+    weights.read(df, common.select("term").distinct(), common)
+
+    # a group goes by the smallest id of its queries
+    marks = common.select(F.col("query_id").alias("term"), F.lit(True).alias("shared")).distinct()
+    marked = exact.join(marks, "term", "left")
+    keys = marked.groupBy("query_id").agg(F.array_sort(F.collect_set(F.when(F.col("shared"), F.col("term")))).alias("key"))
+    members = cut(keys.join(keys.groupBy("key").agg(F.min("query_id").alias("group")), "key").select("query_id", "group"))
+    first = members.where(F.col("query_id").eqNullSafe(F.col("group"))).select("group")
+    of_groups = cut(marked.where("shared").join(first, F.col("query_id").eqNullSafe(F.col("group")), "left_semi").select("query_id", "term", "weight"))
+    sent = product.blocks(of_groups, weights.terms, weights.common, weights.more)
+    listed = _listed(docs, doc_id, {f: fields[f] for f in weights.fields})
+    read = product.of_texts(weights.terms, weights.fields, weights.value())
+    best = cut(_in_waves(listed, read, sent, kind, k, n_docs).withColumnRenamed("query_id", "group"))
+    least = product.floors(best.where(F.col("rank") == k).withColumnRenamed("group", "query_id"), sent)
+
+    # what a query asks beyond its group
+    grouped = exact.join(members.withColumnRenamed("query_id", "member"), F.col("query_id").eqNullSafe(F.col("member"))).select("query_id", "group", F.col("term").alias("source"), F.col("weight").alias("by"))
+    own = grouped.join(rows.where("not shared"), "source").select("query_id", "group", "term", (F.col("by") * F.col("weight")).alias("weight"))
+    own = product.less(own, weights.terms, sent).repartition(parts, "term").groupBy("query_id", "group", "term").agg(F.max("weight").alias("weight"))
+    # a term in more than ``limit`` documents is not rare, and at most all tokens over ``limit`` are such
+    tokens = listed.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(f).alias("dl"), F.col(f).alias("terms")) for f in weights.fields))).alias("p")).select("doc_id", "p.field", "p.dl", F.explode("p.terms").alias("term"))
+    tokens = tokens.join(F.broadcast(sizes.where(F.col("df") > limit).select("term")), "term", "left_anti").repartition(parts, "term")
+    lists = tokens.groupBy("term", "field", "doc_id", "dl").agg(F.count("*").alias("tf")).groupBy("term", "field").agg(F.collect_list(F.struct("doc_id", "dl", "tf")).alias("docs"))
+    of_field = lambda xs: F.try_element_at(F.create_map(*(F.lit(x) for f, v in zip(weights.fields, xs, strict=True) for x in (f, float(v)))), F.col("field"))
+    n, in_docs = of_field(r.n_docs for r in weights.stats.values()), F.size("docs")
+    weight = F.col("weight") * of_field(weights.boosts) * F.log1p((n - in_docs + 0.5) / (in_docs + 0.5))
+    found = lists.join(own, "term").select("query_id", "group", weight.alias("w"), of_field(r.avg_dl for r in weights.stats.values()).alias("avg_dl"), F.inline("docs"))
+    s = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    hits = found.select("doc_id", F.struct("query_id", "group", s.alias("s")).alias("hit"))
+    both = product.entries(listed, read, "doc_id").unionByName(hits, allowMissingColumns=True)
+    by_doc = both.groupBy("doc_id").agg(F.first("codes", ignorenulls=True).alias("codes"), F.first("vals", ignorenulls=True).alias("vals"), F.collect_list("hit").alias("hits")).where(F.size("hits") > 0)
+    of_group = members.join(best, members["group"].eqNullSafe(best["group"])).select("query_id", "doc_id", "score")
+    return top(of_group.unionByName(product.added(by_doc, sent, kind, least)).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+
+
 def _in_waves(rows: DataFrame, read: product.Documents, sent: list, query_kind: str, k: int, n_docs: int) -> DataFrame:
     """The ``k`` best of each query over all ``rows``, whose ids are distinct.
 
