@@ -361,26 +361,26 @@ def _in_parts(exact: DataFrame, docs: DataFrame, doc_id: str, fields: dict[str,
     first = members.where(F.col("query_id").eqNullSafe(F.col("group"))).select("group")
     of_groups = cut(marked.where("shared").join(first, F.col("query_id").eqNullSafe(F.col("group")), "left_semi").select("query_id", "term", "weight"))
     sent = product.blocks(of_groups, weights.terms, weights.common, weights.more)
+    # a term in more than ``limit`` documents is not rare, and at most all tokens over ``limit`` are such
+    often = product.flat(sizes.where(F.col("df") > limit).select("term").toArrow()["term"])
     listed = _listed(docs, doc_id, {f: fields[f] for f in weights.fields})
-    read = product.of_texts(weights.terms, weights.fields, weights.value())
-    best = cut(_in_waves(listed, read, sent, kind, k, n_docs).withColumnRenamed("query_id", "group"))
+    split = cut(product.entries(listed, weights.terms, weights.fields, weights.value(), often))
+    entries = split.select("doc_id", "codes", "vals")
+    best = cut(_in_waves(entries, product.of_lists, sent, kind, k, n_docs).withColumnRenamed("query_id", "group"))
     least = product.floors(best.where(F.col("rank") == k).withColumnRenamed("group", "query_id"), sent)
 
     # what a query asks beyond its group
     grouped = exact.join(members.withColumnRenamed("query_id", "member"), F.col("query_id").eqNullSafe(F.col("member"))).select("query_id", "group", F.col("term").alias("source"), F.col("weight").alias("by"))
     own = grouped.join(rows.where("not shared"), "source").select("query_id", "group", "term", (F.col("by") * F.col("weight")).alias("weight"))
     own = product.less(own, weights.terms, sent).repartition(parts, "term").groupBy("query_id", "group", "term").agg(F.max("weight").alias("weight"))
-    # a term in more than ``limit`` documents is not rare, and at most all tokens over ``limit`` are such
-    tokens = listed.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(f).alias("dl"), F.col(f).alias("terms")) for f in weights.fields))).alias("p")).select("doc_id", "p.field", "p.dl", F.explode("p.terms").alias("term"))
-    tokens = tokens.join(F.broadcast(sizes.where(F.col("df") > limit).select("term")), "term", "left_anti").repartition(parts, "term")
-    lists = tokens.groupBy("term", "field", "doc_id", "dl").agg(F.count("*").alias("tf")).groupBy("term", "field").agg(F.collect_list(F.struct("doc_id", "dl", "tf")).alias("docs"))
+    lists = split.select("doc_id", F.inline("rare")).repartition(parts, "term").groupBy("term", "field").agg(F.collect_list(F.struct("doc_id", "dl", "tf")).alias("docs"))
     of_field = lambda xs: F.try_element_at(F.create_map(*(F.lit(x) for f, v in zip(weights.fields, xs, strict=True) for x in (f, float(v)))), F.col("field"))
     n, in_docs = of_field(r.n_docs for r in weights.stats.values()), F.size("docs")
     weight = F.col("weight") * of_field(weights.boosts) * F.log1p((n - in_docs + 0.5) / (in_docs + 0.5))
     found = lists.join(own, "term").select("query_id", "group", weight.alias("w"), of_field(r.avg_dl for r in weights.stats.values()).alias("avg_dl"), F.inline("docs"))
     s = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     hits = found.select("doc_id", F.struct("query_id", "group", s.alias("s")).alias("hit"))
-    both = product.entries(listed, read, "doc_id").unionByName(hits, allowMissingColumns=True)
+    both = entries.unionByName(hits, allowMissingColumns=True)
     by_doc = both.groupBy("doc_id").agg(F.first("codes", ignorenulls=True).alias("codes"), F.first("vals", ignorenulls=True).alias("vals"), F.collect_list("hit").alias("hits")).where(F.size("hits") > 0)
     of_group = members.join(best, members["group"].eqNullSafe(best["group"])).select("query_id", "doc_id", "score")
     return top(of_group.unionByName(product.added(by_doc, sent, kind, least)).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
