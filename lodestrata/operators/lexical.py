@@ -36,8 +36,10 @@ BOOSTS = {"content": 1.0, "summary": 2.0, "name": 1.5, "path": 0.5}
 BROADCAST_TERMS = 200_000
 BUCKETS, WRITERS = 64, 8
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
-#: terms that more documents have, or more queries ask, are shared by queries where not all fit (numbers and shares, the larger holds)
-RARE, RARE_SHARE, OFTEN, OFTEN_SHARE = 1000, 0.001, 4, 0.001
+#: documents, and pairs of queries and documents, that a rare term may have (a number or a share of all documents, the larger holds)
+RARE, RARE_SHARE = 1000, 0.001
+#: pairs of queries and documents from which expanded queries are grouped
+GROUPED_FROM = 4_000_000_000
 #: documents from which texts are scored in waves, and the ends of the waves as shares of all
 WAVES_FROM, WAVES = 1_000_000, (1, 4, 12)
 
@@ -320,38 +322,43 @@ def bm25_texts(queries: DataFrame, docs: DataFrame, doc_id: str, fields: dict[st
     exact = _asked_once(queries, id_col, text_col)
     df, stats = count_terms(docs, doc_id, fields)
     weights = _Weights(exact, df, stats, BOOSTS, prefix, fuzzy)
+    found = _in_parts(exact, docs, doc_id, fields, df, weights, k, prefix, fuzzy) if weights.usable and (prefix or fuzzy or not weights.few) else None
+    if found is not None:
+        return found
     if not weights.few:
-        found = _in_parts(exact, docs, doc_id, fields, df, weights, k, prefix, fuzzy) if weights.usable else None
-        return top(score(_expanded(exact, df, prefix, fuzzy), build_postings(docs, doc_id, fields), df=df, stats=stats), k) if found is None else found
+        return top(score(_expanded(exact, df, prefix, fuzzy), build_postings(docs, doc_id, fields), df=df, stats=stats), k)
     sent = product.blocks(exact, weights.terms, weights.common, weights.more)
     rows = _listed(docs, doc_id, {f: fields[f] for f in weights.fields})
     return _in_waves(rows, product.of_texts(weights.terms, weights.fields, weights.value()), sent, dict(exact.dtypes)["query_id"], k, max(r.n_docs for r in weights.stats.values()))
 
 
 def _in_parts(exact: DataFrame, docs: DataFrame, doc_id: str, fields: dict[str, str], df: DataFrame, weights: _Weights, k: int, prefix: bool, fuzzy: bool) -> DataFrame | None:
-    """The best where more terms are asked than fit ``BROADCAST_TERMS``; None: the shared ones do not fit either.
+    """The best where more terms are asked than fit ``BROADCAST_TERMS``, or many queries are alike; None: the shared terms do not fit either, or few are alike.
 
-    An asked term's expansions are shared if many queries ask it or many documents have them; the others are rare.
+    An asked term's expansions are shared if many documents have them, or if they make many pairs of queries and documents; the others are rare.
     Queries with equal shared parts are one group, of which the ``k`` best documents are found by block products.
     Documents that have a query's rare terms meet it by joins, and their scores are added to those of its group.
     Weights and values are above 0, so any other document stands behind the group's best.
     """
     kind, n_docs = dict(exact.dtypes)["query_id"], max(r.n_docs for r in weights.stats.values())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_queries = exact.select("query_id").distinct().count()
+    if weights.few and n_queries * n_docs < GROUPED_FROM:
+        return None
     terms = exact.select("term").distinct()
     more = weights.rows
     if more is None:
         more = _sources(terms, df, prefix, fuzzy) if prefix or fuzzy else terms.select(F.col("term").alias("query_id"), "term", F.lit(1.0).alias("weight"))
     sizes = df.groupBy("term").agg(F.sum("df").alias("df"))
     asked = exact.groupBy(F.col("term").alias("source")).agg(F.count("*").alias("asked"))
-    n_queries, limit = exact.select("query_id").distinct().count(), max(RARE, RARE_SHARE * n_docs)
-    shared = (F.col("df") > limit) | (F.col("asked") > max(OFTEN, OFTEN_SHARE * n_queries))
+    limit = max(RARE, RARE_SHARE * n_docs)
+    pairs = F.col("asked") * F.sum(F.when(F.col("df") <= limit, F.col("df"))).over(Window.partitionBy("source"))
+    shared = (F.col("df") > limit) | (pairs > limit)
     rows = more.select(F.col("query_id").alias("source"), "term", "weight").join(sizes, "term").join(asked, "source")
     rows = cut(rows.select("source", "term", "weight", shared.alias("shared")))
     common = rows.where("shared").select(F.col("source").alias("query_id"), "term", "weight")
     if not _few(common.select("term").distinct()):
         return None
-    weights.read(df, common.select("term").distinct(), common)
 
     # a group goes by the smallest id of its queries
     marks = common.select(F.col("query_id").alias("term"), F.lit(True).alias("shared")).distinct()
@@ -359,6 +366,9 @@ def _in_parts(exact: DataFrame, docs: DataFrame, doc_id: str, fields: dict[str,
     keys = marked.groupBy("query_id").agg(F.array_sort(F.collect_set(F.when(F.col("shared"), F.col("term")))).alias("key"))
     members = cut(keys.join(keys.groupBy("key").agg(F.min("query_id").alias("group")), "key").select("query_id", "group"))
     first = members.where(F.col("query_id").eqNullSafe(F.col("group"))).select("group")
+    if weights.few and 2 * first.count() > n_queries:
+        return None
+    weights.read(df, common.select("term").distinct(), common)
     of_groups = cut(marked.where("shared").join(first, F.col("query_id").eqNullSafe(F.col("group")), "left_semi").select("query_id", "term", "weight"))
     sent = product.blocks(of_groups, weights.terms, weights.common, weights.more)
     # a term in more than ``limit`` documents is not rare, and at most all tokens over ``limit`` are such
